@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, quality
+from framesift.llm import byte_bpe, quality, token_count, token_files
 from framesift.llm.common import documents
 
 
@@ -19,9 +19,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir))
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.query(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_count": op3_token_count,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLES: dict[str, str] = {}
