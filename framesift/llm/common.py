@@ -47,6 +47,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def id_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The id as a long; for a null one a number below -2**62, by the hash of the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 61)))
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, from one small aggregate."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, quality, token_count, token_files
+from framesift.llm import byte_bpe, quality, simhash, token_count, token_files
 from framesift.llm.common import documents
 
 
@@ -27,11 +27,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_count": op3_token_count,
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}
