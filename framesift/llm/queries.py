@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, licenses, quality, secrets, simhash, token_count, token_files
+from framesift.llm import byte_bpe, licenses, quality, secrets, simhash, substrings, token_count, token_files
 from framesift.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.query(documents(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_count": op3_token_count,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
 }
