@@ -273,7 +273,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: Iterable[str] = ("do
 
 def decoded(coded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``coded`` with the bytes that its ids stand for; null ids give no bytes."""
-    schema = coded.schema
+    schema = coded.select("*").schema.add(out, "binary")
     at = coded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +282,7 @@ def decoded(coded: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
             plain = pa.array([bpe.decode(x or b"") for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, plain], [*batch.schema.names, out])
 
-    return coded.mapInArrow(run, schema.add(out, "binary"))
+    return coded.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
