@@ -8,6 +8,7 @@ reader can fetch the ids of a few documents, or the counts of all of them, witho
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ WRITER = {
     "parquet.enable.dictionary#start_in_part": "false",
     "compression": "zstd",
 }
+#: Marks that end words, and letters whose lower case Python and the library may see differently.
+MARKS = ".,!?;:"
+SPECIAL_CASE = re.compile("[^\0-\u017f]|[\u0130\u017f]")
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
 
@@ -44,20 +48,55 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids, as the library gives them."""
+        for k in range(0, len(words), 10_000):
+            some = words[k : k + 10_000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                yield word, np.array(found.ids, "<i4").tobytes()
+
+    def _look_up_stems(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The same for words of letters only, many in one text, where each is one word of the library's."""
+        for k in range(0, len(stems), 1000):
+            some = stems[k : k + 1000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, ends = np.array(found.ids, "<i4").tobytes(), 4 * np.cumsum(np.bincount(found.word_ids, minlength=len(some)))
+            ends = ends.tolist()
+            yield from zip(some, (ids[a:b] for a, b in zip([0, *ends], ends)))
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of new short words in the cache.
+
+        The file's pattern never joins letters with what isn't one, and its ids are those of the lower-case
+        word; so a word of letters before marks is looked up as its lower-case letters and its marks.
+        """
+        stems, cut = self.stems, {}
+        if len(stems) > CACHE_ENTRIES:
+            stems.clear()
+        plain = []
+        for word in new:
+            stem = word if word.isalpha() else word.rstrip(MARKS)
+            if stem.isalpha() and not SPECIAL_CASE.search(stem):
+                cut[word] = stem.lower(), word[len(stem) :]
+            else:
+                plain.append(word)
+        self.words.update(self._look_up(plain))
+        stems.update(self._look_up_stems(list({stem for stem, _ in cut.values()}.difference(stems))))
+        stems.update(self._look_up(list({marks for _, marks in cut.values()}.difference(stems))))
+        self.words.update((word, stems[stem] + stems[marks]) for word, (stem, marks) in cut.items())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native (little-endian) 32-bit integers."""
         words = self.words
         if len(words) > CACHE_ENTRIES:
             words.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(words))
-        long = {}
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                known = words if len(word) < 100 else long
-                known[word] = np.array(found.ids, "<i4").tobytes()
+        lower = (t.lower() if t.isascii() or not SPECIAL_CASE.search(t) else t for t in texts)  # so that fewer words are new
+        parts = [t.replace("\n", " ").split(" ") for t in lower]
+        new = set().union(*parts).difference(words)
+        self._learn([w for w in new if len(w) < 100])
+        long = dict(self._look_up([w for w in new if len(w) >= 100]))
         if long:
             return [b"".join([words[w] if w in words else long[w] for w in p]) for p in parts]
         get = words.__getitem__
