@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, licenses, quality, secrets, simhash, substrings, token_count, token_files
+from framesift.llm import byte_bpe, licenses, ppm, quality, secrets, simhash, substrings, token_count, token_files
 from framesift.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.query(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.query(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_count": op3_token_count,
+    "op5_ppm": op5_ppm,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
