@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, licenses, ppm, quality, secrets, simhash, substrings, token_count, token_files
-from framesift.llm.common import documents
+from framesift.llm import byte_bpe, decontaminate, licenses, ppm, quality, secrets, simhash, substrings, token_count, token_files
+from framesift.llm.common import documents, read
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.query(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_count": op3_token_count,
+    "op4_decontaminate": op4_decontaminate,
     "op5_ppm": op5_ppm,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
