@@ -122,6 +122,11 @@ def _ordered(table: pa.Table) -> tuple[list[int], list[int], list[str], np.ndarr
     return ids, numbers, texts, np.array(order, np.int64)
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``, which has one or more."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """The windows of a shard that hold a recurring phrase.
 
@@ -139,7 +144,7 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         joined = " " + b" ".join(own.words).decode("latin-1") + " "  # one character a byte
         spaces = np.concatenate(([0], np.cumsum(np.fromiter(map(len, own.words), np.int64, own.n) + 1)))
         at = own.anchor_places()
-        for p in at[np.isin(own.phrases[at], known)].tolist():
+        for p in at[_among(own.phrases[at], known)].tolist():
             automaton.add_word(joined[spaces[p] : spaces[p + PHRASE] + 1], True)
         held.append((joined, spaces, own.hashes, own.anchors))
     w1, w2, rid, place = [], [], [], []
