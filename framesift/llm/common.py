@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,23 @@ def id_of(doc_id: str = "doc_id", text: str = "text") -> Column:
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, from one small aggregate."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def packed(source: DataFrame, text: str) -> DataFrame:
+    """``source`` with a text column compressed and put last, for a shuffle of whole texts."""
+    names = source.columns
+    order = [n for n in names if n != text]
+    schema = source.select(*order).schema.add(text, "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            column = pa.array([press(t.encode()) for t in batch.column(names.index(text)).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in order), column], [*order, text])
+
+    return source.mapInArrow(run, schema)
+
+
+def unpacked(column: pa.ChunkedArray) -> Iterator[bytes]:
+    """The UTF-8 texts of a compressed column."""
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())

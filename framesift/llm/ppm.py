@@ -16,15 +16,13 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import id_of, saved, text_of, total_bytes
+from framesift.llm.common import id_of, packed, saved, text_of, total_bytes, unpacked
 
 ORDER = 3
 PAD, END = 0xFF, 0xFE
@@ -53,32 +51,12 @@ def grams_of(text: bytes) -> np.ndarray:
     return raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
 
 
-def _packed(source: DataFrame, text: str) -> DataFrame:
-    """``source`` with its text compressed, as it is shuffled by shard."""
-    at, names = source.columns.index(text), source.columns
-    schema = source.drop(text).schema.add(text, "binary")
-    order = [n for n in names if n != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            packed = pa.array([press(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in order), packed], [*order, text])
-
-    return source.mapInArrow(run, schema)
-
-
-def _texts(docs: pa.Table) -> Iterator[bytes]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    return (open_(x) for x in docs.column("t").to_pylist())
-
-
 def _counts(docs: pa.Table) -> pa.Table:
     """All words and byte sequences of a shard with their counts in its training documents (0: held out only)."""
     words: dict[bool, Counter] = {True: Counter(), False: Counter()}
     grams: dict[bool, list[np.ndarray]] = {True: [np.empty(0, np.uint32)], False: [np.empty(0, np.uint32)]}
     ends = 0
-    for text, out in zip(_texts(docs), docs.column("held_out").to_pylist()):
+    for text, out in zip(unpacked(docs.column("t")), docs.column("held_out").to_pylist()):
         words[out].update(words_of(text))
         grams[out].append(grams_of(text))
         ends += not out
@@ -155,7 +133,7 @@ def _scorer(names: list[str], ends: int, total: int, distinct: int):
         order = np.argsort(gram)
         gram, value = gram[order].astype(np.uint32), value[order]
         get, rows = counts.get, []
-        for text in _texts(docs):
+        for text in unpacked(docs.column("t")):
             c = np.array([*map(get, words_of(text), itertools.repeat(0)), ends], np.float64)
             score = value[np.searchsorted(gram, grams_of(text))].sum()
             rows.append((len(c), int((c > 0).sum()), total, float(np.log10((c + 0.5) / floor).sum()), float(score)))
@@ -175,7 +153,7 @@ def query(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     count = max(1, -(-total_bytes(docs) // shard_bytes))
     shard = F.pmod(F.xxhash64(id_of("doc_id", "text")), F.lit(count)).cast("int").alias("shard")
     source = docs.select("doc_id", held_out().alias("held_out"), shard, text_of().alias("t"))
-    by_shard = _packed(source, "t").groupBy("shard")
+    by_shard = packed(source, "t").groupBy("shard")
     rows = saved(by_shard.applyInArrow(_counts, "kind int, shard int, word binary, gram long, n long"), "kind")
     words, grams = rows.where(f"kind = {_WORD}"), rows.where(f"kind = {_GRAM}")
     word_counts = saved(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))

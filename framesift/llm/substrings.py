@@ -18,10 +18,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, id_of, saved, text_of, total_bytes
+from framesift.llm.common import CACHE_ENTRIES, id_of, packed, saved, text_of, total_bytes, unpacked
 
 WINDOW, PHRASE = 20, 6
 #: Bytes of text in a shard: what one task holds, apart from a longer single document.
@@ -72,8 +72,8 @@ def _anchors(phrases: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a text, with the hashes of its phrases and the anchor of each window."""
 
-    def __init__(self, text: str):
-        self.words = text.encode().split()  # bytes: exactly \x20 and \x09-\x0D are space
+    def __init__(self, text: bytes):
+        self.words = text.split()  # bytes: exactly \x20 and \x09-\x0D are space
         self.n = len(self.words)
         self.hashes = np.array(list(map(_hashes.__getitem__, self.words)), np.uint64)
         if self.n >= WINDOW:
@@ -92,7 +92,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = []
         for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = Words(text)
+            own = Words(text.encode())
             if own.n >= WINDOW:
                 hashes = own.phrases[own.anchor_places()]
                 parts.append((hashes, np.full(len(hashes), shard, np.int32)))
@@ -112,10 +112,10 @@ def recurring(shards: DataFrame) -> DataFrame:
     return rows.join(twice, "phrase").select("shard", "phrase")
 
 
-def _ordered(table: pa.Table) -> tuple[list[int], list[int], list[str], np.ndarray]:
+def _ordered(table: pa.Table) -> tuple[list[int], list[int], list[bytes], np.ndarray]:
     """Ids, numbers among rows of one id, and texts of a shard in the order that decides which is earlier."""
-    ids, texts = table.column("rid").to_pylist(), table.column("t").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].encode()))
+    ids, texts = table.column("rid").to_pylist(), list(unpacked(table.column("t")))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     ids, texts, numbers = [ids[i] for i in order], [texts[i] for i in order], []
     for i, x in enumerate(ids):
         numbers.append(numbers[-1] + 1 if i and ids[i - 1] == x else 0)
@@ -182,10 +182,10 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
 
 def _gone(located: DataFrame, shards: int) -> DataFrame:
     """(rid, place, n, shard): n consecutive windows from a place that all occur earlier."""
-    dealt = located.repartition("w1", "w2")  # both uses below read this one exchange
-    here = F.when(F.col("n") == 0, F.struct("rid", "place"))
-    earliest = dealt.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.count(here).alias("times")).where("times > 1").select("w1", "w2", "first")
-    later = dealt.join(earliest, ["w1", "w2"], "left").where((F.col("n") > 0) | (F.col("first") != F.struct("rid", "place")))
+    same = Window.partitionBy("w1", "w2")
+    candidate = F.when(F.col("n") == 0, F.col("rid"))  # one for each shard at most, so its id says which is first
+    dealt = located.select("rid", "place", "n", F.min(candidate).over(same).alias("first"))
+    later = dealt.where((F.col("n") > 0) | (F.col("first") != F.col("rid")))
     return later.select("rid", "place", F.greatest("n", F.lit(1)).alias("n"), _shard("rid", shards))
 
 
@@ -204,7 +204,7 @@ def _cutter(names: list[str], make: Callable[[list[bytes], np.ndarray], tuple],
         bounds = np.searchsorted(rid, np.array([*ids, 0], np.int64)[:-1], "left"), np.searchsorted(rid, np.array([*ids, 0], np.int64)[:-1], "right")
         rows = []
         for i, text in enumerate(texts):
-            words = text.encode().split()
+            words = text.split()
             own = slice(bounds[0][i], bounds[1][i])
             mine = place[own] >> _WORD_BITS == numbers[i]
             starts = place[own][mine] & ((1 << _WORD_BITS) - 1)
@@ -235,7 +235,7 @@ def _cut(docs: DataFrame, doc_id: str, text: str, keep: list[str], make: Callabl
     count = max(1, -(-total_bytes(docs, text) // shard_bytes))
     rows = docs.withColumn("rid", id_of(doc_id, text)).withColumn("t", text_of(text))
     shards = rows.select(*keep, "rid", "t", _shard("rid", count))
-    by_shard = shards.groupBy("shard")
+    by_shard = packed(shards, "t").groupBy("shard")
     located = by_shard.cogroup(recurring(shards).groupBy("shard")).applyInArrow(_locate, "w1 long not null, w2 int not null, rid long not null, place long not null, n long not null")
     schema = rows.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add(last, "string")
     cutter = _cutter(keep, make, [pa.int64(), pa.int64(), pa.string()], ["n_words", "n_removed", last])
