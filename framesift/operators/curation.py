@@ -173,8 +173,8 @@ def chunks(ids: Column, size: int) -> Column:
 
 
 def progress(groups: DataFrame) -> DataFrame:
-    """Remaining groups and photos of a round, and percent done (0 if it has no groups)."""
-    left = F.col("group_index") > F.col("current")
+    """Groups and photos of a round still to judge, the current group's among them, and percent done (0 if none)."""
+    left = F.col("group_index") >= F.col("current")
     return groups.groupBy("project_id").agg(
         F.count_if(left).alias("groups_left"),
         F.coalesce(F.sum(F.when(left, F.col("n_photos"))), F.lit(0)).alias("photos_left"),

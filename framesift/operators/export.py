@@ -198,6 +198,41 @@ def with_ratings(files: DataFrame) -> DataFrame:
     return files.select("id", "content", "rating").mapInArrow(run, "id string, content binary, error string")
 
 
+def write_ratings(files: DataFrame) -> DataFrame:
+    """Write the ratings of files (id, path, rating) into the JPEG files themselves: id, status and error of each.
+
+    For originals on a file system that all executors mount. The new bytes go to a file beside, are read back and
+    compared, and then take the original's name in one step; a repeat writes the same bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                part = None
+                try:
+                    with open(row["path"], "rb") as f:
+                        data = jpeg_with_rating(f.read(), row["rating"] or 0)
+                    fd, part = tempfile.mkstemp(dir=os.path.dirname(row["path"]))
+                    with os.fdopen(fd, "wb") as f:
+                        f.write(data)
+                    with open(part, "rb") as f:
+                        if f.read() != data:
+                            raise OSError("what was written differs")
+                    shutil.copystat(row["path"], part)
+                    os.replace(part, row["path"])
+                    out.append((row["id"], "processed", None))
+                except FileNotFoundError:
+                    out.append((row["id"], "skipped", None))
+                except (OSError, ValueError, TypeError) as e:
+                    if part and os.path.exists(part):
+                        os.remove(part)
+                    out.append((row["id"], "failed", str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((), (), ()))], ["id", "status", "error"])
+
+    return files.select("id", "path", "rating").mapInArrow(run, "id string, status string, error string")
+
+
 def writable(photos: DataFrame) -> DataFrame:
     """Photos whose files can hold a rating packet."""
     return photos.where(extension(F.col("name")).isin("jpg", "jpeg"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions import capture, hashing, scalars
-from framesift.operators import catalogue, curation, export, pages, sequence, shape, threshold
+from framesift.operators import catalogue, curation, export, pages, sequence, session, shape, threshold
 from framesift.plans import views
 from framesift.plans.queries import query
 from framesift.plans.views import OVERRIDES, PHOTOS, USABLE, groups_sql
@@ -61,7 +61,7 @@ def round_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ROUNDS}, parts AS (SELECT project_id, (place - 1) // 4 AS g, count(*) AS n FROM seeds GROUP BY ALL)
-SELECT project_id, count(*) FILTER (g > 2) AS groups_left, CAST(coalesce(sum(n) FILTER (g > 2), 0) AS BIGINT) AS photos_left, CAST(round(100 * count(*) FILTER (g <= 2) / count(*)) AS BIGINT) AS percent FROM parts GROUP BY project_id""")
+SELECT project_id, count(*) FILTER (g >= 2) AS groups_left, CAST(coalesce(sum(n) FILTER (g >= 2), 0) AS BIGINT) AS photos_left, CAST(round(100 * count(*) FILTER (g < 2) / count(*)) AS BIGINT) AS percent FROM parts GROUP BY project_id""")
 def round_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = curation.rounds(pages.visible(_photos(spark, sf_dir), rating=2), 4)
     groups = rounds.groupBy("project_id", "group_index").agg(F.count("*").alias("n_photos")).withColumn("current", F.lit(2))
@@ -316,3 +316,49 @@ def speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {OVERRIDES} SELECT project_id, left_id, right_id, joined FROM overrides")
 def pair_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.overrides(_photos(spark, sf_dir))
+
+
+_NEAR = "gap_ms <= 4000 AND NOT (timestamp_source IN ('filesystem_mtime', 'unknown') AND left_source IN ('filesystem_mtime', 'unknown'))"
+
+
+@query(f"""WITH {USABLE}, pairs AS (SELECT project_id, count(*) AS n_pairs, max(distance) AS largest FROM adjacent WHERE left_id IS NOT NULL AND {_NEAR} GROUP BY 1),
+seeds AS (SELECT project_id, count(*) AS n FROM photos WHERE NOT is_missing AND rating = 1 GROUP BY 1)
+SELECT project_id, n AS n_candidates, coalesce(n_pairs, 0) AS n_pairs, coalesce(largest, 64) AS largest_distance, CASE WHEN n_pairs > 0 AND project_id <> 'view' THEN 24 END AS burst_threshold,
+  CASE WHEN n_pairs IS NULL THEN 'tournament' WHEN project_id = 'view' THEN 'burst-threshold' ELSE 'burst-preview' END AS stage, n >= 2 AS can_start
+FROM seeds LEFT JOIN pairs USING (project_id)""")
+def session_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _photos(spark, sf_dir)
+    projects = photos.select(F.col("project_id").alias("id")).distinct().withColumn("burst_threshold", F.when(F.col("id") != "view", F.lit(24)))
+    return session.start(photos, sequence.burst_pairs(photos), projects, True, 1)
+
+
+@query(f"WITH {groups_sql(24)} SELECT project_id, CAST(sum(n_photos) AS BIGINT) AS n_photos, count(*) AS n_groups FROM bursts GROUP BY project_id")
+def grouped_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _photos(spark, sf_dir)
+    return session.grouped_photos(sequence.burst_groups(photos, 24, views.overrides(photos)))
+
+
+@query(f"""WITH {groups_sql(24)}, wanted AS (SELECT project_id, id FROM members WHERE CAST(id AS BIGINT) BETWEEN 100 AND 140),
+span AS (SELECT project_id, min(captured_at) - 4000 AS low, max(captured_at) + 4000 AS high FROM members WHERE CAST(id AS BIGINT) BETWEEN 100 AND 140 GROUP BY 1),
+near AS (SELECT m.*, row_number() OVER w - 1 AS pos, lag(island) OVER w AS before, lag(m.id) OVER w AS before_id FROM members m JOIN span s ON s.project_id = m.project_id AND m.captured_at BETWEEN s.low AND s.high
+  WINDOW w AS (PARTITION BY m.project_id ORDER BY m.captured_at, m.relative_path, m.id))
+SELECT project_id, pos, id, pos > 0 AND NOT (before = island AND CAST(id AS BIGINT) BETWEEN 100 AND 140 AND CAST(before_id AS BIGINT) BETWEEN 100 AND 140) AS cut FROM near""")
+def open_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _photos(spark, sf_dir)
+    members = sequence.burst_members(photos, 24, views.overrides(photos)).where(_number().between(100, 140)).select("project_id", "island", "id")
+    return session.open_burst(photos, members).select("project_id", "pos", "id", "cut")
+
+
+@query(f"""WITH {groups_sql(24)}, ordered AS (SELECT project_id, id, island, row_number() OVER (PARTITION BY project_id ORDER BY rating, id) AS pos FROM members)
+SELECT project_id, min(pos) AS pos, island AS id FROM ordered GROUP BY project_id, island""")
+def collapsed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _photos(spark, sf_dir)
+    members = sequence.burst_members(photos, 24, views.overrides(photos))
+    order = curation.placed(members, [(F.asc, "rating"), (F.asc, "id")], "project_id").select("project_id", F.col("place").alias("pos"), "id")
+    return session.collapsed(order, members.select("project_id", "id", F.col("island").alias("representative")))
+
+
+@query(f"""WITH {PHOTOS} SELECT project_id, avg(CASE WHEN d_hash IS NOT NULL AND bit_count(xor(CAST('0x' || d_hash AS BIGINT), CAST(id AS BIGINT))) <= 28 THEN 1 ELSE 0 END) AS share FROM photos GROUP BY project_id""")
+def share_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _photos(spark, sf_dir).withColumn("other", hashing.hash_text(_number()))
+    return session.share_within(photos, "d_hash", "other", 28, "project_id")
