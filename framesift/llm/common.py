@@ -11,12 +11,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts can be long, so a batch is kept to a few megabytes as a rule.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch: a batch of usual texts is a few megabytes, and one of long texts has fewer rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Python workers keep at most so many entries in a cache, then start it anew.
 CACHE_ENTRIES = 600_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of its input at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table below ``sf_dir``."""
     return read(spark, sf_dir, "documents")
@@ -24,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table below ``sf_dir``."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
