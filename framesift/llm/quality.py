@@ -25,7 +25,7 @@ RULES: dict[str, Callable[[], Column]] = {
     "too_few_words": lambda: F.col("n_words") < 50,
     "repeated_words": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
     "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
-    "duplicate_lines": lambda: (F.col("n_lines") >= 4) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+    "duplicate_lines": lambda: (F.col("n_lines") >= 10) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
     "shouting": lambda: 2 * F.col("n_shout_words") > F.col("n_words"),
 }
