@@ -8,6 +8,7 @@ stands in several places, one and the same value has replaced it there.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, id_of, text_of
+from framesift.llm.common import CACHE_ENTRIES, id_of, saved, text_of
 
 WINDOW = 5
 #: Windows with fewer literal words keep their values: placeholders alone say nothing.
@@ -26,6 +27,9 @@ CONTAINMENT = CONSISTENCY = 0.8
 #: Up to this many window hashes go to every task, to filter there (8 bytes each); beyond it all windows are joined.
 BROADCAST_WINDOWS = 2_000_000
 
+#: Characters of text that are windowed at once.
+PORTION = 4 << 20
+
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Units of measure.
 UNITS = frozenset(
@@ -41,12 +45,12 @@ _KINDS = np.array([xxhash.xxh64_intdigest(f"kind {i}") for i in range(4)], np.ui
 
 def kind_of(word: str) -> tuple[str, int]:
     """A word without marks and in lower case, and its kind."""
-    bare = word.strip(_EDGES)
+    bare = word if word.isalpha() else word.strip(_EDGES)
     lower = bare.lower()
-    if _NUMBER.fullmatch(bare):
-        return lower, NUMBER
     if lower in UNITS:
         return lower, UNIT
+    if not bare.isalpha() and _NUMBER.fullmatch(bare):
+        return lower, NUMBER
     return lower, NAME if bare[:1].isupper() else LITERAL
 
 
@@ -64,29 +68,48 @@ class _Kinds(dict):
 _kinds = _Kinds()
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """The hash of each template window, the kinds of the words, the words, and which windows have placeholders."""
-    words = text.encode().split()
-    codes = np.array(list(map(_kinds.__getitem__, words)), np.uint64)
-    if not codes.all():
-        words, codes = [w for w, c in zip(words, codes.tolist()) if c], codes[codes > 0]
-    n = len(words) - WINDOW + 1
-    kinds = (codes & np.uint64(3)).astype(np.int64)
-    if n < 1:
-        return np.empty(0, np.uint64), kinds, words, np.empty(0, bool)
-    literal = kinds == LITERAL
-    codes = codes >> np.uint64(2)
-    template = np.where(literal, codes, _KINDS[kinds])
-    said = np.cumsum(np.r_[0, literal])
-    open_ = said[WINDOW:] - said[:-WINDOW] >= LITERALS
-    as_template, as_said = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        as_template += template[j : j + n] * _ODD[j]
-        as_said += codes[j : j + n] * _ODD[WINDOW + j]
-    mixed = np.where(open_, as_template, as_said)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= _ODD[-1]
-    return mixed ^ mixed >> np.uint64(32), kinds, words, open_
+class Windows:
+    """All template windows of some texts; windows and words of all texts stand in one row of arrays."""
+
+    def __init__(self, texts: list[str]):
+        split = [t.encode().split() for t in texts]
+        self.words = list(itertools.chain.from_iterable(split))
+        codes = np.array(list(map(_kinds.__getitem__, self.words)), np.uint64)
+        text = np.repeat(np.arange(len(texts)), list(map(len, split)))
+        if not codes.all():
+            self.words, text, codes = [w for w, c in zip(self.words, codes.tolist()) if c], text[codes > 0], codes[codes > 0]
+        self.kinds = (codes & np.uint64(3)).astype(np.int8)
+        #: Where each text's words begin.
+        self.begins = np.searchsorted(text, np.arange(len(texts)))
+        n = max(0, len(codes) - WINDOW + 1)
+        literal, codes = self.kinds == LITERAL, codes >> np.uint64(2)
+        template = np.where(literal, codes, _KINDS[self.kinds])
+        said = np.cumsum(np.r_[0, literal])
+        #: Windows with placeholders.
+        self.open = said[WINDOW:] - said[:-WINDOW] >= LITERALS if n else np.empty(0, bool)
+        as_template, as_said = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for j in range(WINDOW):
+            as_template += template[j : j + n] * _ODD[j]
+            as_said += codes[j : j + n] * _ODD[WINDOW + j]
+        mixed = np.where(self.open, as_template, as_said)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _ODD[-1]
+        self.hashes = mixed ^ mixed >> np.uint64(32)
+        self.text = text[:n]
+        #: Windows within one text; the others only fill the row.
+        self.whole = text[:n] == text[WINDOW - 1 :] if n else np.empty(0, bool)
+
+
+def _portions(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """Rows of a batch, a few megabytes of text at a time."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > PORTION:
+            yield keys[start : i + 1], texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield keys[start:], texts[start:]
 
 
 def _window_rows(known: np.ndarray | None):
@@ -94,22 +117,20 @@ def _window_rows(known: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hashes, places, values = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                window, kinds, words, open_ = windows(text)
-                if known is None:
-                    chosen = range(len(window))
-                else:
-                    at = np.minimum(np.searchsorted(known, window), len(known) - 1)
-                    chosen = np.flatnonzero(known[at] == window).tolist() if len(known) else []
-                for i in chosen:
-                    keys.append(key)
-                    hashes.append(window[i])
-                    slots = [j for j in range(i, i + WINDOW) if kinds[j] != LITERAL] if open_[i] else []
-                    places.append(slots)
-                    values.append([kind_of(words[j].decode())[0] for j in slots])
-            window = pa.array(np.array(hashes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), window, pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))], ["key", "window", "places", "values"])
+            for keys, texts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                all_ = Windows(texts)
+                chosen = all_.whole
+                if known is not None:
+                    chosen = chosen & (known[np.minimum(np.searchsorted(known, all_.hashes), len(known) - 1)] == all_.hashes) if len(known) else np.zeros(len(chosen), bool)
+                own, places, values = [], [], []
+                at = np.flatnonzero(chosen)
+                for i, text, open_ in zip(at.tolist(), all_.text[at].tolist(), all_.open[at].tolist()):
+                    slots = [j for j in range(i, i + WINDOW) if all_.kinds[j] != LITERAL] if open_ else []
+                    own.append(keys[text])
+                    places.append([j - int(all_.begins[text]) for j in slots])
+                    values.append([kind_of(all_.words[j].decode())[0] for j in slots])
+                columns = [pa.array(own, batch.schema.types[0]), pa.array(all_.hashes[at].view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "window", "places", "values"])
 
     return run
 
@@ -136,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADC
     source = docs.select(F.struct(id_of().alias("id"), F.xxhash64(text_of()).alias("hash")).alias("key"), text_of().alias("t"))
     key = F.concat_ws(":", "key.id", "key.hash").alias("key")
     found = template_windows(source.select(key, "t"), known)
-    joined = found.join(F.broadcast(items) if small else items, "window")
+    joined = saved(found.join(F.broadcast(items) if small else items, "window"))  # matches only; read twice below
     pairs = joined.groupBy("key", "item_id").agg(F.count_distinct("window").alias("n_found"))
     held = pairs.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.col("n_found") >= CONTAINMENT * F.col("n_windows"))
     slots = joined.select("key", "item_id", F.inline(F.arrays_zip("item_places", "item_values", "values")))
