@@ -1,5 +1,6 @@
 """Licence scans against a brute-force version and the SQL."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -71,3 +72,19 @@ def test_bounds_are_safe():
 def test_plan_is_native(spark, name):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert name not in licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_miss_no_match():
+    rng = random.Random(6)
+    for templates in (licenses.TEMPLATES, licenses.TEMPLATES[:1], (("x", "a b c d e f a b c d"),)):
+        words = licenses.marks(templates)
+        for _, notice in templates:
+            for _ in range(300):
+                own = licenses.words_of(notice)
+                for _ in range(rng.randint(0, len(own) // 3)):
+                    at = rng.randrange(len(own))
+                    own[at : at + rng.randint(0, 2)] = rng.choice([[], ["qq"], ["qq", "zz"]])
+                a, b = Counter(zip(own, own[1:])), Counter(zip(w := licenses.words_of(notice), w[1:]))
+                if own and 2 * (a & b).total() >= 0.8 * (a.total() + b.total()):
+                    said = " ".join(own)
+                    assert any(lead in said and any(x in said for x in others) for lead, others in words.items())

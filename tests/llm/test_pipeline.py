@@ -26,9 +26,10 @@ def plain(docs, items):
         if r not in least or kept[i]["doc_id"] < kept[least[r]]["doc_id"]:
             least[r] = i
     kept = [kept[i] for i in sorted(least.values())]
-    wanted = [set(decontaminate.windows(i["text"] or "")[0].tolist()) for i in items]
+    windows = lambda t: set((w := decontaminate.Windows([t])).hashes[w.whole].tolist())
+    wanted = [windows(i["text"] or "") for i in items]
     leaky = lambda t: any(w and len(w & t) >= 0.8 * len(w) for w in wanted)
-    kept = [d for d in kept if not leaky(set(decontaminate.windows(d["text"])[0].tolist()))]
+    kept = [d for d in kept if not leaky(windows(d["text"]))]
     owners = {}
     for d in kept:
         for *_, h in secrets.candidates(d["text"], secrets.base_spans(d["text"])):
@@ -47,7 +48,7 @@ def plain(docs, items):
 def judged(text):
     n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shout_words = quality.measure(text)
     return not (
-        n_words < 50 or 2 * n_repeat_words > n_words or 10 * n_symbols > n_words or (n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)
+        n_words < 50 or 2 * n_repeat_words > n_words or 10 * n_symbols > n_words or (n_lines >= 10 and 10 * n_dup_lines > 3 * n_lines)
         or word_chars < 2 * n_words or word_chars > 20 * n_words or 2 * n_shout_words > n_words
     )
 
