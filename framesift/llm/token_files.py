@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, shared_dir, text_of, total_bytes
+from framesift.llm.common import shared_dir, text_of, total_bytes
 
 #: Bytes of text that go to one file, and the writer's settings.
 FILE_BYTES = 64 << 20
@@ -33,9 +33,11 @@ WRITER = {
     "parquet.enable.dictionary#start_in_part": "false",
     "compression": "zstd",
 }
-#: Marks that end words, and letters whose lower case Python and the library may see differently.
-MARKS = ".,!?;:"
+#: Words and stems that a Python worker keeps at most: short ones, about 200 bytes each.
+KNOWN_WORDS = 1_000_000
+#: Letters whose lower case Python and the library may see differently, and lower-case letters with marks behind them.
 SPECIAL_CASE = re.compile("[^\0-\u017f]|[\u0130\u017f]")
+LETTERS_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff\u0153]*)([!-/:-@\\[-`{-~]*)\n")
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
 
@@ -44,9 +46,13 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: For lower-case words of letters, which the file's normaliser and pattern leave as they are.
+        self.of_letters = Tokenizer.from_file(path)
+        self.of_letters.normalizer = None
+        self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -61,7 +67,7 @@ class WordEncoder:
         """The same for words of letters only, many in one text, where each is one word of the library's."""
         for k in range(0, len(stems), 1000):
             some = stems[k : k + 1000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            found = self.of_letters.encode(" ".join(some), add_special_tokens=False)
             ids, ends = np.array(found.ids, "<i4").tobytes(), 4 * np.cumsum(np.bincount(found.word_ids, minlength=len(some)))
             ends = ends.tolist()
             yield from zip(some, (ids[a:b] for a, b in zip([0, *ends], ends)))
@@ -69,28 +75,24 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         """Put the ids of new short words in the cache.
 
-        The file's pattern never joins letters with what isn't one, and its ids are those of the lower-case
-        word; so a word of letters before marks is looked up as its lower-case letters and its marks.
+        The file's pattern never joins letters with what isn't one, so lower-case letters before marks are looked up
+        as the letters and the marks; any other word is looked up whole.
         """
-        stems, cut = self.stems, {}
-        if len(stems) > CACHE_ENTRIES:
+        stems = self.stems
+        if len(stems) > KNOWN_WORDS:
             stems.clear()
-        plain = []
-        for word in new:
-            stem = word if word.isalpha() else word.rstrip(MARKS)
-            if stem.isalpha() and not SPECIAL_CASE.search(stem):
-                cut[word] = stem.lower(), word[len(stem) :]
-            else:
-                plain.append(word)
-        self.words.update(self._look_up(plain))
-        stems.update(self._look_up_stems(list({stem for stem, _ in cut.values()}.difference(stems))))
-        stems.update(self._look_up(list({marks for _, marks in cut.values()}.difference(stems))))
-        self.words.update((word, stems[stem] + stems[marks]) for word, (stem, marks) in cut.items())
+        stems[""] = b""
+        pairs = LETTERS_AND_MARKS.findall("\n".join(new) + "\n")  # one a word, as each ends at a line end
+        cut = [(word, *pair) for word, pair in zip(new, pairs) if len(pair[0]) + len(pair[1]) == len(word)]
+        self.words.update(self._look_up(list(set(new).difference(word for word, *_ in cut))))
+        stems.update(self._look_up_stems(list({stem for _, stem, _ in cut}.difference(stems, ("",)))))
+        stems.update(self._look_up(list({marks for *_, marks in cut}.difference(stems))))
+        self.words.update([(word, stems[stem] + stems[marks]) for word, stem, marks in cut])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native (little-endian) 32-bit integers."""
         words = self.words
-        if len(words) > CACHE_ENTRIES:
+        if len(words) > KNOWN_WORDS:
             words.clear()
         lower = (t.lower() if t.isascii() or not SPECIAL_CASE.search(t) else t for t in texts)  # so that fewer words are new
         parts = [t.replace("\n", " ").split(" ") for t in lower]
