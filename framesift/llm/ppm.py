@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import id_of, packed, saved, text_of, total_bytes, unpacked
 
-ORDER = 3
+ORDER = 4
+#: Contexts that are worked on at once.
+CONTEXTS = 4096
 PAD, END = 0xFF, 0xFE
 #: Symbols that can follow: all bytes but the pad.
 SYMBOLS = 255
@@ -47,14 +49,18 @@ def words_of(text: bytes) -> list[bytes]:
 
 def grams_of(text: bytes) -> np.ndarray:
     """For each byte of a text and its end, that byte after its context, as one number."""
-    raw = np.frombuffer(bytes([PAD]) * ORDER + text.lower() + bytes([END]), np.uint8).astype(np.uint32)
-    return raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
+    raw = np.frombuffer(bytes([PAD]) * ORDER + text.lower() + bytes([END]), np.uint8)
+    grams = raw[: len(raw) - ORDER].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        grams <<= 8
+        grams |= raw[k : len(raw) - ORDER + k]
+    return grams
 
 
 def _counts(docs: pa.Table) -> pa.Table:
     """All words and byte sequences of a shard with their counts in its training documents (0: held out only)."""
     words: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    grams: dict[bool, list[np.ndarray]] = {True: [np.empty(0, np.uint32)], False: [np.empty(0, np.uint32)]}
+    grams: dict[bool, list[np.ndarray]] = {True: [np.empty(0, np.int64)], False: [np.empty(0, np.int64)]}
     ends = 0
     for text, out in zip(unpacked(docs.column("t")), docs.column("held_out").to_pylist()):
         words[out].update(words_of(text))
@@ -101,8 +107,8 @@ def gram_lengths(grams: DataFrame) -> DataFrame:
     """``gram`` and ``value``, the log10 probability of its last byte after the others.
 
     ``grams`` has each sequence once with its count ``n`` in training. Contexts that end in the same two bytes
-    meet in one group of 2**16 rows at most; the counts for one byte of context and for none, 2**16 numbers,
-    go to every task.
+    meet in one group of 2**24 rows at most, and are worked on a few at a time; the counts for one byte of
+    context and for none, 2**16 numbers, go to every task.
     """
     pairs = grams.groupBy((F.col("gram") % (1 << 16)).cast("int").alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
     single = np.zeros((256, 256), np.int64)
@@ -112,10 +118,21 @@ def gram_lengths(grams: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         gram, n = (group.column(c).to_numpy() for c in ("gram", "n"))
-        first, row = np.unique(gram >> 24, return_inverse=True)
-        counts = np.zeros((len(first), 256), np.int64)
-        counts[row, gram & 255] = n
-        value = code_lengths(counts, [counts.sum(0), single[gram[0] >> 8 & 255], none])[row, gram & 255]
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        # what follows each context of three bytes and of two, summed over the bytes before them
+        threes, three = np.unique(gram >> 8 & 0xFFFFFF, return_inverse=True)
+        by_three = np.zeros((len(threes), 256), np.int64)
+        np.add.at(by_three, (three, gram & 255), n)
+        shorter = [by_three.sum(0), single[gram[0] >> 8 & 255], none]
+        contexts, row = np.unique(gram >> 8, return_inverse=True)
+        value = np.empty(len(gram))
+        for k in range(0, len(contexts), CONTEXTS):
+            here = slice(*np.searchsorted(row, [k, k + CONTEXTS]))
+            counts = np.zeros((min(CONTEXTS, len(contexts) - k), 256), np.int64)
+            counts[row[here] - k, gram[here] & 255] = n[here]
+            below = by_three[np.searchsorted(threes, contexts[k : k + CONTEXTS] & 0xFFFFFF)]
+            value[here] = code_lengths(counts, [below, *shorter])[row[here] - k, gram[here] & 255]
         return pa.table({"gram": gram, "value": value})
 
     keyed = grams.select("gram", "n", F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int").alias("context"))
@@ -131,7 +148,7 @@ def _scorer(names: list[str], ends: int, total: int, distinct: int):
         counts = dict(zip(values.column("word").drop_null().to_pylist(), values.column("value").to_numpy()[is_word].tolist()))
         gram, value = values.column("gram").to_numpy()[~is_word], values.column("value").to_numpy()[~is_word]
         order = np.argsort(gram)
-        gram, value = gram[order].astype(np.uint32), value[order]
+        gram, value = gram[order], value[order]
         get, rows = counts.get, []
         for text in unpacked(docs.column("t")):
             c = np.array([*map(get, words_of(text), itertools.repeat(0)), ends], np.float64)
