@@ -20,19 +20,19 @@ def plain(rows):
         raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
         tokens = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w] + [None]
         out = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
-        symbols = [255, 255, 255, *raw, 254]
+        symbols = [255] * ppm.ORDER + [*raw, 254]
         prepared.append((doc_id, out, tokens, symbols))
         if not out:
             counts.update(tokens)
-            for i in range(3, len(symbols)):
-                for k in range(4):
+            for i in range(ppm.ORDER, len(symbols)):
+                for k in range(ppm.ORDER + 1):
                     trie[tuple(symbols[i - k : i])][symbols[i]] += 1
     total, distinct = counts.total(), len(counts)
 
     def log_p(context, symbol):
         excluded, p = set(), 0.0
-        for k in (3, 2, 1, 0):
-            here = {s: n for s, n in trie.get(tuple(context[3 - k :]), {}).items() if s not in excluded}
+        for k in range(ppm.ORDER, -1, -1):
+            here = {s: n for s, n in trie.get(tuple(context[ppm.ORDER - k :]), {}).items() if s not in excluded}
             if not here:
                 continue
             t = sum(here.values()) + len(here)
@@ -45,7 +45,7 @@ def plain(rows):
     result = []
     for doc_id, out, tokens, symbols in prepared:
         base = sum(math.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in tokens)
-        score = sum(log_p(symbols[i - 3 : i], symbols[i]) for i in range(3, len(symbols)))
+        score = sum(log_p(symbols[i - ppm.ORDER : i], symbols[i]) for i in range(ppm.ORDER, len(symbols)))
         result.append((doc_id, out, len(tokens), sum(counts[t] > 0 for t in tokens), total, base, score))
     return result
 
