@@ -2,7 +2,8 @@
 
 A passage is a line or a paragraph. Dice is taken over bigrams with their counts, so a passage of n words has
 n - 1 of them, and a score of t needs a size between t / (2 - t) and (2 - t) / t times the template's: most
-templates are pruned for most passages by that comparison of two numbers. All of it is built-in functions on
+templates are pruned for most passages by that comparison of two numbers. Sizes also say how many bigrams a
+match has to share, and so give a few words of which a text with any match has one. All of it is built-in functions on
 the document's own row; nothing is shuffled.
 """
 
@@ -12,7 +13,9 @@ import re
 import string
 from collections import Counter
 from fractions import Fraction
+from functools import reduce
 from math import ceil, floor
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +64,47 @@ def bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return ceil(size * t / (2 - t)), floor(size * (2 - t) / t)
 
 
-def passages(text: Column) -> Column:
-    """The word bigrams of every line and paragraph with two words or more."""
+def marks(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> dict[str, list[str]]:
+    """Bigrams, as a longer word and the shorter ones beside it, of which every text with a match holds one.
+
+    A match of a template of m bigrams shares k of them or more, k following from the smallest size that can match;
+    so it shares one of any m - k + 1. Of each template so many are chosen, those of long words first.
+    """
+    t, chosen = Fraction(str(threshold)), {}
+    for _, notice in templates:
+        pairs = [tuple(sorted(pair.split(), key=len, reverse=True)) for pair in bigrams_of(notice)]
+        low, _ = bounds(len(pairs), threshold)
+        need = len(pairs) - ceil(t * (low + len(pairs)) / 2) + 1
+        for lead, other in sorted(pairs, key=lambda p: (p[0] in chosen, len(p[0]), len(p[1])), reverse=True)[:need]:
+            chosen.setdefault(lead, set()).add(other)
+    return {lead: sorted(others) for lead, others in chosen.items()}
+
+
+def may_match(text: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """True for all texts with a match, and few others."""
+    lower = F.lower(text)
+    holds = lambda word: F.contains(lower, F.lit(word))
+    return reduce(or_, (holds(lead) & reduce(or_, map(holds, others)) for lead, others in marks(templates, threshold).items()))
+
+
+def passages(text: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """The word bigrams of every line and paragraph that any template can match.
+
+    Its number of words has to be within the bounds of some template, and two words that follow each other have to
+    do so in templates, or it is left out before its bigrams are made.
+    """
+    sizes = [bounds(len(bigrams_of(notice)), threshold) for _, notice in templates]
+    low, high = max(1, min(a for a, _ in sizes)), max(b for _, b in sizes)
+    shared = {tuple(pair.split()) for _, notice in templates for pair in bigrams_of(notice)}
+    firsts, seconds = (sorted(set(side)) for side in zip(*shared))
     plain = F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9\n]+", " ")
-    units = F.array_distinct(F.concat(F.split(plain, "\n"), F.transform(F.split(plain, "\n(?: ?\n)+"), lambda x: F.translate(x, "\n", " "))))
-    words = F.transform(units, lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    # a line end and the spaces around it are three marks at most, so many more spaces than words mean too many words
+    parts = F.transform(F.split(plain, "\n(?: ?\n)+"), lambda x: F.translate(x, "\n", " "))
+    short = F.filter(parts, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) <= 3 * (high + 1))
+    words = F.transform(F.concat(F.split(plain, "\n"), short), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    meets = lambda w: F.size(F.filter(w, lambda x, i: x.isin(firsts) & F.get(w, i + 1).isin(seconds))) > 0
     pair = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.transform(F.filter(words, lambda w: F.size(w) > 1), pair)
+    return F.transform(F.filter(words, lambda w: F.size(w).between(low + 1, high + 1) & meets(w)), pair)
 
 
 def _score(unit: Column, name: str, notice: str, threshold: float) -> Column:
@@ -100,7 +137,8 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
     Null, empty and one-word texts give no rows; repeated documents give their rows each; an empty table gives
     an empty result; other columns are ignored. Texts are scanned whole, whatever their length.
     """
-    units = docs.select("doc_id", passages(F.col("text").cast("string")).alias("_passages"))
+    texts = docs.where(may_match(F.col("text").cast("string"), templates, threshold))
+    units = texts.select("doc_id", passages(F.col("text").cast("string"), templates, threshold).alias("_passages"))
     found = units.select("doc_id", matches(templates, threshold).alias("found")).where(F.size("found") > 0)
     names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"])))
     top = lambda name: F.array_max(F.transform(F.filter("found", lambda x: x["license"] == name), lambda x: x["dice"]))
