@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, decontaminate, licenses, ppm, quality, secrets, simhash, substrings, token_count, token_files
+from framesift.llm import byte_bpe, decontaminate, licenses, oracles, ppm, quality, secrets, simhash, substrings, token_count, token_files
 from framesift.llm.common import documents, read
 
 
@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op9_license_scan": licenses.oracle()}
+ORACLES: dict[str, str] = oracles.ORACLES
