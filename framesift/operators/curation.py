@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from framesift.functions.scalars import clamped_rating
 from framesift.operators.pages import CAPTURE_ORDER, ordering
 from framesift.schema import MAX_RATING
+from framesift.storage import saved
 
 
 def placed(rows: DataFrame, order: Sequence = CAPTURE_ORDER, *by: str) -> DataFrame:
     """``rows`` with ``place``, from 1 in the given order, within each group of ``by``.
 
-    Rows are dealt out by a range of the order; each partition counts its own and adds what stands before it, so
-    neither a large group nor the lack of one ends in a single task.
+    Rows are dealt out by a range of the order and written with the number of their range; each range counts its own
+    rows and adds what stands before it, so neither a large group nor the lack of one ends in a single task. They
+    are written, as another run of the same plan may draw other ranges.
     """
     keys = [*(F.asc(c) for c in by), *ordering(order)]
-    dealt = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    dealt = saved(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*ordering(order)))
     counts = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

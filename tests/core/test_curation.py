@@ -170,3 +170,20 @@ def test_save_shape_twice(spark):
     once = shape.save_shape(old, photos, wanted, 14)
     expected = {("p", "a", "b", False), ("p", "b", "c", True), ("p", "x", "y", True)}
     assert set(map(tuple, once.collect())) == expected == set(map(tuple, shape.save_shape(once, photos, wanted, 14).collect()))
+
+
+def test_places_over_many_partitions(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("p"), F.col("id") % 3).alias("project_id"), F.col("id").cast("string").alias("id"), ((F.col("id") * 7919) % 1000).alias("captured_at"), F.lit("x").alias("relative_path")).repartition(7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for by in ((), ("project_id",)):
+            found = [(tuple(r[c] for c in by), r["captured_at"], r["id"], r["place"]) for r in curation.placed(rows, pages.CAPTURE_ORDER, *by).collect()]
+            places = {}
+            for group, _, _, place in sorted(found):
+                places[group] = places.get(group, 0) + 1
+                assert place == places[group]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
