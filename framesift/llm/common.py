@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.storage import saved, shared_dir  # noqa: F401  the operators take them from here
+
 #: Rows and bytes in one Arrow batch: a batch of usual texts is a few megabytes, and one of long texts has fewer rows.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Python workers keep at most so many entries in a cache, then start it anew.
@@ -34,23 +34,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='framesift-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def saved(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framesift-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """The text as a string, a null one as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
