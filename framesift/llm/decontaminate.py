@@ -182,4 +182,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     doc_id, text = (f"k{names.index(c)}" for c in ("doc_id", "text"))
     rows = docs.toDF(*(f"k{i}" for i in range(len(names)))).withColumn("key", F.concat_ws(":", id_of(doc_id, text), F.xxhash64(text_of(text))))
     dirty = leaks(docs.select("doc_id", "text"), benchmark, broadcast_windows).select("key").distinct()
-    return rows.join(dirty, "key", "left_anti").drop("key").toDF(*names)
+    # a merge join at any size: what leaks grows with the corpus
+    return rows.join(dirty.hint("merge"), "key", "left_anti").drop("key").toDF(*names)
