@@ -20,7 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, text_of
+from framesift.llm.common import text_of
+
+#: Entries of each of the two caches of a Python worker, about 200 bytes each.
+KNOWN_PIECES = 400_000
 
 _SHIFT = 40
 _NONE = 1 << 62
@@ -184,7 +187,7 @@ class ByteBPE:
     def _encode_pieces(self, lists: list[list[str]]) -> list[bytes]:
         """The packed ids of each list of pieces; pieces not met before are merged together."""
         pieces = self.pieces
-        if len(pieces) > CACHE_ENTRIES:
+        if len(pieces) > KNOWN_PIECES:
             pieces.clear()
         new = list(set().union(*lists).difference(pieces))
         raw = [p.encode() for p in new]
@@ -209,7 +212,7 @@ class ByteBPE:
         text.
         """
         chunks, split = self.chunks, self.split
-        if len(chunks) > CACHE_ENTRIES:
+        if len(chunks) > KNOWN_PIECES:
             chunks.clear()
         parts = [t.split(" ") for t in texts]
         new, long = [], {}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, id_of, saved, text_of
+from framesift.llm.common import id_of, saved, text_of
 
 WINDOW = 5
 #: Windows with fewer literal words keep their values: placeholders alone say nothing.
@@ -27,8 +27,8 @@ CONTAINMENT = CONSISTENCY = 0.8
 #: Up to this many window hashes go to every task, to filter there (8 bytes each); beyond it all windows are joined.
 BROADCAST_WINDOWS = 2_000_000
 
-#: Characters of text that are windowed at once.
-PORTION = 4 << 20
+#: Characters of text that are windowed at once, and words whose kinds a Python worker keeps.
+PORTION, KNOWN_WORDS = 4 << 20, 300_000
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Units of measure.
@@ -58,7 +58,7 @@ class _Kinds(dict):
     """Word to its hash, with the kind in the two lowest bits; 0 for a word of marks only."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         lower, kind = kind_of(word.decode())
         value = self[word] = (xxhash.xxh64_intdigest(lower) & ~3 | kind) if lower else 0
