@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from framesift.llm.common import id_of, packed, saved, text_of, total_bytes, unpacked
 
 ORDER = 4
-#: Contexts that are worked on at once.
-CONTEXTS = 4096
+#: Contexts that are worked on at once, and byte sequences that are gathered before they are counted.
+CONTEXTS, GATHERED = 4096, 2 << 20
 PAD, END = 0xFF, 0xFE
 #: Symbols that can follow: all bytes but the pad.
 SYMBOLS = 255
@@ -57,17 +57,42 @@ def grams_of(text: bytes) -> np.ndarray:
     return grams
 
 
+class _Grams:
+    """Counts of byte sequences, gathered a few megabytes of text at a time."""
+
+    def __init__(self):
+        self.waiting, self.size, self.parts = [], 0, []
+
+    def add(self, grams: np.ndarray) -> None:
+        self.waiting.append(grams)
+        self.size += len(grams)
+        if self.size > GATHERED:
+            self._count()
+
+    def _count(self) -> None:
+        if self.waiting:
+            self.parts.append(np.unique(np.concatenate(self.waiting), return_counts=True))
+            self.waiting, self.size = [], 0
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each sequence, in order, and how often it was added."""
+        self._count()
+        grams, times = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*self.parts) if self.parts else ((), ())))
+        known, at = np.unique(grams, return_inverse=True)
+        return known, np.bincount(at, times, len(known)).astype(np.int64)
+
+
 def _counts(docs: pa.Table) -> pa.Table:
     """All words and byte sequences of a shard with their counts in its training documents (0: held out only)."""
     words: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    grams: dict[bool, list[np.ndarray]] = {True: [np.empty(0, np.int64)], False: [np.empty(0, np.int64)]}
+    grams = {True: _Grams(), False: _Grams()}
     ends = 0
     for text, out in zip(unpacked(docs.column("t")), docs.column("held_out").to_pylist()):
         words[out].update(words_of(text))
-        grams[out].append(grams_of(text))
+        grams[out].add(grams_of(text))
         ends += not out
-    known, times = np.unique(np.concatenate(grams[False]), return_counts=True)
-    other = np.setdiff1d(np.concatenate(grams[True]), known)
+    known, times = grams[False].counts()
+    other = np.setdiff1d(grams[True].counts()[0], known)
     new = words[True].keys() - words[False].keys()
     n_words, n_grams = len(words[False]) + len(new), len(known) + len(other)
     shard = docs.column("shard")[0].as_py()
