@@ -14,9 +14,8 @@ def civil_ms(year: Column, month: Column, day: Column, hour: Column, minute: Col
 
     Second 60 counts as the first of the next minute.
     """
-    midnight = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
     good = year.between(1900, 2999) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 60)
-    return F.when(good, (F.unix_date(midnight).cast("bigint") * 86_400 + hour * 3600 + minute * 60 + second) * 1000)
+    return F.when(good, F.unix_millis(F.try_make_timestamp(year, month, day, hour, minute, second, F.lit("UTC"))))
 
 
 def _numbers(parts: list[Column]) -> list[Column]:
@@ -62,10 +61,15 @@ def groups_ms(groups: Column) -> Column:
 
 def filename_ms(name: Column) -> Column:
     """The time in a file name without its extension: the first place in its digit groups that gives one."""
-    groups = digit_groups(stem(name))
-    starts = F.when(F.size(groups) > 0, F.sequence(F.lit(1), F.size(groups))).otherwise(F.array().cast("array<int>"))
-    times = F.transform(starts, lambda i: groups_ms(F.slice(groups, i, F.lit(6))))
-    return F.try_element_at(F.filter(times, lambda t: t.isNotNull()), F.lit(1))
+
+    def first_time(groups: Column) -> Column:
+        starts = F.when(F.size(groups) > 0, F.sequence(F.lit(1), F.size(groups))).otherwise(F.array().cast("array<int>"))
+        likely = F.filter(starts, lambda i: F.length(F.element_at(groups, i)).isin(4, 8, 14))
+        times = F.transform(F.transform(likely, lambda i: F.slice(groups, i, F.lit(6))), groups_ms)
+        return F.try_element_at(F.filter(times, lambda t: t.isNotNull()), F.lit(1))
+
+    # in an array of one, so that the groups are taken once and not wherever they are named
+    return F.element_at(F.transform(F.array(digit_groups(stem(name))), first_time), 1)
 
 
 def stem(name: Column) -> Column:
