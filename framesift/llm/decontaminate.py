@@ -4,6 +4,10 @@ Numbers, names and units of a text become typed placeholders, so a question keep
 are exchanged. Windows of ``WINDOW`` words of the templates are joined by hash. A document leaks an item if it
 holds 80 % of the item's windows and the values that stand in the slots agree: where a value of the item
 stands in several places, one and the same value has replaced it there.
+
+A text is windowed in three views, and any of them may show a leak: its template; the template in any case, where
+names are words like others, as capitals don't tell them; and the template with each run of names or numbers as one
+slot, as a name may be replaced by a longer one.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ BROADCAST_WINDOWS = 2_000_000
 PORTION, KNOWN_WORDS = 4 << 20, 300_000
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
+TEMPLATE, ANY_CASE, RUNS = VIEWS = range(3)
+#: Runs of more words are compared by hash.
+RUN_WORDS = 16
 #: Units of measure.
 UNITS = frozenset(
     "% mm cm m km in inch inches ft foot feet yd yard yards mi mile miles g gram grams kg kilogram kilograms mg lb lbs pound pounds oz ounce ounces ton tons "
@@ -40,6 +47,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _EDGES = " .,;:!?\"'()[]{}<>|*#&“”‘’«»…-–—_"
 _ODD = [np.uint64(xxhash.xxh64_intdigest(f"template {i}") | 1) for i in range(2 * WINDOW + 1)]
+#: Keeps the windows of the views apart.
+_SALTS = [np.uint64(0), *(np.uint64(xxhash.xxh64_intdigest(f"view {i}")) for i in VIEWS[1:])]
 _KINDS = np.array([xxhash.xxh64_intdigest(f"kind {i}") for i in range(4)], np.uint64)
 
 
@@ -71,33 +80,75 @@ _kinds = _Kinds()
 class Windows:
     """All template windows of some texts; windows and words of all texts stand in one row of arrays."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], view: int = TEMPLATE):
         split = [t.encode().split() for t in texts]
         self.words = list(itertools.chain.from_iterable(split))
         codes = np.array(list(map(_kinds.__getitem__, self.words)), np.uint64)
         text = np.repeat(np.arange(len(texts)), list(map(len, split)))
         if not codes.all():
             self.words, text, codes = [w for w, c in zip(self.words, codes.tolist()) if c], text[codes > 0], codes[codes > 0]
-        self.kinds = (codes & np.uint64(3)).astype(np.int8)
+        self.n_texts, self.codes, self.text_of_word = len(texts), codes >> np.uint64(2), text
+        self.kind_of_word = (codes & np.uint64(3)).astype(np.int8)
+        self.look(view)
+
+    def look(self, view: int) -> Windows:
+        """Put the windows of a view in place."""
+        codes, self.kinds, text = self.codes, self.kind_of_word, self.text_of_word
+        #: Where each of the view's words begins among all words.
+        self.starts = None
+        if view == RUNS and len(codes):
+            goes_on = (self.kinds[1:] == self.kinds[:-1]) & ((self.kinds[1:] == NAME) | (self.kinds[1:] == NUMBER)) & (text[1:] == text[:-1])
+            self.starts = np.flatnonzero(np.r_[True, ~goes_on])
+            codes, self.kinds, text = np.add.reduceat(codes, self.starts), self.kinds[self.starts], text[self.starts]
+        self.literal = self.kinds == LITERAL
+        if view == ANY_CASE:
+            self.literal |= self.kinds == NAME
         #: Where each text's words begin.
-        self.begins = np.searchsorted(text, np.arange(len(texts)))
+        self.begins = np.searchsorted(text, np.arange(self.n_texts))
         n = max(0, len(codes) - WINDOW + 1)
-        literal, codes = self.kinds == LITERAL, codes >> np.uint64(2)
-        template = np.where(literal, codes, _KINDS[self.kinds])
-        said = np.cumsum(np.r_[0, literal])
+        template = np.where(self.literal, codes, _KINDS[self.kinds])
+        said = np.cumsum(np.r_[0, self.literal])
         #: Windows with placeholders.
         self.open = said[WINDOW:] - said[:-WINDOW] >= LITERALS if n else np.empty(0, bool)
-        as_template, as_said = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        mixed = np.zeros(n, np.uint64)
+        for j in range(WINDOW):
+            mixed += template[j : j + n] * _ODD[j]
+        closed = np.flatnonzero(~self.open)
+        mixed[closed] = 0
         for j in range(WINDOW):
-            as_template += template[j : j + n] * _ODD[j]
-            as_said += codes[j : j + n] * _ODD[WINDOW + j]
-        mixed = np.where(self.open, as_template, as_said)
+            mixed[closed] += codes[closed + j] * _ODD[WINDOW + j]
         mixed ^= mixed >> np.uint64(29)
         mixed *= _ODD[-1]
-        self.hashes = mixed ^ mixed >> np.uint64(32)
+        self.hashes = mixed ^ mixed >> np.uint64(32) ^ _SALTS[view]
         self.text = text[:n]
         #: Windows within one text; the others only fill the row.
         self.whole = text[:n] == text[WINDOW - 1 :] if n else np.empty(0, bool)
+        return self
+
+    def value(self, j: int) -> str:
+        """What stands at a place of the view."""
+        if self.starts is None:
+            return kind_of(self.words[j].decode())[0]
+        end = int(self.starts[j + 1]) if j + 1 < len(self.starts) else len(self.words)
+        run = " ".join(kind_of(w.decode())[0] for w in self.words[int(self.starts[j]) : end])
+        return run if end - self.starts[j] <= RUN_WORDS else xxhash.xxh64_hexdigest(run)
+
+
+class Known:
+    """Hashes to look others up in: most are ruled out by a table of their low bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.low = np.uint64((1 << max(20, (8 * len(hashes)).bit_length())) - 1)
+        self.table = None
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Where ``hashes`` are known, in order."""
+        if self.table is None:  # made in the task, so that only the hashes are sent
+            self.table = np.zeros(int(self.low) + 1, bool)
+            self.table[self.hashes & self.low] = True
+        at = np.flatnonzero(self.table[hashes & self.low])
+        return at[self.hashes[np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)] == hashes[at]] if len(at) else at
 
 
 def _portions(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -112,75 +163,83 @@ def _portions(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield keys[start:], texts[start:]
 
 
-def _window_rows(known: np.ndarray | None):
-    """(key, text) to (key, window, places, values) with the slots' places and values; only windows among the sorted ``known``, if given."""
+def _window_rows(known: Known | None, views: tuple[int, ...]):
+    """(key, text) to (key, view, window, places, values) with the slots' places and values; only windows that are ``known``, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 all_ = Windows(texts)
-                chosen = all_.whole
-                if known is not None:
-                    chosen = chosen & (known[np.minimum(np.searchsorted(known, all_.hashes), len(known) - 1)] == all_.hashes) if len(known) else np.zeros(len(chosen), bool)
-                own, places, values = [], [], []
-                at = np.flatnonzero(chosen)
-                for i, text, open_ in zip(at.tolist(), all_.text[at].tolist(), all_.open[at].tolist()):
-                    slots = [j for j in range(i, i + WINDOW) if all_.kinds[j] != LITERAL] if open_ else []
-                    own.append(keys[text])
-                    places.append([j - int(all_.begins[text]) for j in slots])
-                    values.append([kind_of(all_.words[j].decode())[0] for j in slots])
-                columns = [pa.array(own, batch.schema.types[0]), pa.array(all_.hashes[at].view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "window", "places", "values"])
+                for view in views:
+                    all_.look(view)
+                    at = np.arange(len(all_.hashes)) if known is None else known(all_.hashes)
+                    at = at[all_.whole[at]]
+                    own, places, values = [], [], []
+                    for i, text, open_ in zip(at.tolist(), all_.text[at].tolist(), all_.open[at].tolist()):
+                        slots = [j for j in range(i, i + WINDOW) if not all_.literal[j]] if open_ else []
+                        own.append(keys[text])
+                        places.append([j - int(all_.begins[text]) for j in slots])
+                        values.append([all_.value(j) for j in slots])
+                    columns = [pa.array(own, batch.schema.types[0]), pa.array([view] * len(own), pa.int32()), pa.array(all_.hashes[at].view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "view", "window", "places", "values"])
 
     return run
 
 
-def template_windows(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """Windows of ``rows`` (key, t): key, window, and the places and values of the slots."""
+def template_windows(rows: DataFrame, known: Known | None = None, views: tuple[int, ...] = (TEMPLATE,)) -> DataFrame:
+    """Windows of ``rows`` (key, t): key, view, window, and the places and values of the slots."""
     key = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "t").mapInArrow(_window_rows(known), f"key {key}, window long, places array<long>, values array<string>")
+    return rows.select("key", "t").mapInArrow(_window_rows(known, views), f"key {key}, view int, window long, places array<long>, values array<string>")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False) -> DataFrame:
     """``key`` (struct of id and text hash), item_id, and how much of the item the document holds.
 
     n_windows and n_found count windows of the item; containment is their quotient; consistency is the share
-    of the item's repeated values that have one value in the document (1 if there are none). Only leaks are returned. Null
+    of the item's repeated values that have one value in the document (1 if there are none). Only leaks are returned,
+    with the measures of the first view that shows them; runs as one slot count only where the template holds too few
+    windows, so they don't overrule its values. Copies in another case are leaks with ``any_case``. Null
     texts and texts or items of fewer than ``WINDOW`` words have no windows and leak nothing; equal rows count
     as one; empty tables give an empty result. Items with one item_id count as one item.
     """
-    items = template_windows(benchmark.select(F.col("item_id").cast("long").alias("key"), text_of().alias("t"))).withColumnsRenamed({"key": "item_id", "places": "item_places", "values": "item_values"})
-    sizes = items.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
+    views = VIEWS if any_case else (TEMPLATE, RUNS)
+    source = benchmark.select(F.col("item_id").cast("long").alias("key"), text_of().alias("t"))
+    items = saved(template_windows(source, None, views)).withColumnsRenamed({"key": "item_id", "places": "item_places", "values": "item_values"})
+    sizes = items.groupBy("item_id", "view").agg(F.count_distinct("window").alias("n_windows"))
     hashes = items.select("window").distinct()
     small = hashes.count() <= broadcast_windows
-    known = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if small else None
+    known = Known(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if small else None
     source = docs.select(F.struct(id_of().alias("id"), F.xxhash64(text_of()).alias("hash")).alias("key"), text_of().alias("t"))
     key = F.concat_ws(":", "key.id", "key.hash").alias("key")
-    found = template_windows(source.select(key, "t"), known)
+    found = template_windows(source.select(key, "t"), known, views).drop("view", "places")
     joined = saved(found.join(F.broadcast(items) if small else items, "window"))  # matches only; read twice below
-    pairs = joined.groupBy("key", "item_id").agg(F.count_distinct("window").alias("n_found"))
-    held = pairs.join(F.broadcast(sizes) if small else sizes, "item_id").where(F.col("n_found") >= CONTAINMENT * F.col("n_windows"))
-    slots = joined.select("key", "item_id", F.inline(F.arrays_zip("item_places", "item_values", "values")))
-    counted = slots.groupBy("key", "item_id", "item_places", "item_values", "values").agg(F.count("*").alias("n"))
-    usual = counted.groupBy("key", "item_id", "item_places", "item_values").agg(F.max_by("values", F.struct("n", "values")).alias("value"))
-    by_value = usual.groupBy("key", "item_id", "item_values").agg(F.count("*").alias("places"), F.count_distinct("value").alias("kinds"))
-    agreed = by_value.where("places > 1").groupBy("key", "item_id").agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency"))
-    both = held.join(agreed, ["key", "item_id"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return both.where(F.col("consistency") >= CONSISTENCY).select("key", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"), "consistency")
-
-
-def query(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    pair = ["key", "item_id", "view"]
+    pairs = joined.groupBy(*pair).agg(F.count_distinct("window").alias("n_found"))
+    held = pairs.join(F.broadcast(sizes) if small else sizes, ["item_id", "view"]).where(F.col("n_found") >= CONTAINMENT * F.col("n_windows"))
+    slots = joined.select(*pair, F.inline(F.arrays_zip("item_places", "item_values", "values")))
+    counted = slots.groupBy(*pair, "item_places", "item_values", "values").agg(F.count("*").alias("n"))
+    usual = counted.groupBy(*pair, "item_places", "item_values").agg(F.max_by("values", F.struct("n", "values")).alias("value"))
+    by_value = usual.groupBy(*pair, "item_values").agg(F.count("*").alias("places"), F.count_distinct("value").alias("kinds"))
+    agreed = by_value.where("places > 1").groupBy(*pair).agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency"))
+    both = held.join(agreed, pair, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    measures = both.groupBy("key", "item_id").agg(F.sort_array(F.collect_list(F.struct("view", "n_windows", "n_found", "consistency"))).alias("seen"))
+    shown = F.filter("seen", lambda x: (x["consistency"] >= CONSISTENCY) & ((x["view"] != RUNS) | (F.col("seen")[0]["view"] != TEMPLATE)))
+    first = measures.select("key", "item_id", F.get(shown, F.lit(0)).alias("first")).where("first is not null").select("key", "item_id", "first.*")
+    return first.select("key", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"), "consistency")
+
+
+def query(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False) -> DataFrame:
     """doc_id, item_id and the measures of each leak; a null doc_id stays null, and equal rows give one."""
-    found = leaks(docs, benchmark, broadcast_windows)
+    found = leaks(docs, benchmark, broadcast_windows, any_case)
     known = docs.select(F.concat_ws(":", id_of(), F.xxhash64(text_of())).alias("key"), "doc_id").distinct()
     return known.join(found, "key").drop("key")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns, whatever their names."""
     names = docs.columns
     doc_id, text = (f"k{names.index(c)}" for c in ("doc_id", "text"))
     rows = docs.toDF(*(f"k{i}" for i in range(len(names)))).withColumn("key", F.concat_ws(":", id_of(doc_id, text), F.xxhash64(text_of(text))))
-    dirty = leaks(docs.select("doc_id", "text"), benchmark, broadcast_windows).select("key").distinct()
+    dirty = leaks(docs.select("doc_id", "text"), benchmark, broadcast_windows, any_case).select("key").distinct()
     # a merge join at any size: what leaks grows with the corpus
     return rows.join(dirty.hint("merge"), "key", "left_anti").drop("key").toDF(*names)

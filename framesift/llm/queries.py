@@ -24,7 +24,7 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.query(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+    return decontaminate.query(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

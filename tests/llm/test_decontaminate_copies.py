@@ -1,0 +1,25 @@
+"""Copies of benchmark items in another case or with longer names are leaks."""
+
+import pytest
+from framesift.llm import decontaminate as de
+
+ITEM = "A train leaves Boston at 5 pm and travels 60 miles in 2 hours before Alice boards the train in Boston again."
+SHOUTED = "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT"
+ITEMS = [(1, ITEM), (2, SHOUTED)]
+FILL = " lorem ipsum dolor sit amet consectetur "
+LEAKS = [
+    (1, FILL + ITEM.upper() + FILL, 1), (2, FILL + ITEM.lower() + FILL, 1), (3, SHOUTED.lower(), 2),
+    (4, ITEM.replace("Boston", "New York").replace("60", "12 500"), 1), (5, ITEM.upper().replace("60", "75"), 1),
+]
+#: Two towns for one, and words that only share the numbers.
+CLEAN = [(11, ITEM.replace("Boston", "New York", 1).replace("Boston", "San Jose")), (12, "ONE 5 TWO 60 THREE 2 FOUR HOURS FIVE")]
+
+
+@pytest.mark.parametrize("broadcast_windows", [de.BROADCAST_WINDOWS, 0])
+def test_copies(spark, broadcast_windows):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in LEAKS] + CLEAN, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = de.query(docs, items, broadcast_windows, any_case=True).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, item) for i, _, item in LEAKS]
+    assert all(r["containment"] > 0.9 and r["consistency"] == 1 for r in found)  # a window of numbers and units only keeps its values
+    assert sorted(r["doc_id"] for r in de.keep_clean(docs, items, broadcast_windows, any_case=True).collect()) == [11, 12]
