@@ -48,7 +48,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.query(documents(spark, sf_dir))
+    return secrets.query(documents(spark, sf_dir), verdicts=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

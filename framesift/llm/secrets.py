@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 The scan finds assignments, access keys and long hex strings by pattern, and other tokens that look random as
-candidates. Candidates are hashed and counted by the distinct repositories and owners that hold them: one that
-several owners hold is a widely copied example, one that a single owner holds is a live-looking credential and
-is added to the spans. Nothing but hashes, positions and owners leaves the scan.
+candidates. The values of both are hashed and counted by the distinct repositories and owners that hold them: one
+that several owners hold is a widely copied example, one that a single owner holds is a live-looking credential; of
+the candidates these are added to the spans. Nothing but hashes, positions and owners leaves the scan.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from framesift.llm.common import saved, text_of
 
 KINDS = ("assign", "access", "hex", "live")
+#: What a verdict is on: the value of a base span, or a candidate.
+VALUES, CANDIDATE = ("assign", "access", "hex", "token"), 3
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Upper- and lower-case ASCII letters only are alike, hence re.ASCII.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,7 +34,7 @@ PLACEHOLDER = "[SECRET]"
 #: A candidate has at least so many bits of entropy a character; one with more owners than this is an example.
 ENTROPY, OWNERS = 3.0, 1
 
-_CANDIDATES = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("hash", "string"))
+_FOUND = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("kind", "integer").add("hash", "string"))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,6 +66,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return found
 
 
+def base_values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
+    """(start, end, kind, hash of the value) of the base spans; an assignment's value is what is assigned, without a full stop behind it."""
+    found = []
+    for start, kind, end in base:
+        value = text[start:end]
+        if kind == 0:
+            said = ASSIGN.match(text, start)[2]
+            value = said.rstrip(".") or said
+        found.append((start, end, kind, hashlib.sha256(value.encode()).hexdigest()))
+    return found
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     """Spans as kind:start:end, comma-joined."""
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
@@ -80,12 +94,12 @@ def redacted(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _scan(docs: DataFrame, kept: int, doc_id: Column, text: Column, owner: Column, repository: Column) -> DataFrame:
-    """The first ``kept`` columns, the row's key, owner and repository, the base spans and the candidates."""
+    """The first ``kept`` columns, the row's key, owner and repository, the base spans, and their values and the candidates as ``found``."""
     names = docs.columns[:kept]
     source = docs.select(*names, doc_id.cast("string").alias("_id"), text.alias("_text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string())]))
+        kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("hash", pa.string())]))
         for batch in batches:
             keys, counts, sums, spans, found = [], [], [], [], []
             for i, t in zip(batch.column(kept).to_pylist(), batch.column(kept + 1).to_pylist()):
@@ -95,7 +109,8 @@ def _scan(docs: DataFrame, kept: int, doc_id: Column, text: Column, owner: Colum
                 counts.append([sum(kind == k for _, kind, _ in base) for k in range(3)])
                 sums.append(hashlib.sha256(said.encode()).hexdigest())
                 spans.append(said)
-                found.append([{"start": a, "end": b, "hash": h} for a, b, h in candidates(t, base)])
+                values = base_values(t, base) + [(a, b, CANDIDATE, h) for a, b, h in candidates(t, base)]
+                found.append([{"start": a, "end": b, "kind": k, "hash": h} for a, b, k, h in values])
             numbers = [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else ((), (), ()))]
             columns = [*batch.columns[:kept], pa.array(keys, pa.binary()), batch.column(kept + 2), batch.column(kept + 3), *numbers, pa.array(sums, pa.string()), pa.array(spans, pa.string()), pa.array(found, kinds)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "key", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found"])
@@ -103,11 +118,11 @@ def _scan(docs: DataFrame, kept: int, doc_id: Column, text: Column, owner: Colum
     schema = source.select(*names).schema.add("key", "binary").add("owner", "string").add("repository", "string")
     for c in ("n_assign", "n_access", "n_hex"):
         schema = schema.add(c, "long")
-    return source.mapInArrow(run, schema.add("base_sha256", "string").add("base", "string").add("found", _CANDIDATES))
+    return source.mapInArrow(run, schema.add("base_sha256", "string").add("base", "string").add("found", _FOUND))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``hash``, ``n_owners``, ``n_repositories`` and ``live`` of all candidates (hash, owner, repository).
+    """``hash``, ``n_owners``, ``n_repositories`` and ``live`` of all values (hash, owner, repository).
 
     Distinct triples are formed before the shuffle, so an example that a third of all documents copy costs a row
     for each owner and task. A null owner or repository counts as one of its own.
@@ -118,44 +133,67 @@ def ownership(found: DataFrame) -> DataFrame:
     return counted.withColumn("live", F.col("n_owners") <= OWNERS)
 
 
+def _each(scanned: DataFrame) -> DataFrame:
+    """A row for each value found."""
+    return scanned.select("key", "owner", "repository", F.explode("found").alias("c")).select("key", "owner", "repository", "c.*")
+
+
 def _added(scanned: DataFrame) -> DataFrame:
     """``key`` and ``live``: the spans (start, end) of its live candidates, in order."""
-    each = scanned.select("key", "owner", "repository", F.explode("found").alias("c")).select("key", "owner", "repository", "c.*")
+    each = _each(scanned)
     live = ownership(each).where("live").select("hash")
-    return each.join(live, "hash").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("live"))
+    return each.where(F.col("kind") == CANDIDATE).join(live, "hash").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("live"))
+
+
+def _judged(scanned: DataFrame) -> DataFrame:
+    """``key`` and ``judged``: all its values with their verdicts, in order."""
+    each = _each(scanned)
+    verdict = F.struct("start", "kind", "end", "live", "n_owners", "n_repositories")
+    return each.join(ownership(each), "hash").groupBy("key").agg(F.sort_array(F.collect_set(verdict)).alias("judged"))
 
 
-def query(docs: DataFrame) -> DataFrame:
+def query(docs: DataFrame, verdicts: bool = False) -> DataFrame:
     """Counts, digest and spans of each row of ``docs``; owner is the source, a repository a source and language.
 
     A null text counts as empty and has no spans. Repeated rows give a row each and count once for ownership; a
     null source or language is an owner or repository of its own; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. With ``verdicts`` further columns tell live values from examples: n_live_base and n_examples
+    count base spans with a live value, and values of either sort that are examples; verdicts has each value as
+    kind:start:end:verdict:owners:repositories, comma-joined.
     """
     source = docs.select("doc_id", text_of().alias("t"), "source", "lang")
     repository = F.concat_ws("/", "source", "lang")
     scanned = saved(_scan(source.select("doc_id", "t", "source", "lang"), 1, F.col("doc_id"), F.col("t"), F.col("source"), repository))
-    rows = scanned.join(_added(scanned), "key", "left")
+    rows = scanned.join(_judged(scanned), "key", "left")
     base = F.filter(F.split("base", ","), lambda x: x != "")
     place = lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("long").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split_part(x, F.lit(":"), F.lit(1))).alias("kind"), x.alias("said"))
-    live = F.transform(F.coalesce("live", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda x: F.concat_ws(":", F.lit("live"), x["start"], x["end"]))
+    judged = F.coalesce("judged", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,n_owners:bigint,n_repositories:bigint>>"))
+    live = F.transform(F.filter(judged, lambda x: x["live"] & (x["kind"] == CANDIDATE)), lambda x: F.concat_ws(":", F.lit("live"), x["start"], x["end"]))
     spans = F.transform(F.array_sort(F.transform(F.concat(base, live), place)), lambda x: x["said"])
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(spans, ",").alias("spans"), F.size(live).cast("long").alias("n_live"))
+    count = lambda which: F.size(F.filter(judged, which)).cast("long")
+    said = F.transform(judged, lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, VALUES)), x["kind"]), x["start"], x["end"], F.when(x["live"], "live").otherwise("example"), x["n_owners"], x["n_repositories"]))
+    more = [
+        count(lambda x: x["live"] & (x["kind"] != CANDIDATE)).alias("n_live_base"),
+        count(lambda x: ~x["live"]).alias("n_examples"),
+        F.array_join(said, ",").alias("verdicts"),
+    ]
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(spans, ",").alias("spans"), F.size(live).cast("long").alias("n_live"), *(more if verdicts else ()))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with all base and live spans replaced in ``text``, and ``n_chars`` counted anew where it changed.
 
-    Rows without a secret stay as they are, null texts included. Only rows with live spans wait for the counts
-    over the corpus; the others are redacted in the scan's own stage.
+    Rows without a secret stay as they are, null texts included. Only rows with candidates wait for the counts
+    over the corpus, base values included; the others are redacted in the scan's own stage.
     """
     names = docs.columns
     ks = [f"k{i}" for i in range(len(names))]
     doc_id, text, source, lang = (F.col(f"k{names.index(c)}") for c in ("doc_id", "text", "source", "lang"))
     rows = docs.toDF(*ks)
     scanned = saved(_scan(rows, len(ks), doc_id, F.coalesce(text, F.lit("")), source, F.concat_ws("/", source, lang)))
-    plain = scanned.where(F.size("found") == 0).withColumn("live", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
-    waiting = scanned.where(F.size("found") > 0).join(_added(scanned.where(F.size("found") > 0)), "key", "left")
+    waits = F.exists("found", lambda x: x["kind"] == CANDIDATE)
+    plain = scanned.where(~waits).withColumn("live", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
+    waiting = scanned.where(waits).join(_added(scanned), "key", "left")
     both = plain.select(*ks, "base", "live").union(waiting.select(*ks, "base", "live"))
     at, schema = names.index("text"), rows.schema
     chars = names.index("n_chars") if "n_chars" in names else None
