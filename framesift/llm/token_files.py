@@ -53,6 +53,8 @@ class WordEncoder:
         self.of_letters = Tokenizer.from_file(path)
         self.of_letters.normalizer = None
         self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Strings that the library takes as one token, before it lowers the case.
+        self.specials = [(t.content, t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -89,13 +91,19 @@ class WordEncoder:
         stems.update(self._look_up(list({marks for *_, marks in cut}.difference(stems))))
         self.words.update([(word, stems[stem] + stems[marks]) for word, stem, marks in cut])
 
+    def _lowered(self, text: str) -> str:
+        """The text in lower case, so that fewer words are new; as it is where that could change its ids."""
+        if not text.isascii() and SPECIAL_CASE.search(text):
+            return text
+        lower = text.lower()
+        return text if any(s_lower in lower and lower.count(s) != text.count(s) for s, s_lower in self.specials) else lower
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native (little-endian) 32-bit integers."""
         words = self.words
         if len(words) > KNOWN_WORDS:
             words.clear()
-        lower = (t.lower() if t.isascii() or not SPECIAL_CASE.search(t) else t for t in texts)  # so that fewer words are new
-        parts = [t.replace("\n", " ").split(" ") for t in lower]
+        parts = [self._lowered(t).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*parts).difference(words)
         self._learn([w for w in new if len(w) < 100])
         long = dict(self._look_up([w for w in new if len(w) >= 100]))
