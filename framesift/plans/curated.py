@@ -54,9 +54,9 @@ def round_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.rounds(pages.visible(_photos(spark, sf_dir), rating=2), 4)
 
 
-@query(f"WITH {_ROUNDS} SELECT project_id, id FROM seeds WHERE n % 7 = 1 AND place = n")
+@query(f"WITH {_ROUNDS} SELECT project_id, id FROM seeds WHERE n % 2 = 1 AND place = n")
 def round_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounds = curation.rounds(pages.visible(_photos(spark, sf_dir), rating=2), 7)
+    rounds = curation.rounds(pages.visible(_photos(spark, sf_dir), rating=2), 2)
     return rounds.where("is_survivor").select("project_id", "id")
 
 
@@ -293,7 +293,7 @@ def export_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(1, round(w * 1024 / greatest(w, h))) END AS INTEGER) AS width, CAST(CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(1, round(h * 1024 / greatest(w, h))) END AS INTEGER) AS height,
 CAST(CASE WHEN l_partkey % 2000 IN (768, 1024, 1280, 1536, 1920) THEN l_partkey % 2000 ELSE 1024 END AS INTEGER) AS edge, CAST(greatest(2, least(9, l_quantity)) AS INTEGER) AS group_size
-FROM (SELECT *, CAST(l_quantity * 100 AS INTEGER) AS w, CAST(l_extendedprice / 20 AS INTEGER) + 1 AS h FROM lineitem)""")
+FROM (SELECT *, CAST(l_quantity * 100 AS INTEGER) AS w, CAST(round(l_extendedprice / 20) AS INTEGER) + 1 AS h FROM lineitem)""")
 def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     w, h = (F.col("l_quantity") * 100).cast("int"), F.round(F.col("l_extendedprice") / 20).cast("int") + 1
