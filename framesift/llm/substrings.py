@@ -1,17 +1,19 @@
 """Removal of repeated passages by sharded phrase automata.
 
 A passage is ``WINDOW`` consecutive words. Every window has an anchor, the phrase of ``PHRASE`` words in it
-with the least hash, so equal windows have equal anchors. Anchors that occur once in the corpus can't belong to
-a repeated window; the others are the recurring phrases. Documents are dealt into shards of bounded size; each
-shard compiles an Aho-Corasick automaton of the recurring phrases that its documents are known to hold, and
-streams its documents through it to locate every occurrence. Windows around those are compared over the corpus
-by 96 bits of hash: a shard sends one row for each different window, so a passage that a third of all documents
-share costs a row a shard, and the earliest one stays.
+with the least hash, so equal windows have equal anchors. A first pass counts the anchors over the corpus: those
+that occur once can't belong to a repeated window, the others are the recurring phrases. Documents are dealt into
+shards of bounded size; a shard is told its recurring phrases as one place of each, confirms each by its words
+there, compiles them into an Aho-Corasick automaton and streams all its documents through it. What the automaton
+hits, and nothing else, says where windows are looked at; a document without a hit is not looked at again. Those
+windows are compared over the corpus by 96 bits of hash: a shard sends one row for each different window, so a
+passage that a third of all documents share costs a row a shard, and the earliest one stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -21,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, id_of, packed, saved, text_of, total_bytes, unpacked
+from framesift.llm.common import CACHE_ENTRIES, id_of, packed, text_of, total_bytes, unpacked
 
 WINDOW, PHRASE = 20, 6
 #: Bytes of text in a shard: what one task holds, apart from a longer single document.
 SHARD_BYTES = 8 << 20
 #: A place is the number of a row among those with its id, above the number of a word.
 _WORD_BITS = 40
+_LOW = np.uint64(32)
 
 _ODD = [np.uint64(xxhash.xxh64_intdigest(str(i)) | 1) for i in range(PHRASE + 2 * WINDOW + 1)]
 
@@ -88,28 +91,29 @@ class Words:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, text) to (phrase, shard, n): the anchors of a batch, with how often they occur in it."""
+    """(shard, rid, text) to (phrase, shard, n, rid, place): the anchors of a batch, how often they occur in it, and one place of each."""
     for batch in batches:
-        parts = []
-        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        shards, rids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+        for i, text in enumerate(batch.column(2).to_pylist()):
             own = Words(text.encode())
             if own.n >= WINDOW:
-                hashes = own.phrases[own.anchor_places()]
-                parts.append((hashes, np.full(len(hashes), shard, np.int32)))
+                at = own.anchor_places()
+                parts.append((own.phrases[at], np.full(len(at), i), at))
         if parts:
-            phrase, shard = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((shard, phrase))
-            phrase, shard = phrase[order], shard[order]
+            phrase, row, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((shards[row], phrase))
+            phrase, row, place = phrase[order], row[order], place[order]
+            shard = shards[row]
             first = np.flatnonzero(np.r_[True, (phrase[1:] != phrase[:-1]) | (shard[1:] != shard[:-1])])
-            counts = np.diff(np.r_[first, len(phrase)])
-            yield pa.RecordBatch.from_arrays([pa.array(phrase[first].view(np.int64)), pa.array(shard[first]), pa.array(counts)], ["phrase", "shard", "n"])
+            columns = (phrase[first].view(np.int64), shard[first], np.diff(np.r_[first, len(phrase)]).astype(np.int32), rids[row[first]], place[first].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["phrase", "shard", "n", "rid", "place"])
 
 
 def recurring(shards: DataFrame) -> DataFrame:
-    """(shard, phrase): the anchors that occur twice or more in the corpus, in each shard that holds them."""
-    rows = saved(shards.select("shard", "t").mapInArrow(_anchor_rows, "phrase long, shard int, n long"))
-    twice = rows.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    return rows.join(twice, "phrase").select("shard", "phrase")
+    """(shard, phrase, rid, place): the anchors that occur twice or more in the corpus, with a place in each shard that holds them."""
+    rows = shards.select("shard", "rid", "t").mapInArrow(_anchor_rows, "phrase long, shard int, n int, rid long, place int")
+    total = F.sum("n").over(Window.partitionBy("phrase"))
+    return rows.withColumn("total", total).where("total > 1").select("shard", "phrase", "rid", "place")
 
 
 def _ordered(table: pa.Table) -> tuple[list[int], list[int], list[bytes], np.ndarray]:
@@ -122,46 +126,71 @@ def _ordered(table: pa.Table) -> tuple[list[int], list[int], list[bytes], np.nda
     return ids, numbers, texts, np.array(order, np.int64)
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted ``known``, which has one or more."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+def _automaton(ids: list[int], texts: list[bytes], phrases: pa.Table) -> ahocorasick.Automaton:
+    """The automaton of a shard's recurring phrases, one character a byte, each with a space on either side.
+
+    Each is taken from its place in the shard's own documents, and only if its words there have its hash.
+    """
+    automaton = ahocorasick.Automaton()
+    phrase, one = np.unique(phrases.column("phrase").to_numpy(), return_index=True)
+    rid, place = (phrases.column(c).to_numpy()[one] for c in ("rid", "place"))
+    order = np.argsort(rid, kind="stable")
+    phrase, rid, place = phrase[order].view(np.uint64), rid[order], place[order]
+    cuts = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1], True]).tolist() if len(rid) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        i = bisect_left(ids, rid[a])
+        while i < len(ids) and ids[i] == rid[a]:  # rows with one id: the words tell which is meant
+            words = texts[i].split()
+            at = [p for p in place[a:b].tolist() if p + PHRASE <= len(words)]
+            said = np.array([_hashes[w] for p in at for w in words[p : p + PHRASE]], np.uint64)
+            right = _combined(said, np.arange(0, len(said), PHRASE), PHRASE, _ODD) if at else []
+            meant = phrase[a:b][place[a:b] + PHRASE <= len(words)]
+            for p, good in zip(at, right == meant):
+                if good:
+                    automaton.add_word(f" {b' '.join(words[p : p + PHRASE]).decode('latin-1')} ", True)
+            i += 1
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton
+
+
+def _hit_windows(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words, and the starts of its windows whose anchor the automaton hits."""
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(words) < WINDOW:
+        return none
+    joined = b" " + b" ".join(words) + b" "
+    ends = np.array([end for end, _ in automaton.iter(joined.decode("latin-1"))], np.int64)
+    if not len(ends):
+        return none
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    hits = np.searchsorted(spaces, ends) - PHRASE
+    a, b = max(int(hits[0]) - WINDOW + PHRASE, 0), min(int(hits[-1]) + WINDOW, len(words))  # windows that hold a hit lie in here
+    hashes = np.zeros(len(words), np.uint64)
+    hashes[a:b] = np.array(list(map(_hashes.__getitem__, words[a:b])), np.uint64)
+    if b - a < WINDOW:
+        return none
+    found = np.zeros(len(words), bool)
+    found[hits] = True
+    anchors = a + _anchors(_combined(hashes[a:b], slice(None), PHRASE, _ODD))
+    return hashes, a + np.flatnonzero(found[anchors])
 
 
 def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-    """The windows of a shard that hold a recurring phrase.
+    """The windows of a shard that hold a recurring phrase as their anchor.
 
     Rows have the window's hash and place. The first of equal windows has n = 0; for the others, which have an
-    earlier one here, consecutive windows make one row of n under a hash of its own.
+    earlier one here, consecutive windows make one row of n under a hash of its own. ``w2`` is 32 bits of hash above n.
     """
     ids, numbers, texts, _ = _ordered(docs)
-    known = np.unique(phrases.column("phrase").to_numpy().view(np.uint64))
-    automaton, held = ahocorasick.Automaton(), []
-    for text in texts:
-        own = Words(text) if len(known) else None
-        if own is None or own.n < WINDOW:
-            held.append(None)
-            continue
-        joined = " " + b" ".join(own.words).decode("latin-1") + " "  # one character a byte
-        spaces = np.concatenate(([0], np.cumsum(np.fromiter(map(len, own.words), np.int64, own.n) + 1)))
-        at = own.anchor_places()
-        for p in at[_among(own.phrases[at], known)].tolist():
-            automaton.add_word(joined[spaces[p] : spaces[p + PHRASE] + 1], True)
-        held.append((joined, spaces, own.hashes, own.anchors))
+    automaton = _automaton(ids, texts, phrases)
     w1, w2, rid, place = [], [], [], []
-    if len(automaton):
-        automaton.make_automaton()
-        for i, number, kept in zip(ids, numbers, held):
-            if kept is None:
-                continue
-            joined, spaces, hashes, anchors = kept
-            ends = np.array([end for end, _ in automaton.iter(joined)], np.int64)
-            found = np.zeros(len(spaces), bool)
-            found[np.searchsorted(spaces, ends) - PHRASE] = True
-            starts = np.flatnonzero(found[anchors])
-            w1.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE:]))
-            w2.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE + WINDOW :]) >> np.uint64(32))
-            rid.append(np.full(len(starts), i, np.int64))
-            place.append(starts + (number << _WORD_BITS))
+    for i, number, text in zip(ids, numbers, texts) if len(automaton) else ():
+        hashes, starts = _hit_windows(text.split(), automaton)
+        w1.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE:]))
+        w2.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE + WINDOW :]) >> _LOW << _LOW)
+        rid.append(np.full(len(starts), i, np.int64))
+        place.append(starts + (number << _WORD_BITS))
     w1, w2, rid, place = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in ((w1, np.uint64), (w2, np.uint64), (rid, np.int64), (place, np.int64)))
     order = np.lexsort((np.arange(len(w1)), w2, w1))
     new = np.r_[True, (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])][: len(order)]
@@ -172,19 +201,18 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     begins = later[begins]
     columns = (
         np.concatenate([w1[first], (rid[begins].view(np.uint64) ^ place[begins].view(np.uint64)) * _ODD[0]]).view(np.int64),
-        np.concatenate([w2[first].astype(np.uint32).view(np.int32), np.zeros(len(begins), np.int32)]),
+        np.concatenate([w2[first], lengths.astype(np.uint64)]).view(np.int64),
         np.concatenate([rid[first], rid[begins]]),
         np.concatenate([place[first], place[begins]]),
-        np.concatenate([np.zeros(len(first), np.int64), lengths]),
     )
-    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "rid", "place", "n"])
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "rid", "place"])
 
 
 def _gone(located: DataFrame, shards: int) -> DataFrame:
     """(rid, place, n, shard): n consecutive windows from a place that all occur earlier."""
-    same = Window.partitionBy("w1", "w2")
-    candidate = F.when(F.col("n") == 0, F.col("rid"))  # one for each shard at most, so its id says which is first
-    dealt = located.select("rid", "place", "n", F.min(candidate).over(same).alias("first"))
+    n = F.col("w2").bitwiseAND(F.lit((1 << 32) - 1))
+    candidate = F.when(n == 0, F.col("rid"))  # one for each shard at most, so its id says which is first
+    dealt = located.select("rid", "place", n.alias("n"), F.min(candidate).over(Window.partitionBy("w1", "w2")).alias("first"))
     later = dealt.where((F.col("n") > 0) | (F.col("first") != F.col("rid")))
     return later.select("rid", "place", F.greatest("n", F.lit(1)).alias("n"), _shard("rid", shards))
 
@@ -236,7 +264,7 @@ def _cut(docs: DataFrame, doc_id: str, text: str, keep: list[str], make: Callabl
     rows = docs.withColumn("rid", id_of(doc_id, text)).withColumn("t", text_of(text))
     shards = rows.select(*keep, "rid", "t", _shard("rid", count))
     by_shard = packed(shards, "t").groupBy("shard")
-    located = by_shard.cogroup(recurring(shards).groupBy("shard")).applyInArrow(_locate, "w1 long not null, w2 int not null, rid long not null, place long not null, n long not null")
+    located = by_shard.cogroup(recurring(shards).groupBy("shard")).applyInArrow(_locate, "w1 long not null, w2 long not null, rid long not null, place long not null")
     schema = rows.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add(last, "string")
     cutter = _cutter(keep, make, [pa.int64(), pa.int64(), pa.string()], ["n_words", "n_removed", last])
     return by_shard.cogroup(_gone(located, count).groupBy("shard")).applyInArrow(cutter, schema)

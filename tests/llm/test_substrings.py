@@ -5,7 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from framesift.llm import substrings
 
 
@@ -68,3 +71,21 @@ def test_anchors():
     width = substrings.WINDOW - substrings.PHRASE + 1
     expected = [s + int(np.argmin(hashes[s : s + width])) for s in range(len(hashes) - width + 1)]
     assert substrings._anchors(hashes).tolist() == expected
+
+
+def test_the_automaton_decides():
+    """Without one of its phrases a shard finds fewer windows, and a phrase that isn't what its hash says is not taken."""
+    passage = " ".join(f"p{i}" for i in range(45))
+    texts = [f"one {passage} two", f"three {passage} four", "words without any passage that is repeated anywhere else in these texts " * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([1, 2, 3]), pa.array(texts)], ["shard", "rid", "t"])
+    rows = pa.Table.from_batches(list(substrings._anchor_rows([batch])))
+    phrases = rows.filter(pc.and_(pc.greater(rows.column("n"), 1), pc.less(rows.column("rid"), 3))).select(["shard", "phrase", "rid", "place"])
+    docs = pa.table({"rid": [1, 2], "t": [zstandard.compress(t.encode()) for t in texts[:2]]})
+    whole = substrings._locate(docs, phrases)
+    n = sum(w & 0xFFFFFFFF for w in whole.column("w2").to_pylist())
+    assert n == 45 - 19 and phrases.num_rows > 2
+    for k in range(phrases.num_rows):
+        less = pa.concat_tables([phrases.slice(0, k), phrases.slice(k + 1)])
+        assert sum(w & 0xFFFFFFFF for w in substrings._locate(docs, less).column("w2").to_pylist()) < n
+    wrong = phrases.set_column(3, "place", pa.array([0] * phrases.num_rows, pa.int32()))
+    assert substrings._locate(docs, wrong).num_rows < whole.num_rows
