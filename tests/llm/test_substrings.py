@@ -82,10 +82,10 @@ def test_the_automaton_decides():
     phrases = rows.filter(pc.and_(pc.greater(rows.column("n"), 1), pc.less(rows.column("rid"), 3))).select(["shard", "phrase", "rid", "place"])
     docs = pa.table({"rid": [1, 2], "t": [zstandard.compress(t.encode()) for t in texts[:2]]})
     whole = substrings._locate(docs, phrases)
-    n = sum(w & 0xFFFFFFFF for w in whole.column("w2").to_pylist())
-    assert n == 45 - 19 and phrases.num_rows > 2
+    windows = lambda t: sum(max(1, w & 0xFFFFFFFF) for w in t.column("w2").to_pylist())
+    assert sum(w & 0xFFFFFFFF for w in whole.column("w2").to_pylist()) == 45 - 19 and phrases.num_rows > 2
     for k in range(phrases.num_rows):
-        less = pa.concat_tables([phrases.slice(0, k), phrases.slice(k + 1)])
-        assert sum(w & 0xFFFFFFFF for w in substrings._locate(docs, less).column("w2").to_pylist()) < n
+        less = substrings._locate(docs, pa.concat_tables([phrases.slice(0, k), phrases.slice(k + 1)]))
+        assert windows(less) < windows(whole)
     wrong = phrases.set_column(3, "place", pa.array([0] * phrases.num_rows, pa.int32()))
-    assert substrings._locate(docs, wrong).num_rows < whole.num_rows
+    assert windows(substrings._locate(docs, wrong)) < windows(whole)
