@@ -15,6 +15,8 @@ from framesift.storage import saved, shared_dir  # noqa: F401  the operators tak
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Python workers keep at most so many entries in a cache, then start it anew.
 CACHE_ENTRIES = 600_000
+#: A key is hot if it has more than one in so many rows; so many keys at most can be hot.
+HOT = 10_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -67,3 +69,14 @@ def packed(source: DataFrame, text: str) -> DataFrame:
 def unpacked(column: pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 texts of a compressed column."""
     return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has a row for each ``key``, and in ``n`` how many of ``total`` rows have it.
+
+    Rows without facts go. Facts on hot keys, ``HOT`` at most, are sent to every task, so the rows of a key that a
+    third of all rows share stay where they are; all others meet by a shuffle.
+    """
+    hot = facts.where(F.col("n") * HOT > total).drop("n")
+    rest = facts.where(F.col("n") * HOT <= total).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))

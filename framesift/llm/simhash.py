@@ -15,10 +15,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import id_of, saved, text_of
+from framesift.llm.common import join_facts, saved, text_of
 from framesift.llm.graph import components
 
 SEED = 42
@@ -111,117 +111,144 @@ class Forest:
         return True
 
 
-def _short_runs(run: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
+def _near(a: list[np.ndarray], b: list[np.ndarray], wide: int) -> np.ndarray:
+    """Where two rows of prints are near: fingerprints within ``DISTANCE``, and sketches, if there are any, within ``wide``."""
+    near = np.bitwise_count(a[0] ^ b[0]) <= DISTANCE
+    if len(a) > 1:
+        at = np.flatnonzero(near)
+        far = sum(np.bitwise_count((x if x.ndim == 0 else x[at]) ^ (y if y.ndim == 0 else y[at])).astype(np.int64) for x, y in zip(a[1:], b[1:]))
+        near[at] = far <= wide
+    return near
+
+
+def _short_runs(run: np.ndarray, ids: np.ndarray, prints: list[np.ndarray], wide: int = 0) -> Iterator[tuple[int, int]]:
     """Linked pairs of equal runs, all runs at once."""
-    at, step = np.arange(len(fp)), 1
+    at, step = np.arange(len(ids)), 1
     while True:
-        at = at[at + step < len(fp)]
+        at = at[at + step < len(ids)]
         at = at[run[at] == run[at + step]]
         if not len(at):
             return
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= DISTANCE]
-        yield from zip(fp[near].view(np.int64).tolist(), fp[near + step].view(np.int64).tolist())
+        near = at[_near([x[at] for x in prints], [x[at + step] for x in prints], wide)]
+        yield from zip(ids[near].tolist(), ids[near + step].tolist())
         step += 1
 
 
-def _long_run(fp: np.ndarray) -> Iterator[tuple[int, int]]:
+def _long_run(ids: np.ndarray, prints: list[np.ndarray], wide: int = 0) -> Iterator[tuple[int, int]]:
     """A spanning forest of one run: each member is met once, and compared with those not yet reached."""
-    rest = fp
+    rest = np.arange(len(ids))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = np.bitwise_count(rest ^ x) <= DISTANCE
+            near = _near([p[rest] for p in prints], [p[x] for p in prints], wide)
             found, rest = rest[near], rest[~near]
-            here = int(x.view(np.int64))
-            yield from ((here, other) for other in found.view(np.int64).tolist())
+            yield from ((int(ids[x]), other) for other in ids[found].tolist())
             front.extend(found)
 
 
-def _linker(bucket: int, short: int = 32):
-    """Batches of (mask, key, fp), equal keys together, to links and to members of buckets that are too large."""
+def _linker(bucket: int, sketches: int = 0, wide: int = 0, short: int = 32):
+    """Batches of (mask, key, fp) or (mask, key, fp, id, sketches), equal keys together, to links and to members of buckets that are too large."""
 
     def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["a", "b", "mask"])
 
-    def judge(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, forest: Forest) -> list[tuple[int, int, int]]:
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """Masks, keys, ids, fingerprints and sketches."""
+        mask, key, fp, *more = (c.to_numpy() for c in batch.columns)
+        return [mask, key, more[0] if more else fp, fp.view(np.uint64), *(x.view(np.uint64) for x in more[1:])]
+
+    def runs(mask: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
+
+    def judge(rows: list[np.ndarray], forest: Forest) -> list[tuple[int, int, int]]:
         """Links of whole runs."""
-        if len(fp) < 2:
+        mask, key, ids, *prints = rows
+        if len(ids) < 2:
             return []
-        run = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
+        run = runs(mask, key)
         sizes = np.bincount(run)
         few = (sizes[run] > 1) & (sizes[run] <= short)
-        rows = [(a, b, 0) for a, b in _short_runs(run[few], fp[few]) if forest.joins(a, b)]
+        found = [(a, b, 0) for a, b in _short_runs(run[few], ids[few], [x[few] for x in prints], wide) if forest.joins(a, b)]
         ends = np.cumsum(sizes)
         for r in np.flatnonzero(sizes > short).tolist():
-            rows += [(a, b, 0) for a, b in _long_run(fp[ends[r] - sizes[r] : ends[r]]) if forest.joins(a, b)]
-        return rows
+            here = slice(ends[r] - sizes[r], ends[r])
+            found += [(a, b, 0) for a, b in _long_run(ids[here], [x[here] for x in prints], wide) if forest.joins(a, b)]
+        return found
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, large = Forest(), [np.empty(0, t) for t in (np.int64, np.int64, np.uint64)], None
+        kinds = [np.int64, np.int64, np.int64] + [np.uint64] * (1 + sketches)
+        forest, held, large = Forest(), [np.empty(0, t) for t in kinds], None
         for batch in batches:
-            mask, key = (batch.column(i).to_numpy() for i in (0, 1))
-            fp = batch.column(2).to_numpy().view(np.uint64)
+            rows = columns(batch)
             if large is not None:  # the bucket that was too large goes on
-                n = int(np.argmin(np.r_[(mask == large[0]) & (key == large[1]), False]))
-                yield out([(x, 0, large[0]) for x in fp[:n].view(np.int64).tolist()])
-                if n == len(fp):
+                n = int(np.argmin(np.r_[(rows[0] == large[0]) & (rows[1] == large[1]), False]))
+                yield out([(x, 0, large[0]) for x in rows[2][:n].tolist()])
+                if n == len(rows[2]):
                     continue
-                large, mask, key, fp = None, mask[n:], key[n:], fp[n:]
-            mask, key, fp = (np.concatenate(x) for x in zip(held, (mask, key, fp)))
-            if not len(fp):
+                large, rows = None, [x[n:] for x in rows]
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+            mask, key, ids = rows[:3]
+            if not len(ids):
                 continue
             last = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
-            run = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
+            run = runs(mask, key)
             over = np.bincount(run)[run] > bucket
-            rows = [(x, 0, m) for x, m in zip(fp[over].view(np.int64).tolist(), mask[over].tolist())]
+            too_large = [(x, 0, m) for x, m in zip(ids[over].tolist(), mask[over].tolist())]
             whole = ~over
             whole[cut:] = False
-            yield out(rows + judge(mask[whole], key[whole], fp[whole], forest))
+            yield out(too_large + judge([x[whole] for x in rows], forest))
             if over[-1]:
-                large, cut = (int(mask[-1]), int(key[-1])), len(fp)
-            held = [mask[cut:], key[cut:], fp[cut:]]
-        yield out(judge(*held, forest))
+                large, cut = (int(mask[-1]), int(key[-1])), len(ids)
+            held = [x[cut:] for x in rows]
+        yield out(judge(held, forest))
 
     return link
 
 
-def _indexed(rows: DataFrame) -> DataFrame:
+def _indexed(rows: DataFrame, *more: str) -> DataFrame:
     """(mask, fp) as (mask, key, fp), equal keys together."""
-    keyed = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    keyed = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", *more)
     return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
 
 
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints ``fp`` within four bits into their components."""
+def links(prints: DataFrame, bucket: int = BUCKET, id_column: str = "fp", sketches: Sequence[str] = (), wide: int = 0) -> DataFrame:
+    """Links (a, b) that join all distinct ids within four bits of ``fp`` into their components.
+
+    Fingerprints are ids of their own, or there is a long ``id_column``. With ``sketches``, longs that are compared
+    where fingerprints are near, they may differ in ``wide`` bits in all.
+    """
     bucket = max(bucket, 1 << DISTANCE)  # so that a bucket to index anew has more free bits than DISTANCE
     masks = F.array(*(F.lit(_signed(m)) for m in variants()))
-    found, level = None, prints.select(F.explode(masks).alias("mask"), "fp")
+    more = [] if id_column == "fp" else [id_column, *sketches]
+    found, level = None, prints.select(F.explode(masks).alias("mask"), "fp", *more)
     while True:
-        out = saved(_indexed(level).mapInArrow(_linker(bucket), "a long, b long, mask long"))
+        out = saved(_indexed(level, *more).mapInArrow(_linker(bucket, len(sketches), wide), "a long, b long, mask long"))
         some = out.where("mask = 0").select("a", "b")
         found = some if found is None else found.union(some)
-        large = out.where("mask != 0")
+        large = out.where("mask != 0").select("mask", F.col("a").alias(id_column))
         if large.isEmpty():
             return found.distinct()
-        more = {m: longer(m % (1 << 64)) for m in (r["mask"] for r in large.select("mask").distinct().collect())}  # the masks in use, not data
-        table = prints.sparkSession.createDataFrame([(m, _signed(x)) for m, xs in more.items() for x in xs], "mask long, next long")
-        level = large.join(F.broadcast(table), "mask").select(F.col("next").alias("mask"), F.col("a").alias("fp")).distinct()
+        masks_in_use = {m: longer(m % (1 << 64)) for m in (r["mask"] for r in large.select("mask").distinct().collect())}  # masks, not data
+        table = prints.sparkSession.createDataFrame([(m, _signed(x)) for m, xs in masks_in_use.items() for x in xs], "mask long, next long")
+        level = large.join(F.broadcast(table), "mask").select(F.col("next").alias("mask"), id_column).distinct()
+        if more:
+            level = level.join(prints.select(*more, "fp"), id_column)
 
 
 def groups(prints: DataFrame, id_column: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
-    """Rows (fp, component_id): the least id that each distinct fingerprint can reach.
+    """Rows (fp, component_id, n): the least id that each distinct fingerprint can reach, and its number of rows.
 
     Ids are joined on the fingerprint, so copies of one text cost one row here. A null id counts only where a
     component has no other.
     """
-    least = saved(prints.groupBy("fp").agg(F.min(id_column).alias("least")))
+    least = saved(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")))
     roots = components(links(least, bucket))
     linked = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     reached = roots.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    return least.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return least.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
 
 
 def query(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -231,19 +258,5 @@ def query(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     a null id gets its component's id; an empty table gives an empty result; other columns are ignored.
     """
     prints = saved(fingerprints(docs))
-    return prints.join(groups(prints, bucket=bucket), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The rows of ``docs`` without near-copies: of each group the one with the least doc_id stays, whole.
-
-    A null id counts as one below all others, by a hash of its text. Where rows repeat an id that stays, one of
-    them does, by the hash of its text. An empty table stays empty; all columns are kept, whatever their names.
-    """
-    names = docs.columns
-    doc_id, text = (f"k{names.index(c)}" for c in ("doc_id", "text"))
-    rows = docs.toDF(*(f"k{i}" for i in range(len(names)))).withColumn("row_id", id_of(doc_id, text))
-    kept = groups(fingerprints(rows, ["row_id"], text), "row_id", bucket).select(F.col("component_id").alias("row_id")).distinct()
-    place = Window.partitionBy("row_id").orderBy(F.xxhash64(text), text)
-    once = rows.join(kept, "row_id").withColumn("place", F.row_number().over(place)).where("place = 1")
-    return once.drop("row_id", "place").toDF(*names)
+    found = saved(groups(prints, bucket=bucket))
+    return join_facts(prints, found, "fp", prints.count()).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")

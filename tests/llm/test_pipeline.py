@@ -7,25 +7,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
-from framesift.llm import byte_bpe, decontaminate, quality, secrets, simhash
+from framesift.llm import byte_bpe, decontaminate, quality, secrets
+from test_near_copies import kept_of
 
 SF = "/root/testdata/sf0.001"
 
 
 def plain(docs, items):
     kept = [d for d in docs if judged(d["text"] or "")]
-    prints = [simhash.fingerprint(d["text"] or "") for d in kept]
-    root = list(range(len(kept)))
-    for i in range(len(kept)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                a, b = root[i], root[j]
-                root = [b if r == a else r for r in root]
-    least = {}
-    for i, r in enumerate(root):
-        if r not in least or kept[i]["doc_id"] < kept[least[r]]["doc_id"]:
-            least[r] = i
-    kept = [kept[i] for i in sorted(least.values())]
+    groups = kept_of([(d["doc_id"], d["text"]) for d in kept])
+    kept = [kept[min(g, key=lambda i: kept[i]["doc_id"])] for g in groups]
     windows = lambda t: set((w := decontaminate.Windows([t])).hashes[w.whole].tolist())
     wanted = [windows(i["text"] or "") for i in items]
     leaky = lambda t: any(w and len(w & t) >= 0.8 * len(w) for w in wanted)
