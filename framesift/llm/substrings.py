@@ -28,6 +28,8 @@ from framesift.llm.common import CACHE_ENTRIES, id_of, packed, text_of, total_by
 WINDOW, PHRASE = 20, 6
 #: Bytes of text in a shard: what one task holds, apart from a longer single document.
 SHARD_BYTES = 8 << 20
+#: Words that are hashed at once.
+PORTION = 1 << 19
 #: A place is the number of a row among those with its id, above the number of a word.
 _WORD_BITS = 40
 _LOW = np.uint64(32)
@@ -72,35 +74,47 @@ def _anchors(phrases: np.ndarray) -> np.ndarray:
     return lesser(at[: len(phrases) - width + 1], at[width - reach : len(phrases) - reach + 1])
 
 
-class Words:
-    """The words of a text, with the hashes of its phrases and the anchor of each window."""
+def _windows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given as hashes of their words: all hashes in a row, the number of each one's text, all phrases, and the starts and anchors of all windows that lie within one text."""
+    hashes = np.concatenate(parts)
+    text = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+    if len(hashes) < WINDOW:
+        return hashes, text, *([np.empty(0, np.int64)] * 3)
+    phrases = _combined(hashes, slice(None), PHRASE, _ODD)
+    starts = np.flatnonzero(text[: len(text) - WINDOW + 1] == text[WINDOW - 1 :])
+    return hashes, text, phrases, starts, _anchors(phrases)[starts]
 
-    def __init__(self, text: bytes):
-        self.words = text.split()  # bytes: exactly \x20 and \x09-\x0D are space
-        self.n = len(self.words)
-        self.hashes = np.array(list(map(_hashes.__getitem__, self.words)), np.uint64)
-        if self.n >= WINDOW:
-            self.phrases = _combined(self.hashes, slice(None), PHRASE, _ODD)
-            self.anchors = _anchors(self.phrases)
 
-    def anchor_places(self) -> np.ndarray:
-        """The places of all anchors, each once."""
-        keep = np.zeros(len(self.phrases), bool)
-        keep[self.anchors] = True
-        return np.flatnonzero(keep)
+def _portions(items: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Items that begin with hashes of words, so many at a time as have about ``PORTION`` words."""
+    held, size = [], 0
+    for item in items:
+        held.append(item)
+        size += len(item[0])
+        if size > PORTION:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(_hashes.__getitem__, words)), np.uint64)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, rid, text) to (phrase, shard, n, rid, place): the anchors of a batch, how often they occur in it, and one place of each."""
     for batch in batches:
-        shards, rids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            own = Words(text.encode())
-            if own.n >= WINDOW:
-                at = own.anchor_places()
-                parts.append((own.phrases[at], np.full(len(at), i), at))
-        if parts:
-            phrase, row, place = (np.concatenate(x) for x in zip(*parts))
+        shards, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        # bytes.split(): exactly \x20 and \x09-\x0D are space
+        texts = ((_hashed(words), i) for i, t in enumerate(batch.column(2).to_pylist()) if len(words := t.encode().split()) >= WINDOW)
+        for held in _portions(texts):
+            _, text, phrases, _, anchors = _windows([h for h, _ in held])
+            keep = np.zeros(len(phrases), bool)
+            keep[anchors] = True
+            at = np.flatnonzero(keep)
+            begins = np.searchsorted(text, np.arange(len(held)))
+            phrase, row, place = phrases[at], np.array([i for _, i in held])[text[at]], at - begins[text[at]]
             order = np.lexsort((shards[row], phrase))
             phrase, row, place = phrase[order], row[order], place[order]
             shard = shards[row]
@@ -154,26 +168,20 @@ def _automaton(ids: list[int], texts: list[bytes], phrases: pa.Table) -> ahocora
     return automaton
 
 
-def _hit_windows(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a text's words, and the starts of its windows whose anchor the automaton hits."""
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+def _hit(text: bytes, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """Where the automaton hits a text: the hashes of the words around, whether a hit begins at each, and the first one's place."""
+    words = text.split()
     if len(words) < WINDOW:
-        return none
+        return None
     joined = b" " + b" ".join(words) + b" "
     ends = np.array([end for end, _ in automaton.iter(joined.decode("latin-1"))], np.int64)
     if not len(ends):
-        return none
-    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    hits = np.searchsorted(spaces, ends) - PHRASE
+        return None
+    hits = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), ends) - PHRASE
     a, b = max(int(hits[0]) - WINDOW + PHRASE, 0), min(int(hits[-1]) + WINDOW, len(words))  # windows that hold a hit lie in here
-    hashes = np.zeros(len(words), np.uint64)
-    hashes[a:b] = np.array(list(map(_hashes.__getitem__, words[a:b])), np.uint64)
-    if b - a < WINDOW:
-        return none
-    found = np.zeros(len(words), bool)
-    found[hits] = True
-    anchors = a + _anchors(_combined(hashes[a:b], slice(None), PHRASE, _ODD))
-    return hashes, a + np.flatnonzero(found[anchors])
+    found = np.zeros(b - a, bool)
+    found[hits - a] = True
+    return _hashed(words[a:b]), found, a
 
 
 def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
@@ -184,13 +192,17 @@ def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """
     ids, numbers, texts, _ = _ordered(docs)
     automaton = _automaton(ids, texts, phrases)
+    hit = ((*found, i, number << _WORD_BITS) for i, number, text in zip(ids, numbers, texts) if (found := _hit(text, automaton))) if len(automaton) else ()
     w1, w2, rid, place = [], [], [], []
-    for i, number, text in zip(ids, numbers, texts) if len(automaton) else ():
-        hashes, starts = _hit_windows(text.split(), automaton)
+    for held in _portions(hit):
+        hashes, text, _, starts, anchors = _windows([h[0] for h in held])
+        starts = starts[np.concatenate([h[1] for h in held])[anchors]]
+        text, begins = text[starts], np.searchsorted(text, np.arange(len(held)))
         w1.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE:]))
         w2.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE + WINDOW :]) >> _LOW << _LOW)
-        rid.append(np.full(len(starts), i, np.int64))
-        place.append(starts + (number << _WORD_BITS))
+        first, ids_here, number = (np.array([h[k] for h in held], np.int64) for k in (2, 3, 4))
+        rid.append(ids_here[text])
+        place.append(starts - begins[text] + first[text] + number[text])
     w1, w2, rid, place = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in ((w1, np.uint64), (w2, np.uint64), (rid, np.int64), (place, np.int64)))
     order = np.lexsort((np.arange(len(w1)), w2, w1))
     new = np.r_[True, (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])][: len(order)]

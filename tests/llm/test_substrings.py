@@ -73,7 +73,7 @@ def test_anchors():
     assert substrings._anchors(hashes).tolist() == expected
 
 
-def test_the_automaton_decides():
+def test_the_automaton_decides(monkeypatch):
     """Without one of its phrases a shard finds fewer windows, and a phrase that isn't what its hash says is not taken."""
     passage = " ".join(f"p{i}" for i in range(45))
     texts = [f"one {passage} two", f"three {passage} four", "words without any passage that is repeated anywhere else in these texts " * 2]
@@ -89,3 +89,7 @@ def test_the_automaton_decides():
         assert windows(less) < windows(whole)
     wrong = phrases.set_column(3, "place", pa.array([0] * phrases.num_rows, pa.int32()))
     assert windows(substrings._locate(docs, wrong)) < windows(whole)
+    monkeypatch.setattr(substrings, "PORTION", 30)  # a text or two at a time give the same
+    assert sorted(map(str, substrings._locate(docs, phrases).to_pylist())) == sorted(map(str, whole.to_pylist()))
+    few = pa.Table.from_batches(list(substrings._anchor_rows([batch])))
+    assert sum(few.column("n").to_pylist()) == sum(rows.column("n").to_pylist()) and set(few.column("phrase").to_pylist()) == set(rows.column("phrase").to_pylist())
