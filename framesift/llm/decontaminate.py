@@ -1,13 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units of a text become typed placeholders, so a question keeps its template when its values
-are exchanged. Windows of ``WINDOW`` words of the templates are joined by hash. A document leaks an item if it
-holds 80 % of the item's windows and the values that stand in the slots agree: where a value of the item
-stands in several places, one and the same value has replaced it there.
+are exchanged; numbers may be spelled out, and a unit may be joined to its number. Windows of ``WINDOW`` words of the
+templates are joined by hash. A document leaks an item if it holds 80 % of the item's windows and the values that
+stand in the slots agree: where a value of the item stands in several places, one and the same value has replaced it
+there.
 
 A text is windowed in three views, and any of them may show a leak: its template; the template in any case, where
 names are words like others, as capitals don't tell them; and the template with each run of names or numbers as one
-slot, as a name may be replaced by a longer one.
+slot, as a name may be replaced by a longer one. An item of fewer than ``WINDOW`` words is one window of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.llm.common import id_of, saved, text_of
@@ -28,27 +29,39 @@ WINDOW = 5
 #: Windows with fewer literal words keep their values: placeholders alone say nothing.
 LITERALS = 1
 CONTAINMENT = CONSISTENCY = 0.8
-#: Up to this many window hashes go to every task, to filter there (8 bytes each); beyond it all windows are joined.
-BROADCAST_WINDOWS = 2_000_000
+#: Items of fewer words say too little to be leaked.
+SHORTEST = 3
+#: Bits of the filter of windows for each window of an item, and at most: 64 to a window make one in a thousand other windows pass; in 128 MB, 16 million windows have as many.
+FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 30
 
 #: Characters of text that are windowed at once, and words whose kinds a Python worker keeps.
 PORTION, KNOWN_WORDS = 4 << 20, 300_000
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 TEMPLATE, ANY_CASE, RUNS = VIEWS = range(3)
+#: The views of short items, numbered as their words.
+SHORT = range(SHORTEST, WINDOW)
+#: Stands for the place of windows that are in no copy with enough of them.
+SCATTERED = -(1 << 60)
 #: Runs of more words are compared by hash.
 RUN_WORDS = 16
 #: Units of measure.
 UNITS = frozenset(
-    "% mm cm m km in inch inches ft foot feet yd yard yards mi mile miles g gram grams kg kilogram kilograms mg lb lbs pound pounds oz ounce ounces ton tons "
+    "% mm cm m km inch inches ft foot feet yd yard yards mi mile miles g gram grams kg kilogram kilograms mg lb lbs pound pounds oz ounce ounces ton tons "
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "dollar dollars euro euros cent cents usd eur gbp w kw watt watts v volt volts j joule joules n newton newtons hz khz mhz °c °f degree degrees mph km/h m/s".split()
 )
+#: Numbers in words.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty "
+    "sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+_JOINED = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([^\W\d_]+)")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _EDGES = " .,;:!?\"'()[]{}<>|*#&“”‘’«»…-–—_"
 _ODD = [np.uint64(xxhash.xxh64_intdigest(f"template {i}") | 1) for i in range(2 * WINDOW + 1)]
 #: Keeps the windows of the views apart.
-_SALTS = [np.uint64(0), *(np.uint64(xxhash.xxh64_intdigest(f"view {i}")) for i in VIEWS[1:])]
+_SALTS = {view: np.uint64(xxhash.xxh64_intdigest(f"view {view}")) for view in (*VIEWS, *SHORT)}
 _KINDS = np.array([xxhash.xxh64_intdigest(f"kind {i}") for i in range(4)], np.uint64)
 
 
@@ -58,19 +71,28 @@ def kind_of(word: str) -> tuple[str, int]:
     lower = bare.lower()
     if lower in UNITS:
         return lower, UNIT
-    if not bare.isalpha() and _NUMBER.fullmatch(bare):
+    if lower in NUMBER_WORDS or not bare.isalpha() and (_NUMBER.fullmatch(bare) or NUMBER_WORDS.issuperset(lower.split("-"))):
         return lower, NUMBER
     return lower, NAME if bare[:1].isupper() else LITERAL
 
 
+def halves_of(word: bytes) -> tuple[bytes, bytes] | None:
+    """The number and the unit of a word that holds both, like 60miles; None for any other."""
+    found = _JOINED.fullmatch(word.decode().strip(_EDGES))
+    return (found[1].encode(), found[2].encode()) if found and found[2].lower() in UNITS else None
+
+
 class _Kinds(dict):
-    """Word to its hash, with the kind in the two lowest bits; 0 for a word of marks only."""
+    """Word to its hash, with the kind in the two lowest bits; 0 for a word of marks only, ``TWO`` for a number joined to its unit."""
+
+    TWO = 1
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > KNOWN_WORDS:
             self.clear()
         lower, kind = kind_of(word.decode())
-        value = self[word] = (xxhash.xxh64_intdigest(lower) & ~3 | kind) if lower else 0
+        two = not lower.isalpha() and halves_of(word)
+        value = self[word] = self.TWO if two else (xxhash.xxh64_intdigest(lower) & ~3 | kind) if lower else 0
         return value
 
 
@@ -85,6 +107,13 @@ class Windows:
         self.words = list(itertools.chain.from_iterable(split))
         codes = np.array(list(map(_kinds.__getitem__, self.words)), np.uint64)
         text = np.repeat(np.arange(len(texts)), list(map(len, split)))
+        joined = np.flatnonzero(codes == _Kinds.TWO)
+        if len(joined):
+            for i in joined.tolist():
+                self.words[i] = halves_of(self.words[i])
+            self.words = [x for w in self.words for x in (w if isinstance(w, tuple) else (w,))]
+            codes = np.array(list(map(_kinds.__getitem__, self.words)), np.uint64)
+            text = np.insert(text, joined, text[joined])
         if not codes.all():
             self.words, text, codes = [w for w, c in zip(self.words, codes.tolist()) if c], text[codes > 0], codes[codes > 0]
         self.n_texts, self.codes, self.text_of_word = len(texts), codes >> np.uint64(2), text
@@ -93,6 +122,7 @@ class Windows:
 
     def look(self, view: int) -> Windows:
         """Put the windows of a view in place."""
+        size = view if view in SHORT else WINDOW
         codes, self.kinds, text = self.codes, self.kind_of_word, self.text_of_word
         #: Where each of the view's words begins among all words.
         self.starts = None
@@ -103,26 +133,27 @@ class Windows:
         self.literal = self.kinds == LITERAL
         if view == ANY_CASE:
             self.literal |= self.kinds == NAME
-        #: Where each text's words begin.
+        #: Where each text's words begin, and how many it has.
         self.begins = np.searchsorted(text, np.arange(self.n_texts))
-        n = max(0, len(codes) - WINDOW + 1)
+        self.sizes = np.bincount(text, minlength=self.n_texts)
+        n = max(0, len(codes) - size + 1)
         template = np.where(self.literal, codes, _KINDS[self.kinds])
         said = np.cumsum(np.r_[0, self.literal])
         #: Windows with placeholders.
-        self.open = said[WINDOW:] - said[:-WINDOW] >= LITERALS if n else np.empty(0, bool)
+        self.open = (said[size:] - said[:-size] >= LITERALS) & (size == WINDOW) if n else np.empty(0, bool)
         mixed = np.zeros(n, np.uint64)
-        for j in range(WINDOW):
+        for j in range(size):
             mixed += template[j : j + n] * _ODD[j]
         closed = np.flatnonzero(~self.open)
         mixed[closed] = 0
-        for j in range(WINDOW):
+        for j in range(size):
             mixed[closed] += codes[closed + j] * _ODD[WINDOW + j]
         mixed ^= mixed >> np.uint64(29)
         mixed *= _ODD[-1]
         self.hashes = mixed ^ mixed >> np.uint64(32) ^ _SALTS[view]
         self.text = text[:n]
         #: Windows within one text; the others only fill the row.
-        self.whole = text[:n] == text[WINDOW - 1 :] if n else np.empty(0, bool)
+        self.whole = text[:n] == text[size - 1 :] if n else np.empty(0, bool)
         return self
 
     def value(self, j: int) -> str:
@@ -134,21 +165,30 @@ class Windows:
         return run if end - self.starts[j] <= RUN_WORDS else xxhash.xxh64_hexdigest(run)
 
 
-class Known:
-    """Hashes to look others up in: most are ruled out by a table of their low bits."""
+class Filter:
+    """A table of bits, two for each known hash; it passes all known hashes and few others."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.low = np.uint64((1 << max(20, (8 * len(hashes)).bit_length())) - 1)
-        self.table = None
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.low = bits, np.uint64(64 * len(bits) - 1)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """Where ``hashes`` are known, in order."""
-        if self.table is None:  # made in the task, so that only the hashes are sent
-            self.table = np.zeros(int(self.low) + 1, bool)
-            self.table[self.hashes & self.low] = True
-        at = np.flatnonzero(self.table[hashes & self.low])
-        return at[self.hashes[np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)] == hashes[at]] if len(at) else at
+        at = np.flatnonzero(self.has(hashes & self.low))
+        return at[self.has(hashes[at] >> np.uint64(32) & self.low)]
+
+    def has(self, places: np.ndarray) -> np.ndarray:
+        return (self.bits[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def filter_of(hashes: DataFrame) -> Filter:
+    """The filter of a column of different hashes. Its words are put together by Spark; no more than the table comes to the driver."""
+    size = 64
+    while size < min(FILTER_BITS * hashes.count(), MOST_FILTER_BITS):
+        size *= 2
+    places = hashes.select(F.explode(F.array(*(F.shiftrightunsigned("window", by).bitwiseAND(F.lit(size - 1)) for by in (0, 32)))).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return Filter(bits)
 
 
 def _portions(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -163,83 +203,107 @@ def _portions(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield keys[start:], texts[start:]
 
 
-def _window_rows(known: Known | None, views: tuple[int, ...]):
-    """(key, text) to (key, view, window, places, values) with the slots' places and values; only windows that are ``known``, if given."""
+_ROWS = "view int, window long, at long, places array<long>, values array<string>"
+
+
+def _window_rows(known, views: tuple[int, ...]):
+    """(key, text) to (key, view, window, at, places, values): where each window begins, and its slots' places and values; only windows that pass ``known``, if given, else short ones of texts as short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = known.value if known else None
         for batch in batches:
             for keys, texts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 all_ = Windows(texts)
                 for view in views:
                     all_.look(view)
-                    at = np.arange(len(all_.hashes)) if known is None else known(all_.hashes)
+                    at = passes(all_.hashes) if passes else np.arange(len(all_.hashes))
                     at = at[all_.whole[at]]
+                    if not passes and view in SHORT:
+                        at = at[all_.sizes[all_.text[at]] == view]
+                    text = all_.text[at]
                     own, places, values = [], [], []
-                    for i, text, open_ in zip(at.tolist(), all_.text[at].tolist(), all_.open[at].tolist()):
+                    for i, x, open_ in zip(at.tolist(), text.tolist(), all_.open[at].tolist()):
                         slots = [j for j in range(i, i + WINDOW) if not all_.literal[j]] if open_ else []
-                        own.append(keys[text])
-                        places.append([j - int(all_.begins[text]) for j in slots])
+                        own.append(keys[x])
+                        places.append([j - int(all_.begins[x]) for j in slots])
                         values.append([all_.value(j) for j in slots])
-                    columns = [pa.array(own, batch.schema.types[0]), pa.array([view] * len(own), pa.int32()), pa.array(all_.hashes[at].view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "view", "window", "places", "values"])
+                    columns = [pa.array(own, batch.schema.types[0]), pa.array([view] * len(own), pa.int32()), pa.array(all_.hashes[at].view(np.int64)), pa.array(at - all_.begins[text], pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "view", "window", "at", "places", "values"])
 
     return run
 
 
-def template_windows(rows: DataFrame, known: Known | None = None, views: tuple[int, ...] = (TEMPLATE,)) -> DataFrame:
-    """Windows of ``rows`` (key, t): key, view, window, and the places and values of the slots."""
+def template_windows(rows: DataFrame, known=None, views: tuple[int, ...] = VIEWS) -> DataFrame:
+    """Windows of ``rows`` (key, t) in the views: key, view, window, its place, and the places and values of its slots."""
     key = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "t").mapInArrow(_window_rows(known, views), f"key {key}, view int, window long, places array<long>, values array<string>")
+    return rows.select("key", "t").mapInArrow(_window_rows(known, tuple(views)), f"key {key}, {_ROWS}")
+
+
+def _keys(items: DataFrame) -> DataFrame:
+    """(view, window, item_id): of each item the windows that fewest items have, as many as any document with enough of its windows must have one of."""
+    each = items.select("item_id", "view", "window").distinct()
+    shared = each.groupBy("view", "window").agg(F.count("*").alias("n_items"))
+    of_item = Window.partitionBy("item_id", "view")
+    ranked = each.join(shared, ["view", "window"]).withColumn("rank", F.row_number().over(of_item.orderBy("n_items", "window"))).withColumn("n", F.count("*").over(of_item))
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(CONTAINMENT * F.col("n")) + 1).select("view", "window", "item_id")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False) -> DataFrame:
-    """``key`` (struct of id and text hash), item_id, and how much of the item the document holds.
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``key`` (id and text hash), item_id, and how much of the item the document holds.
 
     n_windows and n_found count windows of the item; containment is their quotient; consistency is the share
-    of the item's repeated values that have one value in the document (1 if there are none). Only leaks are returned,
-    with the measures of the first view that shows them; runs as one slot count only where the template holds too few
-    windows, so they don't overrule its values. Copies in another case are leaks with ``any_case``. Null
-    texts and texts or items of fewer than ``WINDOW`` words have no windows and leak nothing; equal rows count
-    as one; empty tables give an empty result. Items with one item_id count as one item.
+    of the item's repeated values that have one value in the document (1 if there are none). Each copy that holds enough
+    of the windows by itself is judged by itself, and the best one counts; without such a copy all windows are judged
+    together. Only leaks are returned, with the measures of the first view that shows them; runs as one slot count
+    only where the template holds too few windows, so they don't overrule its values. Null texts leak nothing, and
+    items of fewer than ``SHORTEST`` words are not looked for; a shorter item than ``WINDOW`` is leaked by its words in
+    order, in any case. Equal rows count as one; empty tables give an empty result. Items with one item_id count as
+    one item.
     """
-    views = VIEWS if any_case else (TEMPLATE, RUNS)
-    source = benchmark.select(F.col("item_id").cast("long").alias("key"), text_of().alias("t"))
-    items = saved(template_windows(source, None, views)).withColumnsRenamed({"key": "item_id", "places": "item_places", "values": "item_values"})
+    items = saved(template_windows(benchmark.select(F.col("item_id").cast("long").alias("key"), text_of().alias("t")), None, (*VIEWS, *SHORT)))
+    items = items.withColumnsRenamed({"key": "item_id", "at": "item_at", "places": "item_places", "values": "item_values"})
+    views = tuple(sorted(r["view"] for r in items.select("view").distinct().collect()))  # five at most
     sizes = items.groupBy("item_id", "view").agg(F.count_distinct("window").alias("n_windows"))
-    hashes = items.select("window").distinct()
-    small = hashes.count() <= broadcast_windows
-    known = Known(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if small else None
-    source = docs.select(F.struct(id_of().alias("id"), F.xxhash64(text_of()).alias("hash")).alias("key"), text_of().alias("t"))
-    key = F.concat_ws(":", "key.id", "key.hash").alias("key")
-    found = template_windows(source.select(key, "t"), known, views).drop("view", "places")
-    joined = saved(found.join(F.broadcast(items) if small else items, "window"))  # matches only; read twice below
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(items.select("window").distinct()))  # of bounded size
+    key = F.concat_ws(":", id_of(), F.xxhash64(text_of())).alias("key")
+    found = saved(template_windows(docs.select(key, text_of().alias("t")), known, views))
+    # pairs that can be leaks, then pairs that hold enough, then their slots
+    may = found.select("key", "view", "window").join(_keys(items), ["view", "window"]).select("key", "view", "item_id").distinct()
+    joined = saved(found.join(may, ["key", "view"]).join(items, ["item_id", "view", "window"]))
     pair = ["key", "item_id", "view"]
     pairs = joined.groupBy(*pair).agg(F.count_distinct("window").alias("n_found"))
-    held = pairs.join(F.broadcast(sizes) if small else sizes, ["item_id", "view"]).where(F.col("n_found") >= CONTAINMENT * F.col("n_windows"))
-    slots = joined.select(*pair, F.inline(F.arrays_zip("item_places", "item_values", "values")))
-    counted = slots.groupBy(*pair, "item_places", "item_values", "values").agg(F.count("*").alias("n"))
-    usual = counted.groupBy(*pair, "item_places", "item_values").agg(F.max_by("values", F.struct("n", "values")).alias("value"))
-    by_value = usual.groupBy(*pair, "item_values").agg(F.count("*").alias("places"), F.count_distinct("value").alias("kinds"))
-    agreed = by_value.where("places > 1").groupBy(*pair).agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency"))
-    both = held.join(agreed, pair, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    measures = both.groupBy("key", "item_id").agg(F.sort_array(F.collect_list(F.struct("view", "n_windows", "n_found", "consistency"))).alias("seen"))
+    held = saved(pairs.join(sizes, ["item_id", "view"]).where(F.col("n_found") >= CONTAINMENT * F.col("n_windows")))
+    aligned = joined.join(held, pair).withColumn("shift", F.col("at") - F.col("item_at"))
+    by_shift = aligned.groupBy(*pair, "n_windows", "shift").agg(F.count_distinct("window").alias("n"))
+    most = by_shift.groupBy(*pair).agg(F.max("n").alias("most"))
+    enough = CONTAINMENT * F.col("n_windows")
+    shifts = by_shift.join(most, pair).where((F.col("n") >= enough) | (F.col("most") < enough))
+    copies = shifts.select(*pair, "shift", F.when(F.col("n") >= enough, F.col("shift")).otherwise(SCATTERED).alias("copy"))
+    slots = aligned.join(copies, [*pair, "shift"]).select(*pair, "copy", F.inline(F.arrays_zip("item_places", "item_values", "values")))
+    counted = slots.groupBy(*pair, "copy", "item_places", "item_values", "values").agg(F.count("*").alias("n"))
+    usual = counted.groupBy(*pair, "copy", "item_places", "item_values").agg(F.max_by("values", F.struct("n", "values")).alias("value"))
+    by_value = usual.groupBy(*pair, "copy", "item_values").agg(F.count("*").alias("places"), F.count_distinct("value").alias("kinds"))
+    agreed = by_value.where("places > 1").groupBy(*pair, "copy").agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency"))
+    of_copies = copies.select(*pair, "copy").distinct().join(agreed, [*pair, "copy"], "left")
+    both = held.join(of_copies.groupBy(*pair).agg(F.max(F.coalesce("consistency", F.lit(1.0))).alias("consistency")), pair)
+    measures = both.groupBy("key", "item_id").agg(F.sort_array(F.collect_list(F.struct("view", "n_windows", "n_found", "consistency"))).alias("seen"))  # five at most
     shown = F.filter("seen", lambda x: (x["consistency"] >= CONSISTENCY) & ((x["view"] != RUNS) | (F.col("seen")[0]["view"] != TEMPLATE)))
     first = measures.select("key", "item_id", F.get(shown, F.lit(0)).alias("first")).where("first is not null").select("key", "item_id", "first.*")
     return first.select("key", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"), "consistency")
 
 
-def query(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False) -> DataFrame:
+def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the measures of each leak; a null doc_id stays null, and equal rows give one."""
-    found = leaks(docs, benchmark, broadcast_windows, any_case)
+    found = leaks(docs, benchmark)
     known = docs.select(F.concat_ws(":", id_of(), F.xxhash64(text_of())).alias("key"), "doc_id").distinct()
     return known.join(found, "key").drop("key")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns, whatever their names."""
     names = docs.columns
     doc_id, text = (f"k{names.index(c)}" for c in ("doc_id", "text"))
     rows = docs.toDF(*(f"k{i}" for i in range(len(names)))).withColumn("key", F.concat_ws(":", id_of(doc_id, text), F.xxhash64(text_of(text))))
-    dirty = leaks(docs.select("doc_id", "text"), benchmark, broadcast_windows, any_case).select("key").distinct()
+    dirty = leaks(docs.select("doc_id", "text"), benchmark).select("key").distinct()
     # a merge join at any size: what leaks grows with the corpus
     return rows.join(dirty.hint("merge"), "key", "left_anti").drop("key").toDF(*names)

@@ -1,77 +1,114 @@
-"""Decontamination against a brute-force comparison of templates."""
+"""Decontamination against a brute-force comparison of templates with a canonicaliser of its own."""
 
+import random
 from collections import Counter, defaultdict
 
-import pytest
 from framesift.llm import decontaminate as de
 
+ITEM = "A train leaves Boston at 5 pm and travels 60 miles in 2 hours before Alice boards the train in Boston again."
 ITEMS = [
-    (1, "A train leaves Boston at 5 pm and travels 60 miles in 2 hours before Alice boards the train in Boston again."),
-    (2, "the quick brown fox jumps over the lazy dog while seven other foxes watch from the hill"),
-    (3, "too short item"),
-    (4, None),
-    (5, "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT"),
-]
+    (1, ITEM), (2, "the quick brown fox jumps over the lazy dog while many other foxes watch from the hill"),
+    (3, "too short item"), (4, None), (5, "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT"), (6, "no item"), (7, "four words make one"),
+]
 FILL = "lorem ipsum dolor sit amet consectetur "
+OTHER = "A train leaves Denver at 7 pm and travels 90 miles in 3 hours before Carol boards the train in Denver again."
+MIXED = OTHER.replace("Denver again", "Chicago again")
 DOCS = [
-    (1, FILL + ITEMS[0][1] + " " + FILL),
-    (2, "A train leaves Denver at 7 pm and travels 90 miles in 3 hours before Carol boards the train in Denver again."),
-    (3, "A train leaves Denver at 7 pm and travels 90 miles in 3 hours before Carol boards the train in Chicago again."),
-    (4, FILL * 200 + ITEMS[1][1].upper().lower().replace(" ", "\n\t") + FILL),
-    (5, "the quick brown fox jumps over the lazy cat"),
+    (1, FILL + ITEM + " " + FILL), (2, OTHER), (3, MIXED), (4, FILL * 200 + ITEMS[1][1].upper().lower().replace(" ", "\n\t") + FILL), (5, "the quick brown fox jumps over the lazy cat"),
     (6, FILL), (7, None), (8, ""), (9, "ONE TWO THREE FOUR FIVE SIX SEVEN NINE TEN"), (10, "one two three four five six seven eight"),
-    (None, ITEMS[1][1]), (11, ITEMS[1][1]), (11, ITEMS[1][1]), (11, "clean text that is fine by any measure"), (12, "too short item"),
+    (None, ITEMS[1][1]), (11, ITEMS[1][1]), (11, ITEMS[1][1]), (11, "clean text that is fine by any measure"), (12, FILL + "Too short, item! " + FILL), (13, "too short an item"), (14, "no item"),
+    (15, MIXED + " " + FILL + OTHER), (16, "so four words make one whole"), (17, ITEM.upper()), (18, OTHER.replace("90 miles", "90miles").replace("3 hours", "three hours")),
+    (19, ITEM.replace("Boston", "New York").replace("60", "12 500")), (20, ITEM.replace("Boston", "New York", 1).replace("Boston", "San Jose")), (21, "ONE 5 TWO 60 THREE 2 FOUR HOURS FIVE"),
 ]
 
+NUMBERS = {"one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"}
+UNITS = {"miles", "hours"}
+
 
-def template(text):
-    words = [de.kind_of(w) for w in (text or "").split()]
-    words = [w for w in words if w[0]]
+def canonical(text, view):
+    """Words as (said, kind, value) in a view; kinds are l, #, N and u."""
     out = []
-    for i in range(len(words) - 4):
-        w = words[i : i + 5]
-        if sum(k == de.LITERAL for _, k in w) >= 1:
-            out.append((tuple(x if k == de.LITERAL else k for x, k in w), [(i + j, x) for j, (x, k) in enumerate(w) if k != de.LITERAL]))
+    for word in (text or "").replace("90miles", "90 miles").split():
+        bare = word.strip(".,!")
+        low = bare.lower()
+        kind = "u" if low in UNITS else "#" if low in NUMBERS or bare.isdigit() else "N" if bare[0].isupper() else "l"
+        if view == de.ANY_CASE and kind == "N":
+            kind = "l"
+        if view == de.RUNS and kind in "#N" and out and out[-1][0] == kind:
+            out[-1] = (kind, f"{out[-1][1]} {low}")
         else:
-            out.append((("said", *(x for x, _ in w)), []))
+            out.append((kind, low))
     return out
 
 
+def windows(text, view):
+    """(window, at, slots) of a text; slots are (place, value)."""
+    words = canonical(text, view if view < 3 else de.ANY_CASE)
+    size = 5 if view < 3 else view
+    out = []
+    for i in range(len(words) - size + 1):
+        w = words[i : i + size]
+        if size == 5 and any(k == "l" for k, _ in w):
+            out.append((tuple(v if k == "l" else k for k, v in w), i, [(i + j, v) for j, (k, v) in enumerate(w) if k != "l"]))
+        else:
+            out.append((("said", *(v for _, v in w)), i, []))
+    return out
+
+
+def judged(doc, item, view):
+    """(n_windows, n_found, consistency) or None."""
+    if view >= 3 and len(canonical(item, de.ANY_CASE)) != view:
+        return None
+    own, other = windows(doc, view), windows(item, view)
+    keys = {w for w, *_ in other}
+    n = len(keys & {w for w, *_ in own})
+    if not keys or n < 0.8 * len(keys):
+        return None
+    pairs = [(w, at - i, slots, item_slots) for w, at, slots in own for v, i, item_slots in other if v == w]
+    by_shift = defaultdict(set)
+    for w, shift, *_ in pairs:
+        by_shift[shift].add(w)
+    copies = [s for s, held in by_shift.items() if len(held) >= 0.8 * len(keys)]
+    groups = [[p for p in pairs if p[1] == s] for s in copies] or [pairs]
+    return len(keys), n, max(map(agreement, groups))
+
+
+def agreement(pairs):
+    """The share of repeated values that have one value."""
+    values, places = defaultdict(Counter), defaultdict(list)
+    for _, _, slots, item_slots in pairs:
+        for (place, value), (_, found) in zip(item_slots, slots):
+            values[place, value][found] += 1
+    for (_, value), c in values.items():
+        places[value].append(max((n, v) for v, n in c.items())[1])
+    several = [len(set(v)) == 1 for v in places.values() if len(v) > 1]
+    return sum(several) / len(several) if several else 1.0
+
+
 def brute():
     found = set()
     for doc_id, text in DOCS:
-        own = template(text)
         for item_id, item in ITEMS:
-            other = template(item)
-            if not other:
-                continue
-            keys = {w for w, _ in other}
-            n = len(keys & {w for w, _ in own})
-            slots, places = defaultdict(Counter), defaultdict(list)
-            for w, values in own:
-                for v, item_values in other:
-                    if v == w:
-                        for a, b in zip(item_values, values):
-                            slots[a][b[1]] += 1
-            for (_, x), c in slots.items():
-                places[x].append(max((n, v) for v, n in c.items())[1])
-            several = [len(set(v)) == 1 for v in places.values() if len(v) > 1]
-            consistency = sum(several) / len(several) if several else 1.0
-            if n >= 0.8 * len(keys) and consistency >= 0.8:
-                found.add((doc_id, item_id, len(keys), n, n / len(keys), consistency))
+            seen = [(view, m) for view in range(5) if (m := judged(text, item, view))]
+            shown = [m for view, m in seen if m[2] >= 0.8 and (view != de.RUNS or seen[0][0] != de.TEMPLATE)]
+            if shown:
+                n_windows, n, consistency = shown[0]
+                found.add((doc_id, item_id, n_windows, n, n / n_windows, consistency))
     return found
 
 
-@pytest.mark.parametrize("broadcast_windows", [de.BROADCAST_WINDOWS, 0])
-def test_query(spark, broadcast_windows):
+LEAKED = {1, 2, 4, None, 10, 11, 12, 15, 16, 17, 18, 19}
+
+
+def test_query(spark):
     docs = spark.createDataFrame([(*d, "x") for d in DOCS], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(*i, 1) for i in ITEMS], "item_id long, text string, doc_id int")
-    found = [tuple(r) for r in de.query(docs, items, broadcast_windows).collect()]
+    found = [tuple(r) for r in de.query(docs, items).collect()]
     assert set(found) == brute() and len(found) == len(set(found))
-    assert {1, 2, 4, None, 11} == {d for d, *_ in found}
-    clean = de.keep_clean(docs, items, broadcast_windows)
+    assert {d for d, *_ in found} == LEAKED
+    clean = de.keep_clean(docs, items)
     assert clean.columns == docs.columns
-    assert sorted((tuple(r)[:2] for r in clean.collect()), key=str) == sorted((d for d in DOCS if d[0] not in (1, 2, 4, None, 11) or d[1].startswith("clean")), key=str)
+    assert sorted((tuple(r)[:2] for r in clean.collect()), key=str) == sorted((d for d in DOCS if d[0] not in LEAKED or d[1].startswith("clean")), key=str)
 
 
 def test_empty(spark):
@@ -80,3 +117,47 @@ def test_empty(spark):
     assert de.query(docs.limit(0), items).count() == 0
     assert de.query(docs, items.limit(0)).count() == 0
     assert de.keep_clean(docs, items.limit(0)).count() == len(DOCS)
+
+
+def test_other_values_are_found(spark):
+    """Questions with other numbers, names and units, longer names, numbers in words or joined to units, or in another case: nine in ten are found, and none whose values don't agree."""
+    rng = random.Random(11)
+    verbs, things = ["buys", "sells", "finds", "carries", "packs"], ["apples", "books", "stones", "chairs", "boxes", "pens"]
+    names = ["Anna", "Boris", "Clara", "David", "Edgar", "Fiona"]
+    forms = [
+        "{a} {v} {n} {t} on Monday and walks {m} km to the market near {c} where {b} {w} {k} {s} for the children of {c} . How many {t} does {a} still have if {b} takes half of them away",
+        "In {c} a worker paints {n} walls within {m} hours while {a} and {b} watch the {t} near the old gate . How long would {a} need for {k} walls of the same size in {c} when {b} doesn't help",
+    ]
+    in_words = {2: "two", 3: "three", 5: "five", 9: "nine"}
+
+    def made(i, values):
+        r = random.Random(i)
+        return r.choice(forms).format(v=r.choice(verbs), w=r.choice(verbs), t=r.choice(things), s=r.choice(things), **values)
+
+    def values():
+        a, b, c = rng.sample(names, 3)
+        return {"a": a, "b": b, "c": c, "n": rng.randint(2, 99), "m": rng.randint(2, 99), "k": rng.randint(2, 99)}
+
+    items = [(i, made(i, values())) for i in range(40)]
+    docs = []
+    for i in range(40):
+        long = {**values(), "c": "New York", "a": "Mary Ann"}
+        spelled = {**values(), "n": in_words[rng.choice([2, 3, 5, 9])]}
+        joined = made(i, values()).replace(" km", "km").replace(" hours", "hours")
+        docs += [(100 * i + k, f"Some words before. {t} And some after.") for k, t in enumerate((made(i, values()), made(i, long), made(i, spelled), joined, items[i][1].upper(), items[i][1].lower()))]
+    mixed = [(10_000 + i, made(i, v | {"c": "Oslo", "a": "Gustav"}).replace("Oslo", "Riga", 1).replace("Gustav", "Henry", 1)) for i, v in ((i, values()) for i in range(40))]
+    found = de.query(spark.createDataFrame(docs + mixed, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in found}
+    for k in range(6):
+        assert sum((100 * i + k, i) in pairs for i in range(40)) >= 36, k
+    assert not [p for p in pairs if p[0] >= 10_000]
+
+
+def test_filter(spark):
+    rng = random.Random(1)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    import numpy as np
+
+    passes = de.filter_of(spark.createDataFrame([(h,) for h in hashes], "window long"))
+    assert len(passes(np.array(hashes, np.int64).view(np.uint64))) == 3000
+    assert len(passes(np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64))) < 100
