@@ -2,8 +2,8 @@
 
 The scan finds assignments, access keys and long hex strings by pattern, and other tokens that look random as
 candidates. The values of both are hashed and counted by the distinct repositories and owners that hold them: one
-that several owners hold is a widely copied example, one that a single owner holds is a live-looking credential; of
-the candidates these are added to the spans. Nothing but hashes, positions and owners leaves the scan.
+that several owners hold, or very many repositories of one owner, is a widely copied example; one that is in few
+repositories of a single owner is a live-looking credential; of the candidates these are added to the spans. Nothing but hashes, positions and owners leaves the scan.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesift.llm.common import saved, text_of
+from framesift.llm.common import join_facts, saved, text_of
 
 KINDS = ("assign", "access", "hex", "live")
 #: What a verdict is on: the value of a base span, or a candidate.
@@ -31,8 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PLACEHOLDER = "[SECRET]"
-#: A candidate has at least so many bits of entropy a character; one with more owners than this is an example.
-ENTROPY, OWNERS = 3.0, 1
+#: Parts of paths, slugs and names in code: words, and short numbers.
+WORD = re.compile(r"(?:[A-Z]?[a-z]+)+|[A-Z]{2,}|[0-9]{1,4}")
+#: A candidate has at least so many bits of entropy a character; one with more owners or repositories than these is an example.
+ENTROPY, OWNERS, REPOSITORIES = 3.0, 1, 10
 
 _FOUND = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("kind", "integer").add("hash", "string"))
 
@@ -50,9 +52,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def looks_random(token: str) -> bool:
-    """True for letters and digits mixed as in a generated credential."""
+    """True for letters and digits mixed as in a generated credential; a path or slug, half of words or more, is none."""
     if not (any(map(str.isdigit, token)) and any(map(str.isalpha, token))):
         return False
+    parts = re.split("[/_=+-]+", token)
+    if len(parts) > 1 and 2 * sum(len(x) for x in parts if WORD.fullmatch(x)) >= sum(map(len, parts)):
+        return False
     n = len(token)
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= ENTROPY
 
@@ -122,15 +127,15 @@ def _scan(docs: DataFrame, kept: int, doc_id: Column, text: Column, owner: Colum
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``hash``, ``n_owners``, ``n_repositories`` and ``live`` of all values (hash, owner, repository).
+    """``hash``, ``n_owners``, ``n_repositories``, ``live`` and ``n``, the number of rows, of all values (hash, owner, repository).
 
     Distinct triples are formed before the shuffle, so an example that a third of all documents copy costs a row
     for each owner and task. A null owner or repository counts as one of its own.
     """
-    triples = found.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
-    by_owner = triples.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    counted = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    return counted.withColumn("live", F.col("n_owners") <= OWNERS)
+    triples = found.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).agg(F.count("*").alias("n"))
+    by_owner = triples.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    counted = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n"))
+    return counted.withColumn("live", (F.col("n_owners") <= OWNERS) & (F.col("n_repositories") <= REPOSITORIES))
 
 
 def _each(scanned: DataFrame) -> DataFrame:
@@ -138,18 +143,22 @@ def _each(scanned: DataFrame) -> DataFrame:
     return scanned.select("key", "owner", "repository", F.explode("found").alias("c")).select("key", "owner", "repository", "c.*")
 
 
+def _facts(scanned: DataFrame, each: DataFrame) -> DataFrame:
+    """``each`` with the ownership of its value; values that very many rows hold stay where they are."""
+    total = scanned.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    return join_facts(each, saved(ownership(_each(scanned))), "hash", total)
+
+
 def _added(scanned: DataFrame) -> DataFrame:
     """``key`` and ``live``: the spans (start, end) of its live candidates, in order."""
-    each = _each(scanned)
-    live = ownership(each).where("live").select("hash")
-    return each.where(F.col("kind") == CANDIDATE).join(live, "hash").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("live"))
+    live = _facts(scanned, _each(scanned).where(F.col("kind") == CANDIDATE)).where("live")
+    return live.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("live"))
 
 
 def _judged(scanned: DataFrame) -> DataFrame:
     """``key`` and ``judged``: all its values with their verdicts, in order."""
-    each = _each(scanned)
     verdict = F.struct("start", "kind", "end", "live", "n_owners", "n_repositories")
-    return each.join(ownership(each), "hash").groupBy("key").agg(F.sort_array(F.collect_set(verdict)).alias("judged"))
+    return _facts(scanned, _each(scanned)).groupBy("key").agg(F.sort_array(F.collect_set(verdict)).alias("judged"))
 
 
 def query(docs: DataFrame, verdicts: bool = False) -> DataFrame:
