@@ -14,14 +14,23 @@ twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, gram
 repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY rid),
 measured AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_shout
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words, len(list_filter(w, lambda x: regexp_matches(x, '(?s)[A-Z].*[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_capital_words
   FROM lined LEFT JOIN repeated USING (rid)),
 judged AS (
   SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
     + CASE WHEN n_lines >= 10 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
-    + CASE WHEN 2 * n_shout > n_words THEN 32 ELSE 0 END AS fail_bits FROM measured)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits % 4 > 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM judged"""
+    + CASE WHEN 10 * n_letter_words < 8 * n_words THEN 32 ELSE 0 END + CASE WHEN 10 * n_capital_words > 3 * n_words THEN 64 ELSE 0 END AS fail_bits FROM measured)
+"""
+
+LEDGER = f"""{QUALITY}
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_letter_words AS BIGINT) AS n_letter_words, CAST(n_capital_words AS BIGINT) AS n_capital_words, fail_bits % 4 > 0 AS base_failed, fail_bits = 0 AS kept,
+  CAST(fail_bits AS BIGINT) AS fail_bits, fail_bits & 3 = 0 AS kept_v1, fail_bits & 15 = 0 AS kept_v2, fail_bits = 0 AS kept_v3 FROM judged"""
+
+ABLATION = f"""{QUALITY},
+rules(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('letters', 32), ('capitals', 64))
+SELECT rule, count(*) FILTER (fail_bits & bit > 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER (fail_bits = bit OR fail_bits = 0) AS n_kept_without FROM judged, rules GROUP BY rule"""
 
 SUBSTRINGS = rf"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -32,4 +41,4 @@ kept AS (SELECT d.doc_id, string_agg(d.word, ' ' ORDER BY d.p) AS words, count(*
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs) d ANTI JOIN gone g ON g.doc_id = d.doc_id AND g.p = d.p GROUP BY d.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op2_quality_rules": QUALITY, "op8_substring_dedup": SUBSTRINGS, "op9_license_scan": licenses.oracle()}
+ORACLES = {"op2_quality_rules": LEDGER, "quality_ablation": ABLATION, "op8_substring_dedup": SUBSTRINGS, "op9_license_scan": licenses.oracle()}

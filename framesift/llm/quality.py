@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framesift.llm.common import saved
+
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-_MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shout_words")
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_capital_words")
 
 #: Rule name -> failed when; the position is the rule's bit. Whole numbers only, so both sides compare exactly.
 RULES: dict[str, Callable[[], Column]] = {
@@ -27,15 +29,32 @@ RULES: dict[str, Callable[[], Column]] = {
     "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
     "duplicate_lines": lambda: (F.col("n_lines") >= 10) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
-    "shouting": lambda: 2 * F.col("n_shout_words") > F.col("n_words"),
+    "letters": lambda: 10 * F.col("n_letter_words") < 8 * F.col("n_words"),
+    "capitals": lambda: 10 * F.col("n_capital_words") > 3 * F.col("n_words"),
 }
 BITS = {name: 1 << i for i, name in enumerate(RULES)}
 BASE_MASK = BITS["too_few_words"] | BITS["repeated_words"]
 #: Versioned policies: the bits that reject a document.
 POLICIES = {1: BASE_MASK, 2: BASE_MASK | BITS["symbols"] | BITS["duplicate_lines"], 3: sum(BITS.values())}
+#: Entries of the cache of a Python worker.
+KNOWN_WORDS = 500_000
 CURRENT_POLICY = 3
 
 
+class _Signs(dict):
+    """Word to 1 if it holds a letter, plus 2**32 if it is in capitals: two of A to Z or more, and none of a to z."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        capitals = sum(65 <= c <= 90 for c in word) > 1 and not any(97 <= c <= 122 for c in word)
+        value = self[word] = int(any(map(str.isalpha, word.decode()))) + (capitals << 32)
+        return value
+
+
+_signs = _Signs()
+
+
 def repeated_words(words: list) -> int:
     """Words that lie in a 3-word window found twice or more in ``words``."""
     grams = list(zip(words, words[1:], words[2:]))
@@ -54,6 +73,7 @@ def measure(text: str) -> tuple[int, ...]:
     """The measurements of one text, in the order of the ledger's columns."""
     words = text.encode().split()  # bytes.split() takes exactly \x20 and \x09-\x0D as space
     lines = [line for line in text.split("\n") if line.strip(WHITE)]
+    capitals, letters = divmod(sum(map(_signs.__getitem__, words)), 1 << 32)
     return (
         len(words),
         len(text) - sum(map(text.count, WHITE)),
@@ -61,7 +81,8 @@ def measure(text: str) -> tuple[int, ...]:
         len(lines),
         len(lines) - len(set(lines)),
         repeated_words(words),
-        sum(w.endswith(b"!!") for w in words) if "!!" in text else 0,
+        letters,
+        capitals,
     )
 
 
@@ -127,9 +148,12 @@ def keep_documents(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The contract columns over ``docs``."""
+    """The ledger of ``docs``, written once, with the verdict of each version of the policy; ``kept`` is the current one's."""
+    led = saved(ledger(docs))
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE_MASK)) != 0
-    return ledger(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), passes().alias("kept"), "fail_bits",
-    )
+    return led.select("doc_id", *_MEASURES, base.alias("base_failed"), passes().alias("kept"), "fail_bits", *(passes(v).alias(f"kept_v{v}") for v in POLICIES))
+
+
+def ablation_query(docs: DataFrame) -> DataFrame:
+    """What each rule of the current policy does, over the whole ledger of ``docs``."""
+    return ablation(ledger(docs))

@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation_query(documents(spark, sf_dir))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -54,6 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "quality_ablation": quality_ablation,
     "op3_token_count": op3_token_count,
     "op4_decontaminate": op4_decontaminate,
     "op5_ppm": op5_ppm,

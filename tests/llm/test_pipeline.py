@@ -7,8 +7,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
-from framesift.llm import byte_bpe, decontaminate, quality, secrets
+from framesift.llm import byte_bpe, decontaminate, secrets
 from test_near_copies import kept_of
+from test_quality import plain as measured
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,10 +38,10 @@ def plain(docs, items):
 
 
 def judged(text):
-    n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shout_words = quality.measure(text)
+    n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letter_words, n_capital_words, base_failed = measured(text)
     return not (
-        n_words < 50 or 2 * n_repeat_words > n_words or 10 * n_symbols > n_words or (n_lines >= 10 and 10 * n_dup_lines > 3 * n_lines)
-        or word_chars < 2 * n_words or word_chars > 20 * n_words or 2 * n_shout_words > n_words
+        base_failed or 10 * n_symbols > n_words or (n_lines >= 10 and 10 * n_dup_lines > 3 * n_lines)
+        or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_letter_words < 8 * n_words or 10 * n_capital_words > 3 * n_words
     )
 
 

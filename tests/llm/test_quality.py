@@ -23,17 +23,19 @@ def plain(text):
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     repeated = {k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(i, i + 3)}
     n = len(words)
-    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), duplicates, len(repeated), n < 50 or 100 * len(repeated) > 50 * n
+    letters = sum(any(c.isalpha() for c in w) for w in words)
+    capitals = sum(len(re.findall("[A-Z]", w)) > 1 and not re.search("[a-z]", w) for w in words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), duplicates, len(repeated), letters, capitals, n < 50 or 100 * len(repeated) > 50 * n
 
 
 def test_query(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(0, TEXTS[3], 1), (None, TEXTS[4], 1)], "doc_id long, text string, n_words int")
-    found = sorted((tuple(r)[:8] for r in quality.query(docs).collect()), key=str)
+    found = sorted((tuple(r)[:11] for r in quality.query(docs).collect()), key=str)
     expected = sorted(((i, *plain(t)) for i, t in [*enumerate(TEXTS), (0, TEXTS[3]), (None, TEXTS[4])]), key=str)
-    assert [r[:7] for r in found] == [r[:7] for r in expected]
-    assert not any(r[6] and r[7] for r in found) and any(r[7] for r in found)
+    assert [r[:10] for r in found] == expected
+    assert not any(r[9] and r[10] for r in found) and any(r[10] for r in found)
     kept = quality.keep_documents(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r[7] for r in found)
+    assert kept.columns == docs.columns and kept.count() == sum(r[10] for r in found)
     assert quality.query(docs.limit(0)).count() == 0
 
 
