@@ -1,6 +1,7 @@
 """Licence scans against a brute-force version and the SQL."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -19,6 +20,10 @@ def brute(text):
         else:
             units.append(" ".join(part))
             part = []
+    ended = re.sub(r"[.!?]+([ \t\n])", r"|\1", lower.replace("|", " "))
+    for paragraph in re.split(r"\n(?:[^a-z0-9\n]*\n)+", ended):
+        sentences = [x for x in paragraph.split("|") if re.search("[a-z0-9]", x)]
+        units += [" ".join(sentences[i : i + k]) for i in range(len(sentences)) for k in (1, 2, 3)]
     for unit in units:
         words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in unit).split()
         own = Counter(zip(words, words[1:]))
@@ -40,6 +45,9 @@ TEXTS = [
     NOTICE["MIT"].replace("rights", "right"), NOTICE["GPL-3.0"] + "\n" + "x y " * 30_000,
     "We are not licensed under anything; the license of MIT is another matter.", "under the mit license " * 50,
     "This work is licensed under the GNU General Public License, version 2.", "Ünder the\x00 ß\nLicensed under the MIT License. Ω",
+    "Copyright 2020 Foo. Licensed under the MIT License. See LICENSE for details.", "Copyright (c) Foo. " + NOTICE["Zlib"] + " 1. The origin must not be misrepresented.", "// SPDX-License-Identifier: GPL-2.0-or-later",
+    "Code by A. B. | This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed\n...\nwith this file. Stop!",
+    *(f"Copyright Foo.\n{notice}\nMore words follow here" for name, notice in licenses.TEMPLATES),
 ]
 
 
@@ -52,6 +60,26 @@ def test_brute_force(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_ties(spark):
+    """Of licences with equal scores the last name counts."""
+    found = licenses.scan(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string"), (("b", "one two three four"), ("c", "one two three four"), ("a", "one two three four")))
+    assert [tuple(r) for r in found.collect()] == [(1, "c", 1.0)]
+
+
+@pytest.mark.parametrize(("words", "share"), [(0, 1.0), (1, 0.95), (3, 0.85)])
+def test_recall(spark, words, share):
+    """Notices within a longer line, with some words exchanged: each licence is found, short notices of up to 12 words only as they are."""
+    rng, rows = random.Random(words), []
+    for i, (_, notice) in enumerate(licenses.TEMPLATES):
+        parts = notice.split(" ")
+        for at in rng.sample(range(len(parts) - 1), words) if len(parts) > 12 * words else []:
+            parts[at] = "changed"
+        rows.append((i, f"Some words stand before. {' '.join(parts)}{'' if notice.endswith('.') else '.'} And some behind."))
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum((i, name) in found for i, (name, _) in enumerate(licenses.TEMPLATES))
+    assert hits >= share * len(rows)
+
+
 def test_sql(spark):
     docs = "/root/testdata/sf0.001/documents.parquet"
     found = sorted(map(tuple, licenses.scan(spark.read.parquet(docs)).collect()))
