@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import saved
+from framesift.llm.common import join_facts, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of ``links`` that has a partner.
 
     Alternates large-star and small-star steps until the edges are stars around the least nodes. Each step is an
-    aggregate and a join by node, so a hub is summed before the shuffle and the join may split it; edges are
-    written after every round, so a lost executor costs one round. Loops and repeated links are harmless, links
+    aggregate and a join by node; a hub is summed before the shuffle, and its edges stay where they are in the join.
+    Every step is written, so a lost executor costs one step. Loops and repeated links are harmless, links
     with a null end are ignored, and an empty table gives an empty result.
     """
     ends = links.where((F.col(a) != F.col(b)))
@@ -26,11 +26,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        others = large.join(root, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(others.union(root).distinct())
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))).select("u", F.least("u", "m").alias("m"), "n")
+        large = saved(join_facts(both, least, "u", 2 * state[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        root = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        others = join_facts(large, root, "u", large.count()).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = saved(others.union(root.select("u", "m")).distinct())
         before, state = state, _state(edges)
         if state == before:
             break

@@ -7,6 +7,7 @@ reader can fetch the ids of a few documents, or the counts of all of them, witho
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -38,11 +39,43 @@ KNOWN_WORDS = 1_000_000
 #: Letters whose lower case Python and the library may see differently, and lower-case letters with marks behind them.
 SPECIAL_CASE = re.compile("[^\0-\u017f]|[\u0130\u017f]")
 LETTERS_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff\u0153]*)([!-/:-@\\[-`{-~]*)\n")
+#: The normaliser and the pattern of words of the kind of file whose words can be looked up one by one.
+WORDWISE = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
 
+def wordwise(path: str) -> bool:
+    """Whether a file is of the kind in which words between spaces don't affect each other and case doesn't matter."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    parts = (file["normalizer"] or {}).get("normalizers"), (file["pre_tokenizer"] or {}).get("pretokenizers")
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in file["added_tokens"])
+    return parts == WORDWISE and plain and not file["post_processor"]
+
+
+class TextEncoder:
+    """The library's encoder, given whole texts."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as native (little-endian) 32-bit integers."""
+        return [np.array(x.ids, "<i4").tobytes() for k in range(0, len(texts), 64) for x in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
+
+
 class WordEncoder:
-    """The library's encoder, asked once for each word: words between spaces or line ends don't affect each other."""
+    """The library's encoder, asked once for each word, for files that are ``wordwise``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,9 +147,10 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker and file."""
-    return WordEncoder(path)
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """One encoder for each worker and file: word by word where the file is of the kind that allows it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path) if wordwise(path) else TextEncoder(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> None:
@@ -151,6 +185,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def read_range(spark: SparkSession, path: str, first: int, last: int, columns: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
+    """Some columns of the documents from ``first`` to ``last``. Files are in order of ids, so the reader skips all files, row groups and pages but those."""
+    return read(spark, path).where(F.col("doc_id").between(first, last)).select(*columns)
+
+
 def starts(files: DataFrame) -> DataFrame:
     """``part`` and ``base``, the ids in all parts before it; one row a file, whatever the number of documents."""
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
