@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.capture import extension, stem
+from framesift.operators.curation import placed
 from framesift.operators.pages import visible
 from framesift.schema import ERRORS_SHOWN
+from framesift.storage import saved
 
 
 def of_ratings(photos: DataFrame, project: str, ratings: list[int] | None = None) -> DataFrame:
@@ -39,24 +41,29 @@ def layout(files: DataFrame) -> DataFrame:
     """``target``: star-N/name for every row (project_id, rating, name, relative_path, id), no two alike.
 
     The first of rows with one name keeps it, the next are name (2), name (3), ... If such a name is also a
-    file's own, the number grows until it is free. Names repeat rarely, so only rows whose name or numbered name
-    occurs twice go on to further rounds; the number of rounds is that of such chains.
+    file's own, the number grows until it is free. Repeats are numbered by ranges, so that one name for all files is no
+    task of its own. Only rows whose name is taken go on to a further round, and are written by it; the number of
+    rounds is that of such chains.
     """
-    order = Window.partitionBy("project_id", "rating", "name").orderBy("relative_path", "id")
-    rows = files.withColumn("_n", F.row_number().over(order).cast("int"))
-    rows = rows.withColumn("_name", _numbered(F.col("name"), F.col("_n")))
+    folder, own = ["project_id", "rating"], ["project_id", "rating", "name"]
+    numbered = placed(files, [(F.asc, "relative_path"), (F.asc, "id")], *own).withColumnRenamed("place", "_n")
+    most = numbered.groupBy(*own).agg(F.max("_n").alias("_most"))
+    left, done = saved(numbered.join(most, own).withColumn("_name", _numbered(F.col("name"), F.col("_n")))), None
     while True:
-        holders = Window.partitionBy("project_id", "rating", "_name").orderBy("_n", "relative_path", "id")
-        placed = rows.withColumn("_turn", F.row_number().over(holders))
-        clash = placed.where("_turn > 1")
-        if clash.isEmpty():
-            break
-        most = F.max("_n").over(Window.partitionBy("project_id", "rating", "name"))
-        place = F.row_number().over(Window.partitionBy("project_id", "rating", "name", "_again").orderBy("relative_path", "id"))
-        again = placed.withColumn("_most", most).withColumn("_again", F.col("_turn") > 1)
-        moved = F.when(F.col("_again"), F.col("_most") + place).otherwise(F.col("_n")).cast("int")
-        rows = again.withColumn("_n", moved).withColumn("_name", _numbered(F.col("name"), F.col("_n"))).drop("_turn", "_most", "_again")
-    return placed.withColumn("target", F.concat(F.lit("star-"), F.col("rating"), F.lit("/"), F.col("_name"))).drop("_n", "_name", "_turn")
+        holders = Window.partitionBy(*folder, "_name").orderBy("_n", "relative_path", "id")
+        turns = left.withColumn("_turn", F.row_number().over(holders))
+        if done is not None:
+            taken = done.select(*folder, "_name").withColumn("_taken", F.lit(True))
+            turns = turns.join(taken, [*folder, "_name"], "left").withColumn("_turn", F.when(F.col("_taken"), F.col("_turn") + 1).otherwise(F.col("_turn"))).drop("_taken")
+        turns = saved(turns)
+        placed_now = turns.where("_turn = 1").drop("_turn")
+        done = placed_now if done is None else done.unionByName(placed_now)
+        again = turns.where("_turn > 1")
+        if again.isEmpty():
+            return done.withColumn("target", F.concat(F.lit("star-"), F.col("rating"), F.lit("/"), F.col("_name"))).drop("_n", "_name", "_most")
+        place = F.row_number().over(Window.partitionBy(*own).orderBy("relative_path", "id"))
+        moved = again.withColumn("_n", F.col("_most") + place).withColumn("_most", F.max("_n").over(Window.partitionBy(*own)))
+        left = saved(moved.withColumn("_name", _numbered(F.col("name"), F.col("_n"))).drop("_turn"))
 
 
 def write_table(files: DataFrame, path: str) -> None:
@@ -145,7 +152,7 @@ def zip_shards(files: DataFrame, shard_bytes: int = 64 << 20) -> DataFrame:
     return rows.select("shard", "target", "content", "modified_ms").groupBy("shard").applyInArrow(pack, "shard int, archive binary")
 
 
-def xmp_packet(rating: int) -> bytes:
+def rating_packet(rating: int) -> bytes:
     """A metadata packet that holds a rating."""
     return (
         '<?xpacket begin="﻿" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/">'
@@ -157,14 +164,14 @@ def xmp_packet(rating: int) -> bytes:
 _XMP = b"http://ns.adobe.com/xap/1.0/\0"
 
 
-def jpeg_with_rating(data: bytes, rating: int) -> bytes:
+def rated_jpeg(data: bytes, rating: int) -> bytes:
     """A JPEG file with its rating packet replaced, or added after its application segments; pixels stay.
 
     Raises ValueError for bytes that are no whole JPEG file.
     """
     if data[:2] != b"\xff\xd8" or b"\xff\xd9" not in data[2:]:
         raise ValueError("not a whole JPEG file")
-    body = _XMP + xmp_packet(rating)
+    body = _XMP + rating_packet(rating)
     packet = b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
     head, rest, at, placed = [data[:2]], [], 2, 0
     while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
@@ -189,7 +196,7 @@ def with_ratings(files: DataFrame) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 try:
-                    out.append((row["id"], jpeg_with_rating(row["content"] or b"", row["rating"] or 0), None))
+                    out.append((row["id"], rated_jpeg(row["content"] or b"", row["rating"] or 0), None))
                 except ValueError as e:
                     out.append((row["id"], None, str(e)))
             ids, contents, errors = zip(*out) if out else ((), (), ())
@@ -212,7 +219,7 @@ def write_ratings(files: DataFrame) -> DataFrame:
                 part = None
                 try:
                     with open(row["path"], "rb") as f:
-                        data = jpeg_with_rating(f.read(), row["rating"] or 0)
+                        data = rated_jpeg(f.read(), row["rating"] or 0)
                     fd, part = tempfile.mkstemp(dir=os.path.dirname(row["path"]))
                     with os.fdopen(fd, "wb") as f:
                         f.write(data)

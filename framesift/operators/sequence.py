@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from framesift.functions.hashing import distance
 from framesift.functions.scalars import is_weak, pair_key
 from framesift.schema import CANDIDATE_LIMIT, CANDIDATE_SHARE, DEFAULT_THRESHOLD, HASH_BITS, WINDOW_FLOOR_MS, WINDOW_MS
+from framesift.storage import saved
 
 #: Length of a stretch. Any length gives the same result.
 STRETCH_MS = 3_600_000
@@ -33,21 +34,25 @@ def _stretched(photos: DataFrame, stretch_ms: int) -> DataFrame:
     return photos.withColumn("stretch", F.floor(F.col("captured_at") / stretch_ms))
 
 
-def with_previous(photos: DataFrame, stretch_ms: int = STRETCH_MS, descending: bool = False) -> DataFrame:
-    """``photos`` with ``previous``: the struct of the photo before each in its project; null for the first.
+def with_neighbours(photos: DataFrame, stretch_ms: int = STRETCH_MS, sides: tuple[str, ...] = ("previous", "following")) -> DataFrame:
+    """``photos`` with ``previous`` and ``following``: the structs of the photos beside each in its project; null at the ends.
 
-    With ``descending`` it is the one after. Ties in time are ordered by path, then id. Rows need a time.
+    Ties in time are ordered by path, then id. Rows need a time.
     """
     here = F.struct(*ORDER, "d_hash", "timestamp_source")
     rows = _stretched(photos, stretch_ms)
-    keys = [F.desc(c) if descending else F.asc(c) for c in ORDER]
-    inside = rows.withColumn("inside", F.lag(here).over(Window.partitionBy("project_id", "stretch").orderBy(*keys)))
-    edge = F.min_by if descending else F.max_by
-    edges = rows.groupBy("project_id", "stretch").agg(edge(here, F.struct(*ORDER)).alias("edge"))
-    order = F.desc("stretch") if descending else F.asc("stretch")
-    before = edges.select("project_id", "stretch", F.lag("edge").over(Window.partitionBy("project_id").orderBy(order)).alias("outside"))
-    joined = inside.join(before, ["project_id", "stretch"], "left")
-    return joined.withColumn("previous", F.coalesce("inside", "outside")).drop("inside", "outside", "stretch")
+    within, across = Window.partitionBy("project_id", "stretch").orderBy(*ORDER), Window.partitionBy("project_id").orderBy("stretch")
+    ends = {"previous": (F.lag, F.max_by), "following": (F.lead, F.min_by)}
+    inside = rows.select("*", *(ends[s][0](here).over(within).alias(f"in_{s}") for s in sides))
+    edges = rows.groupBy("project_id", "stretch").agg(*(ends[s][1](here, F.struct(*ORDER)).alias(f"edge_{s}") for s in sides))
+    beside = edges.select("project_id", "stretch", *(ends[s][0](f"edge_{s}").over(across).alias(f"out_{s}") for s in sides))
+    joined = inside.join(beside, ["project_id", "stretch"], "left")
+    return joined.select(*photos.columns, *(F.coalesce(f"in_{s}", f"out_{s}").alias(s) for s in sides))
+
+
+def with_previous(photos: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """``photos`` with ``previous`` only."""
+    return with_neighbours(photos, stretch_ms, ("previous",))
 
 
 def eligibility(left_at: Column, right_at: Column, left_source: Column, right_source: Column, window_ms: Column | int = WINDOW_MS) -> Column:
@@ -62,7 +67,8 @@ def joins_by_threshold(gap_ms: Column, bits: Column, threshold: Column) -> Colum
     return (gap_ms <= WINDOW_MS) & (bits <= threshold)
 
 
-def _adjacent(photos: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
+def adjacent(photos: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """Usable photos with ``previous``, the gap to it and the distance from it."""
     rows = with_previous(usable(photos), stretch_ms)
     return rows.withColumn("gap_ms", F.col("captured_at") - F.col("previous.captured_at")).withColumn(
         "distance", F.when(F.col("previous").isNotNull(), distance(F.col("previous.d_hash"), F.col("d_hash")))
@@ -71,15 +77,14 @@ def _adjacent(photos: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
 
 def burst_pairs(photos: DataFrame) -> DataFrame:
     """Neighbours close in time that are not both weakly dated, however different: id, both ids, distance, gap_ms."""
-    rows = _adjacent(photos).where(F.col("previous").isNotNull())
+    rows = adjacent(photos).where(F.col("previous").isNotNull())
     fine = eligibility(F.col("previous.captured_at"), F.col("captured_at"), F.col("previous.timestamp_source"), F.col("timestamp_source")) == "eligible"
     left = F.col("previous.id")
     return rows.where(fine).select("project_id", pair_key(left, F.col("id")).alias("id"), left.alias("left_id"), F.col("id").alias("right_id"), "distance", "gap_ms")
 
 
-def _islands(photos: DataFrame, threshold: Column, overrides: DataFrame | None, stretch_ms: int) -> DataFrame:
-    """Usable photos with ``island``: the struct of the first photo of each one's run."""
-    rows = _adjacent(photos, stretch_ms)
+def _islands(rows: DataFrame, threshold: Column, overrides: DataFrame | None, stretch_ms: int) -> DataFrame:
+    """Adjacent photos with ``island``: the struct of the first photo of each one's run."""
     raw = joins_by_threshold(F.col("gap_ms"), F.col("distance"), threshold)
     if overrides is not None:
         said = overrides.select("project_id", F.col("left_id").alias("o_left"), F.col("right_id").alias("id"), F.col("joined").alias("said"))
@@ -97,9 +102,12 @@ def _islands(photos: DataFrame, threshold: Column, overrides: DataFrame | None,
 
 
 def burst_members(photos: DataFrame, threshold: Column | int = DEFAULT_THRESHOLD, overrides: DataFrame | None = None, stretch_ms: int = STRETCH_MS) -> DataFrame:
-    """project_id, island, id, captured_at, relative_path of every usable photo; a row each, whatever a run's length."""
+    """project_id, island, id, captured_at, relative_path of every usable photo; a row each, whatever a run's length.
+
+    ``photos`` may be ``adjacent`` ones, written once for several uses.
+    """
     level = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    rows = _islands(photos, level, overrides, stretch_ms)
+    rows = _islands(photos if "previous" in photos.columns else adjacent(photos, stretch_ms), level, overrides, stretch_ms)
     return rows.select("project_id", F.col("island.id").alias("island"), "id", "captured_at", "relative_path", "d_hash", F.col("island.d_hash").alias("first_hash"), "rating")
 
 
@@ -107,7 +115,7 @@ def burst_groups(photos: DataFrame, threshold: Column | int = DEFAULT_THRESHOLD,
     """Runs of two photos or more: id (first:last), members in order, span, and likeness of the rest to the first.
 
     ``overrides`` (project_id, left_id, right_id, joined) decide for their directed pair of neighbours, whatever
-    its gap or distance.
+    its gap or distance. A run's ids are one list; for runs beyond a task's memory there is ``burst_members``.
     """
     members = burst_members(photos, threshold, overrides, stretch_ms)
     place = F.struct("captured_at", "relative_path", "id")
@@ -130,30 +138,29 @@ def _windows() -> list[int]:
     return out
 
 
-def _sided(photos: DataFrame) -> DataFrame:
+def sided(photos: DataFrame) -> DataFrame:
     """Timed photos with the smaller of their gaps to an eligible neighbour on either side; null if none."""
-    before = with_previous(timed(photos)).withColumnRenamed("previous", "left_one")
-    both = with_previous(before, descending=True).withColumnRenamed("previous", "right_one")
+    both = with_neighbours(timed(photos))
 
     def gap(near: Column, sign: int) -> Column:
         weak = is_weak(F.col("timestamp_source")) & is_weak(near["timestamp_source"])
         return F.when(near.isNotNull() & ~weak, sign * (F.col("captured_at") - near["captured_at"]))
 
-    left, right = gap(F.col("left_one"), 1), gap(F.col("right_one"), -1)
-    back = F.col("captured_at") - F.col("left_one.captured_at")
-    weak = is_weak(F.col("timestamp_source")) & is_weak(F.col("left_one.timestamp_source"))
-    return both.withColumn("near_ms", F.least(left, right)).withColumn("weak_ms", F.when(weak, back))
+    back = F.col("captured_at") - F.col("previous.captured_at")
+    weak = is_weak(F.col("timestamp_source")) & is_weak(F.col("previous.timestamp_source"))
+    near = F.least(gap(F.col("previous"), 1), gap(F.col("following"), -1))
+    return both.select("project_id", "id", "captured_at", near.alias("near_ms"), F.when(weak, back).alias("weak_ms"))
 
 
 def candidate_window(photos: DataFrame) -> DataFrame:
     """For each project: the window, its candidates, their share of timed photos, and weakly dated pairs in it.
 
     The window is halved while more than 2000 candidates are more than 80 % of the photos, down to a floor. The
-    counts for every window come from one pass.
+    counts for every window come from one pass. ``photos`` may be ``sided`` ones.
     """
     windows = _windows()
     counts = [F.count_if(F.col(c) <= w).alias(f"{c}_{w}") for c in ("near_ms", "weak_ms") for w in windows]
-    rows = _sided(photos).groupBy("project_id").agg(F.count("*").alias("n"), *counts)
+    rows = (photos if "near_ms" in photos.columns else sided(photos)).groupBy("project_id").agg(F.count("*").alias("n"), *counts)
     many = lambda n: (n > CANDIDATE_LIMIT) & (n / F.col("n") > CANDIDATE_SHARE)
     chosen = F.lit(windows[-1])
     for w in reversed(windows[:-1]):
@@ -165,8 +172,9 @@ def candidate_window(photos: DataFrame) -> DataFrame:
 
 def burst_candidates(photos: DataFrame) -> DataFrame:
     """Photos worth hashing: both ends of every eligible pair within the project's window."""
-    windows = candidate_window(photos).select("project_id", "window_ms")
-    return _sided(photos).join(windows, "project_id").where(F.col("near_ms") <= F.col("window_ms")).select("project_id", "id", "captured_at", "window_ms")
+    rows = saved(sided(photos))
+    windows = candidate_window(rows).select("project_id", "window_ms")
+    return rows.join(windows, "project_id").where(F.col("near_ms") <= F.col("window_ms")).select("project_id", "id", "captured_at", "window_ms")
 
 
 def neighbourhood(photos: DataFrame, ids: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -180,8 +188,8 @@ def neighbourhood(photos: DataFrame, ids: DataFrame, window_ms: int = WINDOW_MS)
 
 def decision_flips(photos: DataFrame, other: str, threshold: int = DEFAULT_THRESHOLD, margin: int = 4) -> DataFrame:
     """How often a second hash column decides otherwise than d_hash for neighbours: one row."""
-    first = _adjacent(photos).where(F.col("previous").isNotNull()).select("project_id", "id", "distance")
-    second = _adjacent(photos.withColumn("d_hash", F.col(other))).where(F.col("previous").isNotNull()).select("project_id", "id", F.col("distance").alias("other"))
+    first = adjacent(photos).where(F.col("previous").isNotNull()).select("project_id", "id", "distance")
+    second = adjacent(photos.withColumn("d_hash", F.col(other))).where(F.col("previous").isNotNull()).select("project_id", "id", F.col("distance").alias("other"))
     both = first.join(second, ["project_id", "id"])
     change = F.abs(F.col("distance") - F.col("other"))
     return both.agg(

@@ -9,7 +9,7 @@ from framesift.functions import capture, hashing, scalars
 from framesift.operators import catalogue, curation, export, pages, sequence, session, shape, threshold
 from framesift.plans import views
 from framesift.plans.queries import query
-from framesift.plans.views import OVERRIDES, PHOTOS, USABLE, groups_sql
+from framesift.plans.views import LARGEST, OVERRIDES, PHOTOS, USABLE, groups_sql
 
 _CAPTURE = "captured_at NULLS LAST, relative_path, id"
 
@@ -71,8 +71,8 @@ def round_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {groups_sql(24)}, part AS (SELECT * FROM members WHERE rating <> 1)
 SELECT project_id, arg_min(id, (captured_at, relative_path, id)) AS representative, count(*) AS n_members FROM part GROUP BY project_id, island""")
 def collapse_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = _photos(spark, sf_dir)
-    members = sequence.burst_members(photos, 24, views.overrides(photos))
+    photos, near = _photos(spark, sf_dir), views.adjacent(spark, sf_dir)
+    members = sequence.burst_members(near, 24, views.overrides(near))
     candidates = sequence.usable(photos).where("rating <> 1").select("project_id", "id", "captured_at", "relative_path")
     return curation.collapse(candidates, members)
 
@@ -80,8 +80,8 @@ def collapse_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {groups_sql(24)}
 SELECT m.project_id, m.id, CAST(r.rating AS INTEGER) AS rating FROM members m JOIN members r ON r.id = m.island WHERE r.rating >= 3 AND CAST(m.id AS BIGINT) % 5 <> 0""")
 def spread_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = _photos(spark, sf_dir)
-    members = sequence.burst_members(photos, 24, views.overrides(photos)).select("project_id", F.col("island").alias("representative"), "id")
+    photos, near = _photos(spark, sf_dir), views.adjacent(spark, sf_dir)
+    members = sequence.burst_members(near, 24, views.overrides(near)).select("project_id", F.col("island").alias("representative"), "id")
     chosen = sequence.usable(photos).where("rating >= 3")
     return curation.spread(chosen, members, photos.where(_number() % 5 == 0))
 
@@ -166,7 +166,7 @@ _ANSWERS = f"""{USABLE}, answers AS (SELECT project_id, distance, distance <= 22
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequence._adjacent(_photos(spark, sf_dir)).where(F.col("previous").isNotNull())
+    rows = sequence.adjacent(_photos(spark, sf_dir)).where(F.col("previous").isNotNull())
     return rows.select("project_id", "distance", ((F.col("distance") <= 22) | (_number() % 17 == 0)).alias("grouped"))
 
 
@@ -315,7 +315,7 @@ def speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {OVERRIDES} SELECT project_id, left_id, right_id, joined FROM overrides")
 def pair_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.overrides(_photos(spark, sf_dir))
+    return views.overrides(views.adjacent(spark, sf_dir))
 
 
 _NEAR = "gap_ms <= 4000 AND NOT (timestamp_source IN ('filesystem_mtime', 'unknown') AND left_source IN ('filesystem_mtime', 'unknown'))"
@@ -334,26 +334,26 @@ def session_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {groups_sql(24)} SELECT project_id, CAST(sum(n_photos) AS BIGINT) AS n_photos, count(*) AS n_groups FROM bursts GROUP BY project_id")
 def grouped_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = _photos(spark, sf_dir)
-    return session.grouped_photos(sequence.burst_groups(photos, 24, views.overrides(photos)))
+    photos, near = _photos(spark, sf_dir), views.adjacent(spark, sf_dir)
+    return session.grouped_photos(sequence.burst_groups(near, 24, views.overrides(near)))
 
 
-@query(f"""WITH {groups_sql(24)}, wanted AS (SELECT project_id, id FROM members WHERE CAST(id AS BIGINT) BETWEEN 100 AND 140),
-span AS (SELECT project_id, min(captured_at) - 4000 AS low, max(captured_at) + 4000 AS high FROM members WHERE CAST(id AS BIGINT) BETWEEN 100 AND 140 GROUP BY 1),
-near AS (SELECT m.*, row_number() OVER w - 1 AS pos, lag(island) OVER w AS before, lag(m.id) OVER w AS before_id FROM members m JOIN span s ON s.project_id = m.project_id AND m.captured_at BETWEEN s.low AND s.high
+@query(f"""WITH {groups_sql(24)}, {LARGEST}, wanted AS (SELECT m.*, l.island IS NOT NULL AS held FROM members m LEFT JOIN largest l USING (project_id, island)),
+span AS (SELECT project_id, min(captured_at) - 4000 AS low, max(captured_at) + 4000 AS high FROM wanted WHERE held GROUP BY 1),
+near AS (SELECT m.*, row_number() OVER w - 1 AS pos, lag(held) OVER w AS before FROM wanted m JOIN span s ON s.project_id = m.project_id AND m.captured_at BETWEEN s.low AND s.high
   WINDOW w AS (PARTITION BY m.project_id ORDER BY m.captured_at, m.relative_path, m.id))
-SELECT project_id, pos, id, pos > 0 AND NOT (before = island AND CAST(id AS BIGINT) BETWEEN 100 AND 140 AND CAST(before_id AS BIGINT) BETWEEN 100 AND 140) AS cut FROM near""")
+SELECT project_id, pos, id, pos > 0 AND NOT (before AND held) AS cut FROM near""")
 def open_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = _photos(spark, sf_dir)
-    members = sequence.burst_members(photos, 24, views.overrides(photos)).where(_number().between(100, 140)).select("project_id", "island", "id")
-    return session.open_burst(photos, members).select("project_id", "pos", "id", "cut")
+    near = views.adjacent(spark, sf_dir)
+    members = views.largest_burst(sequence.burst_members(near, 24, views.overrides(near))).select("project_id", "island", "id")
+    return session.open_burst(near, members).select("project_id", "pos", "id", "cut")
 
 
 @query(f"""WITH {groups_sql(24)}, ordered AS (SELECT project_id, id, island, row_number() OVER (PARTITION BY project_id ORDER BY rating, id) AS pos FROM members)
 SELECT project_id, min(pos) AS pos, island AS id FROM ordered GROUP BY project_id, island""")
 def collapsed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = _photos(spark, sf_dir)
-    members = sequence.burst_members(photos, 24, views.overrides(photos))
+    near = views.adjacent(spark, sf_dir)
+    members = sequence.burst_members(near, 24, views.overrides(near))
     order = curation.placed(members, [(F.asc, "rating"), (F.asc, "id")], "project_id").select("project_id", F.col("place").alias("pos"), "id")
     return session.collapsed(order, members.select("project_id", "id", F.col("island").alias("representative")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framesift.operators import curation, pages, sequence
 from framesift.plans import views
-from framesift.plans.views import OVERRIDES, PHOTOS, USABLE, groups_sql
+from framesift.plans.views import LARGEST, OVERRIDES, PHOTOS, USABLE, groups_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,14 +42,14 @@ SELECT project_id, island || ':' || last_id AS id, photo_ids, n_photos, span_ms,
 
 @query(_bursts_sql(24))
 def burst_groups_t24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = views.photos(spark, sf_dir)
-    return _flat(sequence.burst_groups(photos, 24, views.overrides(photos)))
+    near = views.adjacent(spark, sf_dir)
+    return _flat(sequence.burst_groups(near, 24, views.overrides(near)))
 
 
 @query(_bursts_sql(14))
 def burst_groups_t14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = views.photos(spark, sf_dir)
-    return _flat(sequence.burst_groups(photos, 14, views.overrides(photos)))
+    near = views.adjacent(spark, sf_dir)
+    return _flat(sequence.burst_groups(near, 14, views.overrides(near)))
 
 
 @query(_bursts_sql(24, f"{USABLE}, overrides AS (SELECT '' AS project_id, '' AS left_id, '' AS right_id, true AS joined)"))
@@ -59,8 +59,8 @@ def burst_groups_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {groups_sql(24)} SELECT project_id, island, id, captured_at FROM members")
 def burst_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = views.photos(spark, sf_dir)
-    return sequence.burst_members(photos, 24, views.overrides(photos)).select("project_id", "island", "id", "captured_at")
+    near = views.adjacent(spark, sf_dir)
+    return sequence.burst_members(near, 24, views.overrides(near)).select("project_id", "island", "id", "captured_at")
 
 
 _ELIGIBLE = "gap_ms <= 4000 AND NOT (timestamp_source IN ('filesystem_mtime', 'unknown') AND left_source IN ('filesystem_mtime', 'unknown'))"
@@ -92,18 +92,18 @@ def burst_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.burst_candidates(views.photos(spark, sf_dir))
 
 
-@query(f"""WITH {USABLE},
-span AS (SELECT project_id, min(captured_at) - 4000 AS low, max(captured_at) + 4000 AS high FROM usable WHERE CAST(id AS BIGINT) BETWEEN 100 AND 110 GROUP BY project_id)
+@query(f"""WITH {groups_sql(24)}, {LARGEST},
+span AS (SELECT project_id, min(captured_at) - 4000 AS low, max(captured_at) + 4000 AS high FROM members JOIN largest USING (project_id, island) GROUP BY project_id)
 SELECT u.project_id, u.id, u.captured_at FROM usable u JOIN span s ON s.project_id = u.project_id AND u.captured_at BETWEEN s.low AND s.high""")
 def burst_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = views.photos(spark, sf_dir)
-    ids = photos.where(F.col("id").cast("bigint").between(100, 110)).select("project_id", "id")
-    return sequence.neighbourhood(photos, ids).select("project_id", "id", "captured_at")
+    near = views.adjacent(spark, sf_dir)
+    members = views.largest_burst(sequence.burst_members(near, 24, views.overrides(near)))
+    return sequence.neighbourhood(near, members).select("project_id", "id", "captured_at")
 
 
 @query(f"WITH {USABLE} SELECT project_id, distance, count(*) AS n FROM adjacent WHERE left_id IS NOT NULL AND gap_ms <= 4000 GROUP BY ALL")
 def pair_distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = sequence._adjacent(views.photos(spark, sf_dir)).where(F.col("previous").isNotNull() & (F.col("gap_ms") <= 4000))
+    near = sequence.adjacent(views.photos(spark, sf_dir)).where(F.col("previous").isNotNull() & (F.col("gap_ms") <= 4000))
     return near.groupBy("project_id", "distance").agg(F.count("*").alias("n"))
 
 
@@ -111,7 +111,7 @@ def pair_distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT project_id, max(gap_ms) FILTER (rank = CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT)) AS p50, max(gap_ms) FILTER (rank = CAST(floor((n - 1) * 0.9 + 0.5) AS BIGINT)) AS p90,
   max(gap_ms) FILTER (rank = CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT)) AS p95, CAST(sum(gap_ms) AS BIGINT) / count(*) AS mean, max(gap_ms) AS max FROM ranked GROUP BY project_id""")
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = sequence._adjacent(views.photos(spark, sf_dir)).where(F.col("previous").isNotNull())
+    gaps = sequence.adjacent(views.photos(spark, sf_dir)).where(F.col("previous").isNotNull())
     return pages.nearest_rank(gaps, "gap_ms", (0.5, 0.9, 0.95), "project_id")
 
 
@@ -160,11 +160,12 @@ def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.rating_summary(views.photos(spark, sf_dir))
 
 
-@query(f"WITH {PHOTOS}, wanted AS (SELECT o_custkey % 1500 AS n, min(o_orderkey) AS pos FROM orders GROUP BY 1) SELECT id, project_id, rating, pos FROM photos JOIN wanted ON id = lpad(CAST(n AS VARCHAR), 10, '0') WHERE NOT is_missing")
+@query(f"WITH {PHOTOS}, wanted AS (SELECT o_orderkey % (SELECT count(*) FROM events) AS n, min(o_custkey) AS pos FROM orders GROUP BY 1) SELECT id, project_id, rating, pos FROM photos JOIN wanted ON id = lpad(CAST(n AS VARCHAR), 10, '0') WHERE NOT is_missing")
 def photos_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    ids = orders.select(F.col("o_orderkey").alias("pos"), F.lpad((F.col("o_custkey") % 1500).cast("string"), 10, "0").alias("id"))
-    return pages.by_ids(views.photos(spark, sf_dir), ids).select("id", "project_id", "rating", "pos")
+    photos = views.photos(spark, sf_dir)
+    ids = orders.select(F.col("o_custkey").alias("pos"), F.lpad((F.col("o_orderkey") % photos.count()).cast("string"), 10, "0").alias("id"))
+    return pages.by_ids(photos, ids).select("id", "project_id", "rating", "pos")
 
 
 @query(f"""WITH {PHOTOS} SELECT project_id, count(*) FILTER (captured_at IS NULL OR timestamp_source IS NULL OR d_hash IS NULL OR d_hash_version IS DISTINCT FROM 2 OR thumbnail_path IS NULL OR thumbnail_version IS DISTINCT FROM 2) AS backlog

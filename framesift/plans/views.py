@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from framesift.functions.hashing import difference_hash, hash_text
 from framesift.operators import sequence
 from framesift.schema import SOURCES
-
-EMBEDDINGS = 500
-
+from framesift.storage import saved
 
 def _ms(ts: Column, per: int = 1000) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(per)).cast("bigint")
@@ -19,11 +17,11 @@ def _ms(ts: Column, per: int = 1000) -> Column:
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One photo an event; hashes from the embeddings as 8 x 8 grids; some times and hashes are null."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < EMBEDDINGS)  # 500 rows
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     hashes = vectors.select("vec_id", hash_text(difference_hash(F.col("embedding"), 8, 8)).alias("full_hash"))
     n = F.col("event_id")
     photo_id = F.lpad(n.cast("string"), 10, "0")
-    rows = events.withColumn("vec_id", n % EMBEDDINGS).join(F.broadcast(hashes), "vec_id", "left")
+    rows = events.withColumn("vec_id", n % max(1, vectors.count())).join(hashes, "vec_id", "left")
     return rows.select(
         photo_id.alias("id"),
         F.col("event_type").alias("project_id"),
@@ -59,7 +57,7 @@ PHOTOS = f"""photos AS (
     user_id AS fingerprint_size, epoch_us(ts) // 1000 AS fingerprint_mtime
   FROM events LEFT JOIN (
     SELECT vec_id, format('{{:016x}}', CAST(list_sum(list_transform(range(56), lambda i: CASE WHEN embedding[(i // 7) * 8 + i % 7 + 1] > embedding[(i // 7) * 8 + i % 7 + 2] THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)) AS h
-    FROM embeddings WHERE vec_id < {EMBEDDINGS}) v ON v.vec_id = event_id % {EMBEDDINGS})"""
+    FROM embeddings) v ON v.vec_id = event_id % (SELECT count(*) FROM embeddings))"""
 
 USABLE = f"""{PHOTOS},
 usable AS (SELECT *, CAST('0x' || d_hash AS BIGINT) AS bits FROM photos WHERE NOT is_missing AND captured_at IS NOT NULL AND d_hash IS NOT NULL),
@@ -69,9 +67,14 @@ adjacent AS (
   FROM usable WINDOW w AS (PARTITION BY project_id ORDER BY captured_at, relative_path, id))"""
 
 
-def overrides(photos: DataFrame) -> DataFrame:
+def adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable photos beside their previous ones, written once for several uses."""
+    return saved(sequence.adjacent(photos(spark, sf_dir)))
+
+
+def overrides(adjacent: DataFrame) -> DataFrame:
     """Decisions for two of every 37 neighbours: by the number of the left one, one joins and one splits."""
-    pairs = sequence.with_previous(sequence.usable(photos)).where("previous is not null")
+    pairs = adjacent.where("previous is not null")
     left = F.col("previous.id")
     rest = left.cast("bigint") % 37
     return pairs.where(rest < 2).select("project_id", left.alias("left_id"), F.col("id").alias("right_id"), (rest == 0).alias("joined"))
@@ -91,3 +94,13 @@ members AS (SELECT *, first_value(id) OVER r AS island, first_value(bits) OVER r
 bursts AS (SELECT project_id, island, count(*) AS n_photos, max(captured_at) - min(captured_at) AS span_ms, sum(bit_count(xor(bits, first_bits))) AS bits,
     string_agg(id, ',' ORDER BY captured_at, relative_path, id) AS photo_ids, arg_max(id, (captured_at, relative_path, id)) AS last_id
   FROM members GROUP BY project_id, island HAVING count(*) > 1)"""
+
+
+def largest_burst(members: DataFrame) -> DataFrame:
+    """The members of the largest burst of each project, of equal ones the one with the last island."""
+    sizes = members.groupBy("project_id", "island").agg(F.count("*").alias("n")).where("n > 1")
+    largest = sizes.groupBy("project_id").agg(F.max(F.struct("n", "island"))["island"].alias("island"))
+    return members.join(largest, ["project_id", "island"])
+
+
+LARGEST = "largest AS (SELECT project_id, arg_max(island, (n_photos, island)) AS island FROM bursts GROUP BY project_id)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -16,29 +18,40 @@ from framesift.functions.capture import exif_ms
 _DATETIME, _ORIENTATION, _EXIF_IFD, _THUMB_AT, _THUMB_LENGTH = 0x0132, 0x0112, 0x8769, 0x0201, 0x0202
 _ORIGINAL, _OFFSET, _OFFSET_ORIGINAL = 0x9003, 0x9010, 0x9011
 _MOST_ENTRIES, _LONGEST_TEXT = 512, 64
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 7: 1, 9: 4}
+#: Markers that have no length.
+_ALONE = frozenset((0x01, *range(0xD0, 0xDA)))
 
 FIELDS = "original string, datetime string, offset_original string, offset string, orientation int, thumbnail_at int, thumbnail_length int"
 _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
+_HEADERS = (b"II*\0", b"MM\0*")
+_MARK = b"Exif\0\0"
+
+
+def _segments(data: bytes) -> Iterator[tuple[int, int]]:
+    """Marker and start of the content of each segment of a JPEG file, up to its pixels or the first broken length."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = 0 if data[at + 1] in _ALONE else int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] not in _ALONE:
+            if size < 2:
+                return
+            yield data[at + 1], at + 4
+        at += 2 + size
+
+
 def tiff_start(data: bytes) -> int | None:
-    """Where the TIFF block of a picture begins: in an EXIF segment of a JPEG file, else after any EXIF mark."""
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
-            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-                return at + 10
-            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-        return None
-    if data[:4] in (b"II*\0", b"MM\0*"):
+    """Where the TIFF block of a picture begins: the whole file, an EXIF segment of a JPEG file, or else after any EXIF mark.
+
+    A mark counts only with a TIFF header behind it.
+    """
+    if data[:4] in _HEADERS:
         return 0
-    at = data.find(b"Exif\0\0")
-    while at >= 0:
-        if data[at + 6 : at + 10] in (b"II*\0", b"MM\0*"):
-            return at + 6
-        at = data.find(b"Exif\0\0", at + 1)
-    return None
+    segments = _segments(data) if data[:2] == b"\xff\xd8" else ()
+    inside = (at + len(_MARK) for marker, at in segments if marker == 0xE1 and data.startswith(_MARK, at))
+    anywhere = (found.end() for found in re.finditer(_MARK, data))
+    return next((at for at in itertools.chain(inside, anywhere) if data[at : at + 4] in _HEADERS), None)
 
 
 class _Block:
@@ -92,6 +105,17 @@ def fields(data: bytes | None) -> dict[str, int | str | None]:
     return dict(zip(_NAMES, values))
 
 
+def enough(head: bytes) -> bool:
+    """Whether the first bytes of a picture hold its capture time and its thumbnail, if it says where that is."""
+    found, start = fields(head), tiff_start(head)
+    if start is None or not (found["original"] or found["datetime"]):
+        return False
+    block = _Block(head[start:])
+    _, following = block.entries(block.number(4, "I"))
+    thumb, _ = block.entries(following)
+    return not isinstance(thumb.get(_THUMB_AT), int) or found["thumbnail_at"] is not None
+
+
 def read(files: DataFrame, content: str = "head", keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """``keep`` and the EXIF fields of a column of bytes; broken bytes give nulls, never an error."""
     source = files.select(*keep, content)

@@ -1,8 +1,8 @@
-"""Heads of files: the first bytes only, where the whole of large files need not be read."""
+"""Heads of files: the first bytes, and the whole file only where they aren't enough."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 HEAD_BYTES = 64 << 10
 
 
-def heads(files: DataFrame, n: int = HEAD_BYTES, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+def heads(files: DataFrame, n: int = HEAD_BYTES, keep: tuple[str, ...] = ("path",), enough: Callable[[bytes], bool] | None = None) -> DataFrame:
     """``keep``, ``head`` and ``error`` for files with a ``path`` on a file system that all executors mount.
 
     A file that can't be read has a null head and says why; the others go on. A file shorter than ``n`` bytes is
-    whole in its head.
+    whole in its head, and so is one whose first bytes are not ``enough``, if that is given.
     """
     names = [*keep, *([] if "path" in keep else ["path"])]
     at = names.index("path")
@@ -26,7 +26,10 @@ def heads(files: DataFrame, n: int = HEAD_BYTES, keep: tuple[str, ...] = ("path"
             for path in batch.column(at).to_pylist():
                 try:
                     with open(path, "rb") as f:
-                        data.append(f.read(n))
+                        head = f.read(n)
+                        if enough and len(head) == n and not enough(head):
+                            head += f.read()
+                        data.append(head)
                         errors.append(None)
                 except (OSError, TypeError) as e:
                     data.append(None)

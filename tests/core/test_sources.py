@@ -112,8 +112,8 @@ def test_orientation(spark):
 
 def test_rating_in_jpeg(spark):
     data = jpeg(tiff())
-    once = export.jpeg_with_rating(data, 3)
-    twice = export.jpeg_with_rating(once, 0)
+    once = export.rated_jpeg(data, 3)
+    twice = export.rated_jpeg(once, 0)
     assert b"<xmp:Rating>3<" in once and b"<xmp:Rating>0<" in twice and b"<xmp:Rating>3<" not in twice
     assert once.endswith(b"pixels\xff\xd9") and once.index(b"Exif\0\0") < once.index(b"xap/1.0")
     files = spark.createDataFrame([("a", data, 5), ("b", b"no jpeg", 1), ("c", None, None)], "id string, content binary, rating int")
