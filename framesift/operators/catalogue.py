@@ -98,18 +98,22 @@ def write_analysis(photos: DataFrame, done: DataFrame, hash_version: int = 2, th
     return rows.select(*((F.when(said, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c) for c in photos.columns))
 
 
-def to_analyse(photos: DataFrame, hash_version: int = 2, thumbnail_version: int = 2) -> DataFrame:
-    """Visible photos whose stored analysis can't be used again: file changed since, other version, or none."""
-    cached = (
+def cache_state(hash_version: int = 2, thumbnail_version: int = 2) -> Column:
+    """What a photo's stored analysis is good for: "hit", "rehash" (the thumbnail holds, its hash doesn't) or "regenerate"."""
+    thumbnail = (
         F.col("fingerprint_mtime").isNotNull()
         & F.col("thumbnail_mtime").eqNullSafe(F.col("fingerprint_mtime"))
         & F.col("thumbnail_size").eqNullSafe(F.col("fingerprint_size"))
         & F.col("thumbnail_version").eqNullSafe(F.lit(thumbnail_version))
         & F.col("thumbnail_path").isNotNull()
-        & F.col("d_hash_version").eqNullSafe(F.lit(hash_version))
-        & F.col("d_hash").isNotNull()
     )
-    return photos.where(~F.col("is_missing") & ~cached)
+    hashed = F.col("d_hash_version").eqNullSafe(F.lit(hash_version)) & F.col("d_hash").isNotNull()
+    return F.when(~thumbnail, "regenerate").when(hashed, "hit").otherwise("rehash")
+
+
+def to_analyse(photos: DataFrame, hash_version: int = 2, thumbnail_version: int = 2) -> DataFrame:
+    """Visible photos whose stored analysis can't be used again: file changed since, other version, or none."""
+    return photos.where(~F.col("is_missing") & (cache_state(hash_version, thumbnail_version) != "hit"))
 
 
 def reset_display(photos: DataFrame, project: str) -> DataFrame:

@@ -67,10 +67,18 @@ def analysis_backlog(photos: DataFrame) -> DataFrame:
     return visible(photos).groupBy("project_id").agg(F.count_if(needs).alias("backlog"))
 
 
+def _needs_display(edge: int) -> Column:
+    return F.col("display_path").isNull() | ~F.col("display_edge").eqNullSafe(F.lit(edge))
+
+
 def display_backlog(photos: DataFrame, edge: int) -> DataFrame:
     """Visible photos of each project without a display image of this edge."""
-    needs = F.col("display_path").isNull() | ~F.col("display_edge").eqNullSafe(F.lit(edge))
-    return visible(photos).groupBy("project_id").agg(F.count_if(needs).alias("backlog"))
+    return visible(photos).groupBy("project_id").agg(F.count_if(_needs_display(edge)).alias("backlog"))
+
+
+def to_display(photos: DataFrame, edge: int) -> DataFrame:
+    """Visible photos without a display image of this edge; they are worked on in order of capture."""
+    return visible(photos).where(_needs_display(edge))
 
 
 def failed_count(photos: DataFrame) -> DataFrame:

@@ -98,6 +98,12 @@ def create_project(projects: DataFrame, project_id: str, name: str, folder: str,
     return projects.unionByName(row)
 
 
+def counts(sessions: DataFrame) -> DataFrame:
+    """Survivors, answers and rated photos of each session (project_id, session)."""
+    n = lambda c: F.size(F.col(f"session.{c}")).cast("bigint")
+    return sessions.select("project_id", n("survivors").alias("n_survivors"), F.coalesce(F.greatest(n("history"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_answers"), n("ratings").alias("n_rated"))
+
+
 def share_within(rows: DataFrame, left: str, right: str, most: int, *by: str) -> DataFrame:
     """Of each group the share of rows whose two hashes are ``most`` bits apart or fewer."""
     near = (distance(F.col(left), F.col(right)) <= most).cast("int")

@@ -69,6 +69,11 @@ def ranked_pairs(pairs: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("i", F.col("place") - 1).drop("place")
 
 
+def used(asked: Column, skipped: Column) -> Column:
+    """Pairs not to ask about again, in order."""
+    return F.array_union(asked, skipped)
+
+
 def next_question(ranked: DataFrame, asked: DataFrame, low: Column, high: Column) -> DataFrame:
     """The pair to ask about: the middle of the open range, or the nearest to it not asked yet, below before above."""
     middle = F.floor((low + high) / 2)
