@@ -184,49 +184,60 @@ def _hit(text: bytes, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.
     return _hashed(words[a:b]), found, a
 
 
+_LOCATED = "phrase long not null, rid long not null, place long not null, n int not null, w1 array<bigint>, w2 array<int>"
+
+
 def _locate(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """The windows of a shard that hold a recurring phrase as their anchor.
 
-    Rows have the window's hash and place. The first of equal windows has n = 0; for the others, which have an
-    earlier one here, consecutive windows make one row of n under a hash of its own. ``w2`` is 32 bits of hash above n.
+    The first of equal windows go on as hashes, those around one anchor in a row under the anchor's hash: rid, place of
+    the first, w1 and w2. The others have an earlier one here; consecutive ones make one row of n under any hash.
     """
     ids, numbers, texts, _ = _ordered(docs)
     automaton = _automaton(ids, texts, phrases)
     hit = ((*found, i, number << _WORD_BITS) for i, number, text in zip(ids, numbers, texts) if (found := _hit(text, automaton))) if len(automaton) else ()
-    w1, w2, rid, place = [], [], [], []
+    parts = [(np.empty(0, t),) for t in (np.uint64, np.uint32, np.uint64, np.int64, np.int64, np.int64)]
     for held in _portions(hit):
-        hashes, text, _, starts, anchors = _windows([h[0] for h in held])
-        starts = starts[np.concatenate([h[1] for h in held])[anchors]]
-        text, begins = text[starts], np.searchsorted(text, np.arange(len(held)))
-        w1.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE:]))
-        w2.append(_combined(hashes, starts, WINDOW, _ODD[PHRASE + WINDOW :]) >> _LOW << _LOW)
+        hashes, text, all_phrases, starts, anchors = _windows([h[0] for h in held])
+        begins = np.searchsorted(text, np.arange(len(held)))
+        good = np.concatenate([h[1] for h in held])[anchors]
+        starts, anchors = starts[good], anchors[good]
+        text = text[starts]
         first, ids_here, number = (np.array([h[k] for h in held], np.int64) for k in (2, 3, 4))
-        rid.append(ids_here[text])
-        place.append(starts - begins[text] + first[text] + number[text])
-    w1, w2, rid, place = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in ((w1, np.uint64), (w2, np.uint64), (rid, np.int64), (place, np.int64)))
-    order = np.lexsort((np.arange(len(w1)), w2, w1))
+        move = first[text] - begins[text] + number[text]
+        second = (_combined(hashes, starts, WINDOW, _ODD[PHRASE + WINDOW :]) >> _LOW).astype(np.uint32)
+        new = (_combined(hashes, starts, WINDOW, _ODD[PHRASE:]), second, all_phrases[anchors], ids_here[text], starts + move, anchors + move)
+        parts = [(*x, y) for x, y in zip(parts, new)]
+    w1, w2, phrase, rid, place, anchor = map(np.concatenate, parts)
+    order = np.lexsort((w2, w1))  # stable, so equal windows stay in order
     new = np.r_[True, (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])][: len(order)]
-    first = np.sort(order[new])
-    later = np.sort(order[~new])
-    begins = np.flatnonzero(np.r_[True, (rid[later][1:] != rid[later][:-1]) | (np.diff(place[later]) != 1)][: len(later)])
-    lengths = np.diff(np.r_[begins, len(later)])
-    begins = later[begins]
-    columns = (
-        np.concatenate([w1[first], (rid[begins].view(np.uint64) ^ place[begins].view(np.uint64)) * _ODD[0]]).view(np.int64),
-        np.concatenate([w2[first], lengths.astype(np.uint64)]).view(np.int64),
-        np.concatenate([rid[first], rid[begins]]),
-        np.concatenate([place[first], place[begins]]),
-    )
-    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "rid", "place"])
+    first, later = np.sort(order[new]), np.sort(order[~new])
+    # windows in a row around one anchor
+    begins = np.flatnonzero(np.r_[True, (rid[first][1:] != rid[first][:-1]) | (np.diff(place[first]) != 1) | (np.diff(anchor[first]) != 0)][: len(first)])
+    heads = first[begins]
+    # windows in a row that are not the first
+    runs = np.flatnonzero(np.r_[True, (rid[later][1:] != rid[later][:-1]) | (np.diff(place[later]) != 1)][: len(later)])
+    lengths, tails = np.diff(np.r_[runs, len(later)]), later[runs]
+    cuts = pa.array(np.r_[begins, np.full(len(tails) + 1, len(first))].astype(np.int32))  # the rows of n have no hashes
+    lists = (pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (w1[first].view(np.int64), w2[first].view(np.int32)))
+    at = np.r_[heads, tails]
+    spread = np.r_[phrase[heads], (rid[tails].view(np.uint64) ^ place[tails].view(np.uint64)) * _ODD[0]].view(np.int64)
+    columns = (spread, rid[at], place[at], np.r_[np.zeros(len(heads), np.int32), lengths].astype(np.int32))
+    return pa.Table.from_arrays([*map(pa.array, columns), *lists], names=["phrase", "rid", "place", "n", "w1", "w2"])
 
 
 def _gone(located: DataFrame, shards: int) -> DataFrame:
-    """(rid, place, n, shard): n consecutive windows from a place that all occur earlier."""
-    n = F.col("w2").bitwiseAND(F.lit((1 << 32) - 1))
-    candidate = F.when(n == 0, F.col("rid"))  # one for each shard at most, so its id says which is first
-    dealt = located.select("rid", "place", n.alias("n"), F.min(candidate).over(Window.partitionBy("w1", "w2")).alias("first"))
-    later = dealt.where((F.col("n") > 0) | (F.col("first") != F.col("rid")))
-    return later.select("rid", "place", F.greatest("n", F.lit(1)).alias("n"), _shard("rid", shards))
+    """(rid, place, n, mask, shard): windows that occur earlier, n in a row from a place, or those of the bits of the mask.
+
+    Equal windows have equal anchors, so they meet where their rows were sent by the anchor's hash.
+    """
+    window = F.posexplode_outer(F.arrays_zip("w1", "w2"))
+    each = located.repartition("phrase").select("phrase", "rid", "place", "n", window).select("phrase", "rid", "place", "n", "pos", "col.w1", "col.w2")
+    candidate = F.when(F.col("n") == 0, F.col("rid"))  # one for each shard at most, so its id says which is first
+    dealt = each.withColumn("first", F.min(candidate).over(Window.partitionBy("phrase", "w1", "w2")))
+    bit = F.when((F.col("n") == 0) & (F.col("first") != F.col("rid")), F.expr("shiftleft(1, pos)")).otherwise(F.lit(0))
+    later = dealt.groupBy("phrase", "rid", "place", "n").agg(F.sum(bit).cast("int").alias("mask")).where("n > 0 OR mask > 0")
+    return later.select("rid", "place", "n", "mask", _shard("rid", shards))
 
 
 def _shard(rid: str, shards: int):
@@ -238,7 +249,9 @@ def _cutter(names: list[str], make: Callable[[list[bytes], np.ndarray], tuple],
 
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
         ids, numbers, texts, order = _ordered(docs)
-        rid, place, n = (gone.column(c).to_numpy() for c in ("rid", "place", "n"))
+        rid, place, n, mask = (gone.column(c).to_numpy() for c in ("rid", "place", "n", "mask"))
+        single = [np.flatnonzero(mask >> j & 1) for j in range(WINDOW - PHRASE + 1)]  # windows around one anchor
+        rid, place, n = (np.concatenate(x) for x in ((rid[n > 0], *(rid[k] for k in single)), (place[n > 0], *(place[k] + j for j, k in enumerate(single))), (n[n > 0], *(np.ones(len(k), n.dtype) for k in single))))
         by = np.lexsort((place, rid))
         rid, place, n = rid[by], place[by], n[by]
         bounds = np.searchsorted(rid, np.array([*ids, 0], np.int64)[:-1], "left"), np.searchsorted(rid, np.array([*ids, 0], np.int64)[:-1], "right")
@@ -276,7 +289,7 @@ def _cut(docs: DataFrame, doc_id: str, text: str, keep: list[str], make: Callabl
     rows = docs.withColumn("rid", id_of(doc_id, text)).withColumn("t", text_of(text))
     shards = rows.select(*keep, "rid", "t", _shard("rid", count))
     by_shard = packed(shards, "t").groupBy("shard")
-    located = by_shard.cogroup(recurring(shards).groupBy("shard")).applyInArrow(_locate, "w1 long not null, w2 long not null, rid long not null, place long not null")
+    located = by_shard.cogroup(recurring(shards).groupBy("shard")).applyInArrow(_locate, _LOCATED)
     schema = rows.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add(last, "string")
     cutter = _cutter(keep, make, [pa.int64(), pa.int64(), pa.string()], ["n_words", "n_removed", last])
     return by_shard.cogroup(_gone(located, count).groupBy("shard")).applyInArrow(cutter, schema)
