@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framesift.functions.hashing import difference_hash, hash_text, luma
+from framesift.operators.catalogue import cache_state
 
 #: Seconds that one file may take.
 TIMEOUT_S = 15.0
@@ -61,6 +62,21 @@ def without_done(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return left.join(marks, condition, "left_anti").drop("_print")
 
 
+def with_cache(photos: DataFrame, rehash: Callable[[dict], object], regenerate: Callable[[dict], object], result: T.DataType, timeout_s: float = TIMEOUT_S) -> DataFrame:
+    """project_id, id, outcome, value and error of visible photos, with what is stored used as far as it holds.
+
+    A photo whose analysis is stored whole is a "hit" and costs no work; one whose thumbnail holds goes through
+    ``rehash``, any other through ``regenerate``; one whose work fails or takes too long is "failed" and says why.
+    """
+    rows = photos.where(~F.col("is_missing")).withColumn("_state", cache_state())
+    hits = rows.where("_state = 'hit'").select("project_id", "id", F.lit("hit").alias("outcome"), F.lit(None).cast(result).alias("value"), F.lit(None).cast("string").alias("error"))
+    out = hits
+    for state, work in (("rehash", rehash), ("regenerate", regenerate)):
+        done = each(rows.where(F.col("_state") == state).drop("_state"), work, result, ("project_id", "id"), timeout_s)
+        out = out.unionByName(done.withColumn("outcome", F.when(F.col("error").isNull(), F.lit(state)).otherwise(F.lit("failed"))))
+    return out
+
+
 def hashes_of_pixels(rows: DataFrame, width: int = 9, height: int = 8) -> DataFrame:
     """``d_hash`` of pictures scaled to a grid: ``red``, ``green`` and ``blue`` arrays in row order."""
     grid = F.transform(F.arrays_zip("red", "green", "blue"), lambda p: luma(p["red"], p["green"], p["blue"]))

@@ -4,11 +4,12 @@ import os
 import struct
 import time
 import zipfile
+import zlib
 from io import BytesIO
 
 import pytest
 from framesift.operators import analysis, export
-from framesift.sources import exif, heads, listing
+from framesift.sources import exif, heads, images, listing
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,3 +152,80 @@ def test_place_files(spark, tmp_path, move):
     assert {r["id"]: r["is_missing"] for r in export.after_move(photos, rows).collect()} == {"1": True, "2": False}
     with pytest.raises(ValueError, match="source folder"):
         export.place_files(files, f"{tmp_path}/in/out", f"{tmp_path}/in")
+
+
+def test_marks_and_headers():
+    block = tiff("<", "2026:06:30 18:19:32")
+    exif_segment = b"\xff\xe1" + (len(block) + 8).to_bytes(2, "big") + b"Exif\0\0" + block
+    broken = b"\xff\xe1\x00\x0cExif\0\0abcd"
+    end = b"\xff\xda\x00\x02pixels\xff\xd9"
+    cases = {
+        "a marker without a length": b"\xff\xd8\xff\x01" + exif_segment + end,
+        "a mark outside a segment": b"\xff\xd8\xff\xe0\x00\x04ab" + end + b"Exif\0\0" + block,
+        "a broken header before the good one": b"\xff\xd8" + broken + exif_segment + end,
+        "a broken length": b"\xff\xd8\xff\xe0\x00\x01" + exif_segment + end,
+        "another kind of file": b"....ftypheic" + b"Exif\0\0abcd" + b"Exif\0\0" + block,
+    }
+    for name, data in cases.items():
+        assert exif.fields(data)["datetime"] == "2026:06:30 18:19:32", name
+    assert exif.tiff_start(b"\xff\xd8" + broken + end) is None and exif.tiff_start(b"Exif\0\0") is None and exif.tiff_start(block) == 0
+
+
+def test_whole_read_where_the_head_is_not_enough(spark, tmp_path):
+    block, late = tiff("<", "2026:06:30 18:19:32"), tiff("<", "2026:06:30 18:19:32", thumbnail=b"t" * 3000)
+    filler = [(0xE2, b"x" * 5000)]
+    far = jpeg(None, filler)[:-2] + b"Exif\0\0" + block + b"\xff\xd9"
+    files = {"near": jpeg(block) + b"z" * 9000, "far": far, "thumbnail": jpeg(late) + b"z" * 100, "none": jpeg(None, filler)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = spark.createDataFrame([(str(tmp_path / n),) for n in files], "path string")
+    got = {os.path.basename(r["path"]): bytes(r["head"]) for r in heads.heads(rows, 2000, enough=exif.enough).collect()}
+    assert len(got["near"]) == 2000 and all(got[n] == files[n] for n in ("far", "thumbnail", "none"))
+    fields = {os.path.basename(r["path"]): r for r in exif.read(heads.heads(rows, 2000, enough=exif.enough)).collect()}
+    assert fields["far"]["datetime"] == "2026:06:30 18:19:32" and fields["thumbnail"]["thumbnail_length"] == 3000 and fields["none"]["datetime"] is None
+
+
+def png(rows):
+    """A PNG file of rows of (red, green, blue)."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in rows)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_decoded_pictures(spark, tmp_path):
+    rising = [[(10 * x, 10 * x, 10 * x) for x in range(9)] for _ in range(8)]
+    falling = [[p for p in row[::-1]] for row in rising]
+    scaled = [[p for p in row for _ in range(10)] for row in falling for _ in range(20)]
+    red = [[(255, 0, 0), (0, 0, 255)] * 4 + [(255, 0, 0)] for _ in range(8)]
+    for name, rows in {"rising": rising, "falling": falling, "scaled": scaled, "red": red}.items():
+        (tmp_path / f"{name}.png").write_bytes(png(rows))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    pictures = images.decoded(spark, str(tmp_path))
+    out = images.hashed(pictures)
+    found = {os.path.basename(r["path"]): (r["d_hash"], r["thumbnail_width"], r["thumbnail_height"], r["error"]) for r in out.collect()}
+    assert found == {
+        "rising.png": ("0" * 16, 9, 8, None), "falling.png": ("f" * 16, 9, 8, None), "scaled.png": ("f" * 16, 90, 160, None), "red.png": ("5" * 16, 9, 8, None), "broken.png": (None, None, None, "can't be decoded"),
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_with_cache(spark):
+    schema = "project_id string, id string, is_missing boolean, fingerprint_mtime bigint, fingerprint_size bigint, thumbnail_mtime bigint, thumbnail_size bigint, thumbnail_version int, thumbnail_path string, d_hash_version int, d_hash string"
+    rows = [
+        ("p", "hit", False, 1, 1, 1, 1, 2, "t", 2, "0"), ("p", "old hash", False, 1, 1, 1, 1, 2, "t", 1, "0"), ("p", "no hash", False, 1, 1, 1, 1, 2, "t", None, None), ("p", "changed", False, 2, 1, 1, 1, 2, "t", 2, "0"),
+        ("p", "old thumbnail", False, 1, 1, 1, 1, 1, "t", 2, "0"), ("p", "fails", False, None, None, None, None, None, None, None, None), ("p", "missing", True, 1, 1, 1, 1, 2, "t", 1, "0"),
+    ]
+    photos = spark.createDataFrame(rows, schema)
+
+    def regenerate(row):
+        if row["id"] == "fails":
+            raise ValueError("no file")
+        return f"new {row['id']}"
+
+    out = {r["id"]: (r["outcome"], r["value"], r["error"]) for r in analysis.with_cache(photos, lambda row: "rehashed", regenerate, T.StringType()).collect()}
+    assert out == {
+        "hit": ("hit", None, None), "old hash": ("rehash", "rehashed", None), "no hash": ("rehash", "rehashed", None), "changed": ("regenerate", "new changed", None),
+        "old thumbnail": ("regenerate", "new old thumbnail", None), "fails": ("failed", None, "ValueError: no file"),
+    }
+    assert analysis.with_cache(photos.limit(0), regenerate, regenerate, T.StringType()).count() == 0
