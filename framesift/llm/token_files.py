@@ -34,8 +34,8 @@ WRITER = {
     "parquet.enable.dictionary#start_in_part": "false",
     "compression": "zstd",
 }
-#: Words and stems that a Python worker keeps at most: short ones, about 200 bytes each.
-KNOWN_WORDS = 1_000_000
+#: Words and stems that a Python worker keeps at most: short ones, about 200 bytes each; and characters of text that it splits at once.
+KNOWN_WORDS, KNOWN_STEMS, PORTION = 900_000, 300_000, 2 << 20
 #: Letters whose lower case Python and the library may see differently, and lower-case letters with marks behind them.
 SPECIAL_CASE = re.compile("[^\0-\u017f]|[\u0130\u017f]")
 LETTERS_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff\u0153]*)([!-/:-@\\[-`{-~]*)\n")
@@ -114,7 +114,7 @@ class WordEncoder:
         as the letters and the marks; any other word is looked up whole.
         """
         stems = self.stems
-        if len(stems) > KNOWN_WORDS:
+        if len(stems) > KNOWN_STEMS:
             stems.clear()
         stems[""] = b""
         pairs = LETTERS_AND_MARKS.findall("\n".join(new) + "\n")  # one a word, as each ends at a line end
@@ -133,6 +133,16 @@ class WordEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native (little-endian) 32-bit integers."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > PORTION:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         words = self.words
         if len(words) > KNOWN_WORDS:
             words.clear()
