@@ -35,7 +35,7 @@ SHORTEST = 3
 FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 30
 
 #: Characters of text that are windowed at once, and words whose kinds a Python worker keeps.
-PORTION, KNOWN_WORDS = 4 << 20, 300_000
+PORTION, KNOWN_WORDS = 2 << 20, 200_000
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 TEMPLATE, ANY_CASE, RUNS = VIEWS = range(3)
@@ -229,6 +229,7 @@ def _window_rows(known, views: tuple[int, ...]):
                         values.append([all_.value(j) for j in slots])
                     columns = [pa.array(own, batch.schema.types[0]), pa.array([view] * len(own), pa.int32()), pa.array(all_.hashes[at].view(np.int64)), pa.array(at - all_.begins[text], pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "view", "window", "at", "places", "values"])
+        _kinds.clear()  # the worker may serve other stages
 
     return run
 

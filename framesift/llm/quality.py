@@ -37,7 +37,7 @@ BASE_MASK = BITS["too_few_words"] | BITS["repeated_words"]
 #: Versioned policies: the bits that reject a document.
 POLICIES = {1: BASE_MASK, 2: BASE_MASK | BITS["symbols"] | BITS["duplicate_lines"], 3: sum(BITS.values())}
 #: Entries of the cache of a Python worker.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 CURRENT_POLICY = 3
 
 
@@ -94,6 +94,7 @@ def _measurer(at: int, keep: int):
             rows = [measure(t or "") for t in batch.column(at).to_pylist()]
             measures = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(_MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *measures], [*batch.schema.names[:keep], *_MEASURES])
+        _signs.clear()  # the worker may serve other stages
 
     return run
 
