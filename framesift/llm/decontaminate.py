@@ -99,6 +99,11 @@ class _Kinds(dict):
 _kinds = _Kinds()
 
 
+def _forget() -> None:
+    """Empty the cache: the worker may serve other stages."""
+    _kinds.clear()
+
+
 class Windows:
     """All template windows of some texts; windows and words of all texts stand in one row of arrays."""
 
@@ -229,7 +234,7 @@ def _window_rows(known, views: tuple[int, ...]):
                         values.append([all_.value(j) for j in slots])
                     columns = [pa.array(own, batch.schema.types[0]), pa.array([view] * len(own), pa.int32()), pa.array(all_.hashes[at].view(np.int64)), pa.array(at - all_.begins[text], pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "view", "window", "at", "places", "values"])
-        _kinds.clear()  # the worker may serve other stages
+        _forget()
 
     return run
 

@@ -55,6 +55,11 @@ class _Signs(dict):
 _signs = _Signs()
 
 
+def _forget() -> None:
+    """Empty the cache: the worker may serve other stages."""
+    _signs.clear()
+
+
 def repeated_words(words: list) -> int:
     """Words that lie in a 3-word window found twice or more in ``words``."""
     grams = list(zip(words, words[1:], words[2:]))
@@ -94,7 +99,7 @@ def _measurer(at: int, keep: int):
             rows = [measure(t or "") for t in batch.column(at).to_pylist()]
             measures = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(_MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *measures], [*batch.schema.names[:keep], *_MEASURES])
-        _signs.clear()  # the worker may serve other stages
+        _forget()
 
     return run
 
