@@ -103,7 +103,7 @@ def counted(docs: DataFrame, path: str, limit: int, keep: Sequence[str] = ("doc_
 
     A null or empty text has 0 bytes and 0 tokens. A text of any length is counted whole, as one string.
     Repeated rows count each by itself; an empty table gives an empty result; columns outside ``keep`` are
-    ignored.
+    ignored, whatever their names; a kept column must not have the name of one that is made.
     """
     keep = list(keep)
     source = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), text_of(text).alias("t"))
