@@ -84,27 +84,27 @@ def bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return ceil(size * t / (2 - t)), floor(size * (2 - t) / t)
 
 
-def marks(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> dict[str, list[str]]:
-    """Bigrams, as a longer word and the shorter ones beside it, of which every text with a match holds one.
+def marks(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> dict[str, list[tuple[str, str]]]:
+    """Bigrams, by the longer of their words, of which every text with a match holds one.
 
     A match of a template of m bigrams shares k of them or more, k following from the smallest size that can match;
     so it shares one of any m - k + 1. Of each template so many are chosen, those of long words first.
     """
     t, chosen = Fraction(str(threshold)), {}
     for _, notice in templates:
-        pairs = [tuple(sorted(pair.split(), key=len, reverse=True)) for pair in bigrams_of(notice)]
+        pairs = [tuple(pair.split()) for pair in bigrams_of(notice)]
         low, _ = bounds(len(pairs), threshold)
         need = len(pairs) - ceil(t * (low + len(pairs)) / 2) + 1
-        for lead, other in sorted(pairs, key=lambda p: (p[0] in chosen, len(p[0]), len(p[1])), reverse=True)[:need]:
-            chosen.setdefault(lead, set()).add(other)
-    return {lead: sorted(others) for lead, others in chosen.items()}
+        for pair in sorted(pairs, key=lambda p: (max(p, key=len) in chosen, *sorted(map(len, p), reverse=True)), reverse=True)[:need]:
+            chosen.setdefault(max(pair, key=len), set()).add(pair)
+    return {lead: sorted(pairs) for lead, pairs in chosen.items()}
 
 
 def may_match(text: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """True for all texts with a match, and few others."""
+    """True for all texts with a match, and few others: they hold a word of a mark, and the mark itself."""
     lower = F.lower(text)
-    holds = lambda word: F.contains(lower, F.lit(word))
-    return reduce(or_, (holds(lead) & reduce(or_, map(holds, others)) for lead, others in marks(templates, threshold).items()))
+    found = lambda pairs: F.rlike(text, F.lit("(?i)" + "|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs)))
+    return reduce(or_, (F.contains(lower, F.lit(lead)) & found(pairs) for lead, pairs in marks(templates, threshold).items()))
 
 
 def passages(text: Column, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> Column:

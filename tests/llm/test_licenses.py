@@ -115,4 +115,4 @@ def test_marks_miss_no_match():
                 a, b = Counter(zip(own, own[1:])), Counter(zip(w := licenses.words_of(notice), w[1:]))
                 if own and 2 * (a & b).total() >= 0.8 * (a.total() + b.total()):
                     said = " ".join(own)
-                    assert any(lead in said and any(x in said for x in others) for lead, others in words.items())
+                    assert any(lead in said and any(f"{a} {b}" in said for a, b in pairs) for lead, pairs in words.items())
