@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.storage import saved, shared_dir  # noqa: F401  the operators take them from here
@@ -80,3 +80,21 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataF
     hot = facts.where(F.col("n") * HOT > total).drop("n")
     rest = facts.where(F.col("n") * HOT <= total).drop("n")
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``place``, from 0 in the given order over the whole table; equal rows come in any order.
+
+    Rows are dealt out by ranges of the order, sorted in each, and written with their number in their range; the sizes
+    of the ranges before are added. Equal rows are spread over ranges, so no key ends in a task of its own, and only
+    the sizes, one for each partition of the shuffle, are summed in one place. ``rows`` must have no columns
+    ``place``, ``_at`` and ``_range``.
+    """
+    sort = [*order, F.asc("_at")]
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    held = saved(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    bits = 33  # of the number within a partition, by the definition of that function
+    ranges = held.groupBy(F.shiftright("_at", bits).alias("_range")).agg(F.count("*").alias("_n"))
+    before = ranges.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = held.withColumn("_range", F.shiftright("_at", bits)).join(F.broadcast(before), "_range")
+    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))).drop("_range", "_at", "_before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import byte_bpe, decontaminate, licenses, oracles, ppm, quality, secrets, simhash, substrings, token_count, token_files
+from framesift.llm import byte_bpe, decontaminate, importance, licenses, oracles, ppm, quality, secrets, sharding, simhash, substrings, token_count, token_files, whitening
 from framesift.llm.common import documents, read
 
 
@@ -55,6 +55,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(documents(spark, sf_dir), verdicts=True)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.query(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(read(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance": op11_importance,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -12,8 +12,9 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    path = f"{SF}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    for table in ("documents", "benchmark"):
+        path = f"{SF}/{table}.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     frame = QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
     result = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})")
