@@ -112,12 +112,13 @@ class Forest:
 
 
 def _near(a: list[np.ndarray], b: list[np.ndarray], wide: int) -> np.ndarray:
-    """Where two rows of prints are near: fingerprints within ``DISTANCE``, and sketches, if there are any, within ``wide``."""
+    """Where two rows of prints are near: fingerprints within ``DISTANCE``, and sketches, if there are any, within ``wide`` unless one of the rows stands for many."""
     near = np.bitwise_count(a[0] ^ b[0]) <= DISTANCE
     if len(a) > 1:
         at = np.flatnonzero(near)
-        far = sum(np.bitwise_count((x if x.ndim == 0 else x[at]) ^ (y if y.ndim == 0 else y[at])).astype(np.int64) for x, y in zip(a[1:], b[1:]))
-        near[at] = far <= wide
+        pick = lambda x: x if x.ndim == 0 else x[at]
+        far = sum(np.bitwise_count(pick(x) ^ pick(y)).astype(np.int64) for x, y in zip(a[1:-1], b[1:-1]))
+        near[at] = (far <= wide) | ((pick(a[-1]) | pick(b[-1])) != 0)
     return near
 
 
@@ -147,16 +148,16 @@ def _long_run(ids: np.ndarray, prints: list[np.ndarray], wide: int = 0) -> Itera
             front.extend(found)
 
 
-def _linker(bucket: int, sketches: int = 0, wide: int = 0, short: int = 32):
-    """Batches of (mask, key, fp) or (mask, key, fp, id, sketches), equal keys together, to links and to members of buckets that are too large."""
+def _linker(bucket: int, more: int = 0, wide: int = 0, short: int = 32):
+    """Batches of (mask, key, fp) or (mask, key, fp, id, sketches, many), equal keys together, to links and to members of buckets that are too large."""
 
     def out(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["a", "b", "mask"])
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        """Masks, keys, ids, fingerprints and sketches."""
-        mask, key, fp, *more = (c.to_numpy() for c in batch.columns)
-        return [mask, key, more[0] if more else fp, fp.view(np.uint64), *(x.view(np.uint64) for x in more[1:])]
+        """Masks, keys, ids, fingerprints, sketches and whether a row stands for many."""
+        mask, key, fp, *rest = (c.to_numpy() for c in batch.columns)
+        return [mask, key, rest[0] if rest else fp, fp.view(np.uint64), *(x.view(np.uint64) for x in rest[1:])]
 
     def runs(mask: np.ndarray, key: np.ndarray) -> np.ndarray:
         return np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
@@ -177,7 +178,7 @@ def _linker(bucket: int, sketches: int = 0, wide: int = 0, short: int = 32):
         return found
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [np.int64, np.int64, np.int64] + [np.uint64] * (1 + sketches)
+        kinds = [np.int64, np.int64, np.int64] + [np.uint64] * (1 + more)
         forest, held, large = Forest(), [np.empty(0, t) for t in kinds], None
         for batch in batches:
             rows = columns(batch)
@@ -216,20 +217,29 @@ def _indexed(rows: DataFrame, *more: str) -> DataFrame:
 def links(prints: DataFrame, bucket: int = BUCKET, id_column: str = "fp", sketches: Sequence[str] = (), wide: int = 0) -> DataFrame:
     """Links (a, b) that join all distinct ids within four bits of ``fp`` into their components.
 
-    Fingerprints are ids of their own, or there is a long ``id_column``. With ``sketches``, longs that are compared
-    where fingerprints are near, they may differ in ``wide`` bits in all.
+    Fingerprints are ids of their own, or there is a long ``id_column`` and ``sketches``, longs that are compared where
+    fingerprints are near, and may differ in ``wide`` bits in all. Ids that share one fingerprint can't be told
+    apart by longer keys: more than ``crowded(bucket)`` of them are linked to the least of them, which stands for all in
+    the index, and links to it whatever the sketches. So links are a superset there, and buckets always come to an end.
     """
     bucket = max(bucket, 1 << DISTANCE)  # so that a bucket to index anew has more free bits than DISTANCE
     masks = F.array(*(F.lit(_signed(m)) for m in variants()))
+    if id_column != "fp":
+        per_print = saved(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")).where(F.col("n") > crowded(bucket)).select("fp", "least", "n"))
+        crowds = saved(join_facts(prints.select("fp", id_column), per_print, "fp", prints.count()).where(F.col(id_column) != F.col("least")).select("least", id_column))
+        alone = prints.join(crowds.select(id_column), id_column, "left_anti").join(per_print.select(F.col("least").alias(id_column), F.lit(1).alias("crowd")), id_column, "left")
+        prints = saved(alone.select(id_column, "fp", *sketches, F.coalesce("crowd", F.lit(0)).cast("long").alias("many")))
+        within = crowds.select(F.col("least").alias("a"), F.col(id_column).alias("b"))
+        sketches = [*sketches, "many"]
     more = [] if id_column == "fp" else [id_column, *sketches]
     found, level = None, prints.select(F.explode(masks).alias("mask"), "fp", *more)
     while True:
-        out = saved(_indexed(level, *more).mapInArrow(_linker(bucket, len(sketches), wide), "a long, b long, mask long"))
+        out = saved(_indexed(level, *more).mapInArrow(_linker(bucket, max(len(more) - 1, 0), wide), "a long, b long, mask long"))
         some = out.where("mask = 0").select("a", "b")
         found = some if found is None else found.union(some)
         large = out.where("mask != 0").select("mask", F.col("a").alias(id_column))
         if large.isEmpty():
-            return found.distinct()
+            return (found.union(within) if more else found).distinct()
         masks_in_use = {m: longer(m % (1 << 64)) for m in (r["mask"] for r in large.select("mask").distinct().collect())}  # masks, not data
         table = prints.sparkSession.createDataFrame([(m, _signed(x)) for m, xs in masks_in_use.items() for x in xs], "mask long, next long")
         level = large.join(F.broadcast(table), "mask").select(F.col("next").alias("mask"), id_column).distinct()
@@ -237,6 +247,11 @@ def links(prints: DataFrame, bucket: int = BUCKET, id_column: str = "fp", sketch
             level = level.join(prints.select(*more, "fp"), id_column)
 
 
+def crowded(bucket: int) -> int:
+    """Ids of one fingerprint that a bucket can hold with those of all its neighbours under one of the longest keys."""
+    return max(1, max(bucket, 1 << DISTANCE) >> DISTANCE)
+
+
 def groups(prints: DataFrame, id_column: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """Rows (fp, component_id, n): the least id that each distinct fingerprint can reach, and its number of rows.
 

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from framesift.llm import near_copies
+from framesift.llm import graph, near_copies, simhash
 
 
 def plain_shingles(text):
@@ -79,3 +79,60 @@ def test_forest():
                 a, b = root[i], root[j]
                 root = [b if r == a else r for r in root]
     assert len(edges) == len(sets) - len(set(root))
+
+
+def test_across():
+    """Links between a block and a group: every two parts that are similar somewhere are joined."""
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 40, 150).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.r_[base[i % 3][rng.random(len(base[i % 3])) < 0.95], rng.integers(0, 1 << 40, 2).astype(np.uint64)]) for i in range(45)]
+    block, group, parts, others = sets[:15], sets[15:], list(range(15)), [100 + i % 7 for i in range(30)]
+    similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    found = list(near_copies.across(block, group, parts, others))
+    assert found and all(similar(block[x], group[y]) for x, y in found)
+
+    def components(edges):
+        root = {p: p for p in parts + others}
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = {k: y if v == x else v for k, v in root.items()}
+        return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+
+    wanted = [(parts[x], others[y]) for x in range(15) for y in range(30) if similar(block[x], group[y])]
+    assert components(wanted) == components([(parts[x], others[y]) for x, y in found])
+    assert not list(near_copies.across(block, group, [1] * 15, [1] * 30))
+
+
+def chained(n, words, step):
+    """Texts of which each has ``step`` words exchanged of the one before, so only neighbours are near."""
+    rng = random.Random(3)
+    text = [f"t{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        for j in range(step):
+            text[(k * step + j) * 7 % words] = f"x{k}{j}{rng.randint(0, 9)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_no_link_is_lost_in_a_large_family(spark, monkeypatch):
+    """A family in many groups, with two centres and a chain: whatever the central members miss is found."""
+    monkeypatch.setattr(near_copies, "CENTRAL", 1)
+    monkeypatch.setattr(near_copies, "links", lambda nodes, *_: nodes.crossJoin(nodes.agg({"node": "min"}).toDF("m")).selectExpr("m as a", "node as b"))  # one family
+    one, two = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(120))
+    texts = [f"{one} {i}" for i in range(20)] + [f"{two} {i}" for i in range(20)] + chained(30, 100, 1)
+    random.Random(1).shuffle(texts)
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"] for r in near_copies.keep_one(frame, group_shingles=400).collect()}
+    assert found == {min(docs[i][0] for i in g) for g in kept_of(docs)}
+
+
+def test_many_of_one_fingerprint(spark):
+    """Ten thousand ids of one fingerprint, in small buckets: all are linked, with their neighbours, and it ends."""
+    rows = [(i, 5, i * 77777, -i * 3) for i in range(10_000)] + [(20_000, 7, 1, 2), (20_001, -1, 1, 2), (20_002, -1, 1, 3), (20_003, -2, -1, -3)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, s0 long, s1 long")
+    found = simhash.links(nodes, 64, "node", ["s0", "s1"], 32)
+    roots = {r["node"]: r["root"] for r in graph.components(found).collect()}
+    assert [roots[i] for i in (*range(10_000), 20_000)] == [0] * 10_001  # fp 7 is a neighbour of the crowd's
+    assert roots[20_002] == 20_001 and 20_003 not in roots  # near by the fingerprint, but not by the sketches
