@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.common import CACHE_ENTRIES, id_of, packed, text_of, total_bytes, unpacked
+from framesift.llm.common import CACHE_ENTRIES, id_of, join_facts, packed, saved, text_of, total_bytes, unpacked
 
 WINDOW, PHRASE = 20, 6
 #: Bytes of text in a shard: what one task holds, apart from a longer single document.
@@ -37,13 +37,19 @@ _LOW = np.uint64(32)
 _ODD = [np.uint64(xxhash.xxh64_intdigest(str(i)) | 1) for i in range(PHRASE + 2 * WINDOW + 1)]
 
 
+#: Longer words are hashed each time, so what a Python worker keeps is bounded in bytes.
+KNOWN_LENGTH = 64
+
+
 class _Hashes(dict):
     """Hashes of words; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= KNOWN_LENGTH:
+            if len(self) > CACHE_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -124,10 +130,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring(shards: DataFrame) -> DataFrame:
-    """(shard, phrase, rid, place): the anchors that occur twice or more in the corpus, with a place in each shard that holds them."""
-    rows = shards.select("shard", "rid", "t").mapInArrow(_anchor_rows, "phrase long, shard int, n int, rid long, place int")
-    total = F.sum("n").over(Window.partitionBy("phrase"))
-    return rows.withColumn("total", total).where("total > 1").select("shard", "phrase", "rid", "place")
+    """(shard, phrase, rid, place): the anchors that occur twice or more in the corpus, with places in each shard that holds them.
+
+    Phrases are counted with a sum in each task first, so one that a third of all documents share sends a row a task;
+    its places stay where they are, and go to their shards only.
+    """
+    rows = saved(shards.select("shard", "rid", "t").mapInArrow(_anchor_rows, "phrase long, shard int, n int, rid long, place int"))
+    counts = rows.groupBy("phrase").agg(F.sum("n").alias("total"), F.count("*").alias("n")).where("total > 1")
+    return join_facts(rows.drop("n"), saved(counts.select("phrase", "n")), "phrase", rows.count()).select("shard", "phrase", "rid", "place")
 
 
 def _ordered(table: pa.Table) -> tuple[list[int], list[int], list[bytes], np.ndarray]:
