@@ -8,7 +8,8 @@ there.
 
 A text is windowed in three views, and any of them may show a leak: its template; the template in any case, where
 names are words like others, as capitals don't tell them; and the template with each run of names or numbers as one
-slot, as a name may be replaced by a longer one. An item of fewer than ``WINDOW`` words is one window of its own.
+slot, as a name may be replaced by a longer one. An item of fewer than ``WINDOW`` words is one window of its own, and
+one of one or two words, which any text may hold, is looked for as a whole line.
 """
 
 from __future__ import annotations
@@ -29,18 +30,19 @@ WINDOW = 5
 #: Windows with fewer literal words keep their values: placeholders alone say nothing.
 LITERALS = 1
 CONTAINMENT = CONSISTENCY = 0.8
-#: Items of fewer words say too little to be leaked.
-SHORTEST = 3
+#: Items of fewer words are leaked by a line of their own only.
+IN_LINES = 3
 #: Bits of the filter of windows for each window of an item, and at most: 64 to a window make one in a thousand other windows pass; in 128 MB, 16 million windows have as many.
 FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 30
 
-#: Characters of text that are windowed at once, and words whose kinds a Python worker keeps.
-PORTION, KNOWN_WORDS = 2 << 20, 200_000
+#: Characters of text that are windowed at once, words whose kinds a Python worker keeps, and bytes of the longest.
+PORTION, KNOWN_WORDS, KNOWN_LENGTH = 2 << 20, 200_000, 64
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 TEMPLATE, ANY_CASE, RUNS = VIEWS = range(3)
-#: The views of short items, numbered as their words.
-SHORT = range(SHORTEST, WINDOW)
+#: The views of short items: their words above a number that no other view has.
+_SHORT = 10
+SHORT = range(_SHORT + 1, _SHORT + WINDOW)
 #: Stands for the place of windows that are in no copy with enough of them.
 SCATTERED = -(1 << 60)
 #: Runs of more words are compared by hash.
@@ -88,11 +90,13 @@ class _Kinds(dict):
     TWO = 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
         lower, kind = kind_of(word.decode())
         two = not lower.isalpha() and halves_of(word)
-        value = self[word] = self.TWO if two else (xxhash.xxh64_intdigest(lower) & ~3 | kind) if lower else 0
+        value = self.TWO if two else (xxhash.xxh64_intdigest(lower) & ~3 | kind) if lower else 0
+        if len(word) <= KNOWN_LENGTH:
+            if len(self) > KNOWN_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -107,9 +111,11 @@ def _forget() -> None:
 class Windows:
     """All template windows of some texts; windows and words of all texts stand in one row of arrays."""
 
-    def __init__(self, texts: list[str], view: int = TEMPLATE):
+    def __init__(self, texts: list[str], view: int = TEMPLATE, lines: bool = False):
         split = [t.encode().split() for t in texts]
         self.words = list(itertools.chain.from_iterable(split))
+        in_lines = [len(line.split()) for t in texts for line in t.encode().split(b"\n")] if lines else [len(self.words)]
+        line = np.repeat(np.arange(len(in_lines)), in_lines)
         codes = np.array(list(map(_kinds.__getitem__, self.words)), np.uint64)
         text = np.repeat(np.arange(len(texts)), list(map(len, split)))
         joined = np.flatnonzero(codes == _Kinds.TWO)
@@ -118,16 +124,18 @@ class Windows:
                 self.words[i] = halves_of(self.words[i])
             self.words = [x for w in self.words for x in (w if isinstance(w, tuple) else (w,))]
             codes = np.array(list(map(_kinds.__getitem__, self.words)), np.uint64)
-            text = np.insert(text, joined, text[joined])
+            text, line = np.insert(text, joined, text[joined]), np.insert(line, joined, line[joined])
         if not codes.all():
-            self.words, text, codes = [w for w, c in zip(self.words, codes.tolist()) if c], text[codes > 0], codes[codes > 0]
+            self.words, text, line, codes = [w for w, c in zip(self.words, codes.tolist()) if c], text[codes > 0], line[codes > 0], codes[codes > 0]
+        #: Where lines begin, if they were asked for, with the end of the last.
+        self.line_starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1], True]) if len(line) else np.zeros(1, np.int64)
         self.n_texts, self.codes, self.text_of_word = len(texts), codes >> np.uint64(2), text
         self.kind_of_word = (codes & np.uint64(3)).astype(np.int8)
         self.look(view)
 
     def look(self, view: int) -> Windows:
         """Put the windows of a view in place."""
-        size = view if view in SHORT else WINDOW
+        size = view - _SHORT if view in SHORT else WINDOW
         codes, self.kinds, text = self.codes, self.kind_of_word, self.text_of_word
         #: Where each of the view's words begins among all words.
         self.starts = None
@@ -161,6 +169,13 @@ class Windows:
         self.whole = text[:n] == text[size - 1 :] if n else np.empty(0, bool)
         return self
 
+    def whole_lines(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Those of the windows of ``size`` words at some places that are lines."""
+        begin = np.searchsorted(self.line_starts, at)
+        is_start = self.line_starts[np.minimum(begin, len(self.line_starts) - 1)] == at
+        ends = self.line_starts[np.minimum(begin + 1, len(self.line_starts) - 1)]
+        return at[is_start & (ends == at + size)]
+
     def value(self, j: int) -> str:
         """What stands at a place of the view."""
         if self.starts is None:
@@ -218,13 +233,15 @@ def _window_rows(known, views: tuple[int, ...]):
         passes = known.value if known else None
         for batch in batches:
             for keys, texts in _portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                all_ = Windows(texts)
+                all_ = Windows(texts, lines=bool(passes) and any(_SHORT < view < _SHORT + IN_LINES for view in views))
                 for view in views:
                     all_.look(view)
                     at = passes(all_.hashes) if passes else np.arange(len(all_.hashes))
                     at = at[all_.whole[at]]
                     if not passes and view in SHORT:
-                        at = at[all_.sizes[all_.text[at]] == view]
+                        at = at[all_.sizes[all_.text[at]] == view - _SHORT]
+                    elif _SHORT < view < _SHORT + IN_LINES:
+                        at = all_.whole_lines(at, view - _SHORT)
                     text = all_.text[at]
                     own, places, values = [], [], []
                     for i, x, open_ in zip(at.tolist(), text.tolist(), all_.open[at].tolist()):
@@ -262,13 +279,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of the windows by itself is judged by itself, and the best one counts; without such a copy all windows are judged
     together. Only leaks are returned, with the measures of the first view that shows them; runs as one slot count
     only where the template holds too few windows, so they don't overrule its values. Null texts leak nothing, and
-    items of fewer than ``SHORTEST`` words are not looked for; a shorter item than ``WINDOW`` is leaked by its words in
-    order, in any case. Equal rows count as one; empty tables give an empty result. Items with one item_id count as
-    one item.
+    items without words are not leaked; a shorter item than ``WINDOW`` is leaked by its words in order, in any case, one of
+    fewer than ``IN_LINES`` words only by a line that has no others. Equal rows count as one; empty tables give an
+    empty result. Items with one item_id count as one item.
     """
     items = saved(template_windows(benchmark.select(F.col("item_id").cast("long").alias("key"), text_of().alias("t")), None, (*VIEWS, *SHORT)))
     items = items.withColumnsRenamed({"key": "item_id", "at": "item_at", "places": "item_places", "values": "item_values"})
-    views = tuple(sorted(r["view"] for r in items.select("view").distinct().collect()))  # five at most
+    views = tuple(sorted(r["view"] for r in items.select("view").distinct().collect()))  # seven at most
     sizes = items.groupBy("item_id", "view").agg(F.count_distinct("window").alias("n_windows"))
     known = docs.sparkSession.sparkContext.broadcast(filter_of(items.select("window").distinct()))  # of bounded size
     key = F.concat_ws(":", id_of(), F.xxhash64(text_of())).alias("key")
@@ -292,7 +309,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     agreed = by_value.where("places > 1").groupBy(*pair, "copy").agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency"))
     of_copies = copies.select(*pair, "copy").distinct().join(agreed, [*pair, "copy"], "left")
     both = held.join(of_copies.groupBy(*pair).agg(F.max(F.coalesce("consistency", F.lit(1.0))).alias("consistency")), pair)
-    measures = both.groupBy("key", "item_id").agg(F.sort_array(F.collect_list(F.struct("view", "n_windows", "n_found", "consistency"))).alias("seen"))  # five at most
+    measures = both.groupBy("key", "item_id").agg(F.sort_array(F.collect_list(F.struct("view", "n_windows", "n_found", "consistency"))).alias("seen"))  # seven at most
     shown = F.filter("seen", lambda x: (x["consistency"] >= CONSISTENCY) & ((x["view"] != RUNS) | (F.col("seen")[0]["view"] != TEMPLATE)))
     first = measures.select("key", "item_id", F.get(shown, F.lit(0)).alias("first")).where("first is not null").select("key", "item_id", "first.*")
     return first.select("key", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"), "consistency")

@@ -9,6 +9,7 @@ ITEM = "A train leaves Boston at 5 pm and travels 60 miles in 2 hours before Ali
 ITEMS = [
     (1, ITEM), (2, "the quick brown fox jumps over the lazy dog while many other foxes watch from the hill"),
     (3, "too short item"), (4, None), (5, "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT"), (6, "no item"), (7, "four words make one"),
+    (8, "Yes."), (9, "90miles"), (10, "..."),
 ]
 FILL = "lorem ipsum dolor sit amet consectetur "
 OTHER = "A train leaves Denver at 7 pm and travels 90 miles in 3 hours before Carol boards the train in Denver again."
@@ -19,6 +20,7 @@ DOCS = [
     (None, ITEMS[1][1]), (11, ITEMS[1][1]), (11, ITEMS[1][1]), (11, "clean text that is fine by any measure"), (12, FILL + "Too short, item! " + FILL), (13, "too short an item"), (14, "no item"),
     (15, MIXED + " " + FILL + OTHER), (16, "so four words make one whole"), (17, ITEM.upper()), (18, OTHER.replace("90 miles", "90miles").replace("3 hours", "three hours")),
     (19, ITEM.replace("Boston", "New York").replace("60", "12 500")), (20, ITEM.replace("Boston", "New York", 1).replace("Boston", "San Jose")), (21, "ONE 5 TWO 60 THREE 2 FOUR HOURS FIVE"),
+    (22, "is it so?\n - YES! -\n\nand on"), (23, "yes it is\nor yes\n"), (24, "no\nitem"), (25, f"{FILL}\nNo item"), (26, "- 90 miles -\n"), (27, "90\nmiles"), (28, "yes"),
 ]
 
 NUMBERS = {"one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"}
@@ -29,7 +31,9 @@ def canonical(text, view):
     """Words as (said, kind, value) in a view; kinds are l, #, N and u."""
     out = []
     for word in (text or "").replace("90miles", "90 miles").split():
-        bare = word.strip(".,!")
+        bare = word.strip(".,!?-")
+        if not bare:
+            continue
         low = bare.lower()
         kind = "u" if low in UNITS else "#" if low in NUMBERS or bare.isdigit() else "N" if bare[0].isupper() else "l"
         if view == de.ANY_CASE and kind == "N":
@@ -43,8 +47,11 @@ def canonical(text, view):
 
 def windows(text, view):
     """(window, at, slots) of a text; slots are (place, value)."""
+    if 10 < view < 13:  # whole lines
+        lines = [canonical(line, de.ANY_CASE) for line in (text or "").split("\n")]
+        return [(("said", *(v for _, v in w)), 0, []) for w in lines if len(w) == view - 10]
     words = canonical(text, view if view < 3 else de.ANY_CASE)
-    size = 5 if view < 3 else view
+    size = 5 if view < 3 else view - 10
     out = []
     for i in range(len(words) - size + 1):
         w = words[i : i + size]
@@ -57,7 +64,7 @@ def windows(text, view):
 
 def judged(doc, item, view):
     """(n_windows, n_found, consistency) or None."""
-    if view >= 3 and len(canonical(item, de.ANY_CASE)) != view:
+    if view >= 3 and len(canonical(item, de.ANY_CASE)) != view - 10:
         return None
     own, other = windows(doc, view), windows(item, view)
     keys = {w for w, *_ in other}
@@ -89,7 +96,7 @@ def brute():
     found = set()
     for doc_id, text in DOCS:
         for item_id, item in ITEMS:
-            seen = [(view, m) for view in range(5) if (m := judged(text, item, view))]
+            seen = [(view, m) for view in (0, 1, 2, 11, 12, 13, 14) if (m := judged(text, item, view))]
             shown = [m for view, m in seen if m[2] >= 0.8 and (view != de.RUNS or seen[0][0] != de.TEMPLATE)]
             if shown:
                 n_windows, n, consistency = shown[0]
@@ -97,7 +104,7 @@ def brute():
     return found
 
 
-LEAKED = {1, 2, 4, None, 10, 11, 12, 15, 16, 17, 18, 19}
+LEAKED = {1, 2, 4, None, 10, 11, 12, 14, 15, 16, 17, 18, 19, 22, 25, 26, 28}
 
 
 def test_query(spark):
