@@ -29,8 +29,10 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(fail_bits AS BIGINT) AS fail_bits, fail_bits & 3 = 0 AS kept_v1, fail_bits & 15 = 0 AS kept_v2, fail_bits = 0 AS kept_v3 FROM judged"""
 
 ABLATION = f"""{QUALITY},
-rules(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('letters', 32), ('capitals', 64))
-SELECT rule, count(*) FILTER (fail_bits & bit > 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER (fail_bits = bit OR fail_bits = 0) AS n_kept_without FROM judged, rules GROUP BY rule"""
+rules(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16), ('letters', 32), ('capitals', 64)), policies(version, mask) AS (VALUES (1, 3), (2, 15), (3, 127)),
+masked AS (SELECT version, mask, CAST(fail_bits AS INTEGER) & mask AS bits, count(*) AS n FROM judged, policies GROUP BY version, mask, bits)
+SELECT version, rule, CAST(coalesce(sum(n) FILTER (bits & bit > 0), 0) AS BIGINT) AS n_failed, CAST(coalesce(sum(n) FILTER (bits = bit), 0) AS BIGINT) AS n_failed_alone,
+  CAST(coalesce(sum(n) FILTER (bits = bit OR bits = 0), 0) AS BIGINT) AS n_kept_without FROM masked JOIN rules ON mask & bit > 0 GROUP BY version, rule"""
 
 SUBSTRINGS = rf"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),

@@ -7,15 +7,17 @@ be kept without rule X?") is a bitwise aggregate over the ledger and reads no te
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesift.llm.common import saved
+from framesift.llm.common import shared_dir
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -36,8 +38,8 @@ BITS = {name: 1 << i for i, name in enumerate(RULES)}
 BASE_MASK = BITS["too_few_words"] | BITS["repeated_words"]
 #: Versioned policies: the bits that reject a document.
 POLICIES = {1: BASE_MASK, 2: BASE_MASK | BITS["symbols"] | BITS["duplicate_lines"], 3: sum(BITS.values())}
-#: Entries of the cache of a Python worker.
-KNOWN_WORDS = 200_000
+#: Entries of the cache of a Python worker, and bytes of the longest word in it.
+KNOWN_WORDS, KNOWN_LENGTH = 200_000, 64
 CURRENT_POLICY = 3
 
 
@@ -45,10 +47,12 @@ class _Signs(dict):
     """Word to 1 if it holds a letter, plus 2**32 if it is in capitals: two of A to Z or more, and none of a to z."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
         capitals = sum(65 <= c <= 90 for c in word) > 1 and not any(97 <= c <= 122 for c in word)
-        value = self[word] = int(any(map(str.isalpha, word.decode()))) + (capitals << 32)
+        value = int(any(map(str.isalpha, word.decode()))) + (capitals << 32)
+        if len(word) <= KNOWN_LENGTH:
+            if len(self) > KNOWN_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -153,13 +157,30 @@ def keep_documents(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     return kept.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(columns)))
 
 
-def query(docs: DataFrame) -> DataFrame:
-    """The ledger of ``docs``, written once, with the verdict of each version of the policy; ``kept`` is the current one's."""
-    led = saved(ledger(docs))
+def verdicts(led: DataFrame) -> DataFrame:
+    """A ledger with the verdict of each version of the policy; ``kept`` is the current one's."""
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE_MASK)) != 0
     return led.select("doc_id", *_MEASURES, base.alias("base_failed"), passes().alias("kept"), "fail_bits", *(passes(v).alias(f"kept_v{v}") for v in POLICIES))
 
 
+def write_ledger(docs: DataFrame, path: str) -> None:
+    """The ledger of ``docs`` as Parquet: what versions of the policy and ablations read, and the texts no more."""
+    ledger(docs).write.parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger that was written."""
+    return spark.read.parquet(path)
+
+
+def query(docs: DataFrame) -> DataFrame:
+    """doc_id, the measurements, the failure bits and all verdicts of each row of ``docs``, in one pass over the texts."""
+    return verdicts(ledger(docs))
+
+
 def ablation_query(docs: DataFrame) -> DataFrame:
-    """What each rule of the current policy does, over the whole ledger of ``docs``."""
-    return ablation(ledger(docs))
+    """What each rule does under every version of the policy: one ledger is written, and all versions read it."""
+    path = f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    write_ledger(docs, path)
+    led = read_ledger(docs.sparkSession, path)
+    return reduce(DataFrame.unionByName, (ablation(led, v).withColumn("version", F.lit(v)) for v in POLICIES))

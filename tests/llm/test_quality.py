@@ -54,3 +54,30 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_words int")
     with pytest.raises(ValueError, match="n_words"):
         quality.ledger(docs, ["doc_id", "n_words"])
+
+
+def test_ablation_reads_the_ledger(spark, tmp_path):
+    """All versions are judged from the written ledger, whose plan has no texts and no Python."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    found = quality.ablation_query(docs)
+    plan = found._jdf.queryExecution().toString()
+    assert "text#" not in plan and "MapInArrow" not in plan
+    bits = [r["fail_bits"] for r in quality.ledger(docs).collect()]
+    rows = {(r["version"], r["rule"]): r for r in found.collect()}
+    assert sorted({v for v, _ in rows}) == sorted(quality.POLICIES)
+    for (version, rule), r in rows.items():
+        mask, bit = quality.POLICIES[version], quality.BITS[rule]
+        assert mask & bit
+        assert r["n_kept_without"] == sum(b & mask & ~bit == 0 for b in bits)
+        assert r["n_failed"] == sum(b & bit > 0 for b in bits)
+
+
+def test_long_words_are_not_kept(spark):
+    """Words of a megabyte in many rows stay out of the caches of words."""
+    from framesift.llm import decontaminate, near_copies, substrings
+
+    for cache, key in ((quality._signs, b"x" * 10_000), (near_copies._hashes, b"x" * 10_000), (substrings._hashes, b"x" * 10_000), (decontaminate._kinds, b"x" * 10_000)):
+        before = len(cache)
+        assert cache[key] == cache[key] and len(cache) == before
+    docs = spark.createDataFrame([(i, f"{i}" + "y" * 1_000_000) for i in range(8)], "doc_id long, text string")
+    assert {r["n_words"] for r in quality.query(docs).collect()} == {1}
