@@ -130,9 +130,13 @@ def collapse(candidates: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def spread(chosen: DataFrame, members: DataFrame, settled: DataFrame) -> DataFrame:
-    """(project_id, id, rating): the rating of each chosen representative for its burst, but not for settled photos."""
+    """(project_id, id, rating): the photos of a burst that its chosen representative's rating goes to.
+
+    The representative has it already and is not among them, and settled photos keep what they were given.
+    """
     rows = chosen.select("project_id", F.col("id").alias("representative"), "rating").join(members, ["project_id", "representative"])
-    return rows.join(settled.select("project_id", "id"), ["project_id", "id"], "left_anti").select("project_id", "id", "rating")
+    others = rows.where(F.col("id") != F.col("representative"))
+    return others.join(settled.select("project_id", "id"), ["project_id", "id"], "left_anti").select("project_id", "id", "rating")
 
 
 def chosen_with_confirmed(selected: Column, group: Column, ratings: Column, top: int = MAX_RATING) -> Column:
@@ -153,25 +157,45 @@ def without_last(ids: Column, item: Column) -> Column:
     return F.when(back == 0, ids).otherwise(F.concat(F.slice(ids, F.lit(1), (at - 1).cast("int")), F.slice(ids, (at + 1).cast("int"), F.size(ids))))
 
 
-def insert_upcoming(groups: Column, index: Column, added: Column, size: int) -> Column:
-    """Groups with new ids at the head of those still to come; the current one and earlier ones stay."""
-    done = F.slice(groups, F.lit(1), (index + 1).cast("int"))
-    rest = F.flatten(F.slice(groups, (index + 2).cast("int"), F.size(groups)))
-    new = F.array_except(added, F.flatten(groups))
-    return F.concat(done, chunks(F.concat(new, rest), size))
+def insert_upcoming(groups: Column, index: Column, added: Column, size: int | Column) -> Column:
+    """struct<groups,survivors,added>: groups with new ids at the head of those still to come; the current one and earlier ones stay.
+
+    Ids that a group holds already are not new, and without new ids all groups stay as they are. A group of one is
+    no choice: its photo goes on as a survivor.
+    """
+    known = F.flatten(groups)
+    new = F.filter(added, lambda x: ~F.array_contains(known, x))
+    done, rest = F.slice(groups, F.lit(1), (index + 1).cast("int")), F.flatten(F.slice(groups, (index + 2).cast("int"), F.size(groups)))
+    dealt = deal(F.concat(new, rest), size)
+    none = F.size(new) == 0
+    return F.struct(
+        F.when(none, groups).otherwise(F.concat(done, dealt["groups"])).alias("groups"),
+        F.when(none, F.array().cast("array<string>")).otherwise(dealt["survivors"]).alias("survivors"), new.alias("added"),
+    )
+
 
+def regroup(groups: Column, index: Column, size: int | Column) -> Column:
+    """struct<groups,survivors>: the current group and those not yet begun dealt anew in ``size``; earlier ones stay.
 
-def regroup(groups: Column, index: Column, size: int) -> Column:
-    """Groups not yet begun dealt anew in ``size``; earlier ones stay."""
+    A group of one is no choice: its photo goes on as a survivor.
+    """
     done = F.slice(groups, F.lit(1), index.cast("int"))
-    return F.concat(done, chunks(F.flatten(F.slice(groups, (index + 1).cast("int"), F.size(groups))), size))
+    dealt = deal(F.flatten(F.slice(groups, (index + 1).cast("int"), F.size(groups))), size)
+    return F.struct(F.concat(done, dealt["groups"]).alias("groups"), dealt["survivors"].alias("survivors"))
+
+
+def deal(ids: Column, size: int | Column) -> Column:
+    """struct<groups,survivors>: a list dealt out in groups of ``size``, those of one as survivors."""
+    dealt = chunks(ids, size)
+    return F.struct(F.filter(dealt, lambda g: F.size(g) > 1).alias("groups"), F.flatten(F.filter(dealt, lambda g: F.size(g) == 1)).alias("survivors"))
 
 
-def chunks(ids: Column, size: int) -> Column:
+def chunks(ids: Column, size: int | Column) -> Column:
     """A list cut into lists of ``size``."""
+    size = size if isinstance(size, Column) else F.lit(size)
     n = F.ceil(F.size(ids) / size).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(ids, i * size + 1, F.lit(size)))
+    return F.transform(starts, lambda i: F.slice(ids, (i * size + 1).cast("int"), size.cast("int")))
 
 
 def progress(groups: DataFrame) -> DataFrame:

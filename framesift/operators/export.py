@@ -165,27 +165,27 @@ _XMP = b"http://ns.adobe.com/xap/1.0/\0"
 
 
 def rated_jpeg(data: bytes, rating: int) -> bytes:
-    """A JPEG file with its rating packet replaced, or added after its application segments; pixels stay.
+    """A JPEG file with its rating packet replaced, or added after its last APP1 segment (else as its first); pixels stay.
 
-    Raises ValueError for bytes that are no whole JPEG file.
+    Raises ValueError for bytes that are no whole JPEG file: without the marks of its start and its end where they
+    belong, or with a segment whose length can't be right.
     """
-    if data[:2] != b"\xff\xd8" or b"\xff\xd9" not in data[2:]:
+    if data[:2] != b"\xff\xd8" or len(data) < 4 or data[-2:] != b"\xff\xd9":
         raise ValueError("not a whole JPEG file")
     body = _XMP + rating_packet(rating)
     packet = b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
-    head, rest, at, placed = [data[:2]], [], 2, 0
+    before, after, at = [data[:2]], [], 2
     while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-        if end > len(data):
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        segment, at = data[at : at + 2 + size], at + 2 + size
+        if size < 2 or at > len(data):
             raise ValueError("a segment is cut off")
-        segment = data[at:end]
-        if not (segment[1] == 0xE1 and segment[4:].startswith(_XMP)):
-            head.append(segment)
-            if 0xE0 <= segment[1] <= 0xEF:
-                placed = len(head) - 1
-        at = end
-    rest.append(data[at:])
-    return b"".join([*head[: placed + 1], packet, *head[placed + 1 :], *rest])
+        if segment[1] == 0xE1 and segment.startswith(_XMP, 4):
+            continue
+        after.append(segment)
+        if segment[1] == 0xE1:
+            before, after = before + after, []
+    return b"".join([*before, packet, *after, data[at:]])
 
 
 def with_ratings(files: DataFrame) -> DataFrame:

@@ -20,8 +20,7 @@ def infer(answers: DataFrame, *by: str, fallback: int = DEFAULT_THRESHOLD, upper
     against them (grouped above, or separate at or below). Answers are counted by distance first, so the
     thresholds are compared with 65 rows a group at most.
     """
-    counts = answers.groupBy(*by, F.col("distance").cast("int").alias("distance")).agg(F.count_if("grouped").alias("g"), F.count_if(~F.col("grouped")).alias("s"))
-    errors = counts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(upper))))
+    errors = _counted(answers, *by).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(upper))))
     wrong = F.sum(F.when(F.col("distance") > F.col("t"), F.col("g")).otherwise(F.col("s")))
     matrix = errors.groupBy(*by, "t").agg(wrong.alias("errors"), F.sum("g").alias("all_g"), F.sum("s").alias("all_s"))
     least = F.min("errors").over(Window.partitionBy(*by))
@@ -32,11 +31,15 @@ def infer(answers: DataFrame, *by: str, fallback: int = DEFAULT_THRESHOLD, upper
     return flat.select(*by, value.cast("int").alias("threshold"))
 
 
+def _counted(answers: DataFrame, *by: str) -> DataFrame:
+    """Answers by distance: ``g`` as grouped, ``s`` as separate; 65 rows a group at most."""
+    return answers.groupBy(*by, F.col("distance").cast("int").alias("distance")).agg(F.count_if("grouped").alias("g"), F.count_if(~F.col("grouped")).alias("s"))
+
+
 def error_matrix(answers: DataFrame, upper: int = MAX_THRESHOLD) -> DataFrame:
-    """Answers against each threshold from 0 to ``upper``."""
-    rows = answers.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(upper))))
-    wrong = F.col("grouped") != (F.col("distance") <= F.col("t"))
-    return rows.groupBy("t").agg(F.count_if(wrong).alias("errors"))
+    """Answers against each threshold from 0 to ``upper``, counted by distance before thresholds are looked at."""
+    rows = _counted(answers).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(upper))))
+    return rows.groupBy("t").agg(F.sum(F.when(F.col("distance") > F.col("t"), F.col("g")).otherwise(F.col("s"))).alias("errors"))
 
 
 def evidence(answers: DataFrame, *by: str) -> DataFrame:

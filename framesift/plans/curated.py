@@ -78,7 +78,7 @@ def collapse_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {groups_sql(24)}
-SELECT m.project_id, m.id, CAST(r.rating AS INTEGER) AS rating FROM members m JOIN members r ON r.id = m.island WHERE r.rating >= 3 AND CAST(m.id AS BIGINT) % 5 <> 0""")
+SELECT m.project_id, m.id, CAST(r.rating AS INTEGER) AS rating FROM members m JOIN members r ON r.id = m.island WHERE m.id <> m.island AND r.rating >= 3 AND CAST(m.id AS BIGINT) % 5 <> 0""")
 def spread_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos, near = _photos(spark, sf_dir), views.adjacent(spark, sf_dir)
     members = sequence.burst_members(near, 24, views.overrides(near)).select("project_id", F.col("island").alias("representative"), "id")

@@ -50,16 +50,42 @@ def list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("custkey", _groups_text(curation.chunks(F.col("ids"), 4)).alias("chunks"))
 
 
-@query(f"WITH {_LISTS} SELECT custkey, array_to_string(list_concat([{_sql_text('ids[1:3]')}], {_sql_chunks('ids[4:]', 2)}), '|') AS regrouped FROM lists")
+def _sql_parts(ids: str, size: str) -> str:
+    """A list of lists of ``size``, the last one shorter."""
+    return f"list_transform(range(0, CAST(ceil(len({ids}) / {size}) AS BIGINT)), lambda i: ({ids})[i * {size} + 1 : i * {size} + {size}])"
+
+
+def _sql_groups(groups: str) -> str:
+    return f"array_to_string(list_transform({groups}, lambda g: {_sql_text('g')}), '|')"
+
+
+# A round in progress: groups of three, one of one at the end is none; the group that is looked at and the new size differ by customer.
+_ROUND = f"""{_LISTS}, rounds AS (SELECT custkey, ids, custkey % 4 AS cur, 2 + custkey % 3 AS size, list_filter({_sql_parts('ids', '3')}, lambda g: len(g) > 1) AS groups FROM lists)"""
+
+
+def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lists(spark, sf_dir).withColumn("groups", curation.deal(F.col("ids"), 3)["groups"])
+    return rows.withColumn("at", (F.col("custkey") % 4).cast("int")).withColumn("size", (2 + F.col("custkey") % 3).cast("int"))
+
+
+@query(f"""WITH {_ROUND}, dealt AS (SELECT *, {_sql_parts('flatten(groups[cur + 1 :])', 'size')} AS parts FROM rounds)
+SELECT custkey, {_sql_groups("list_concat(groups[1 : cur], list_filter(parts, lambda g: len(g) > 1))")} AS regrouped, {_sql_text("flatten(list_filter(parts, lambda g: len(g) = 1))")} AS survivors FROM dealt""")
 def regroup_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = curation.chunks(F.col("ids"), 3)
-    return _lists(spark, sf_dir).select("custkey", _groups_text(curation.regroup(groups, F.lit(1), 2)).alias("regrouped"))
+    rows = _rounds(spark, sf_dir).withColumn("new", curation.regroup(F.col("groups"), F.col("at"), F.col("size")))
+    return rows.select("custkey", _groups_text(F.col("new.groups")).alias("regrouped"), _text(F.col("new.survivors")).alias("survivors"))
 
 
-@query(f"""WITH {_LISTS} SELECT custkey, array_to_string(list_concat([{_sql_text('ids[1:3]')}], {_sql_chunks("list_concat(['x'], ids[4:])", 3)}), '|') AS inserted FROM lists""")
+# Released photos: the first of a list, which a group may hold, and for three in four lists another.
+@query(f"""WITH {_ROUND}, asked AS (SELECT *, CASE WHEN custkey % 4 = 1 THEN [ids[1]] ELSE ['x' || custkey, ids[1]] END AS released FROM rounds),
+new AS (SELECT *, list_filter(released, lambda x: NOT list_contains(flatten(groups), x)) AS added FROM asked),
+dealt AS (SELECT *, {_sql_parts('list_concat(added, flatten(groups[cur + 2 :]))', 'size')} AS parts FROM new)
+SELECT custkey, CASE WHEN len(added) = 0 THEN {_sql_groups('groups')} ELSE {_sql_groups("list_concat(groups[1 : cur + 1], list_filter(parts, lambda g: len(g) > 1))")} END AS inserted,
+CASE WHEN len(added) = 0 THEN '' ELSE {_sql_text("flatten(list_filter(parts, lambda g: len(g) = 1))")} END AS survivors, {_sql_text('added')} AS added FROM dealt""")
 def insert_released(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = F.array(F.lit("x"), F.element_at("ids", 1), F.element_at("ids", -1))
-    return _lists(spark, sf_dir).select("custkey", _groups_text(curation.insert_upcoming(curation.chunks(F.col("ids"), 3), F.lit(0), added, 3)).alias("inserted"))
+    first = F.element_at("ids", 1)
+    released = F.when(F.col("custkey") % 4 == 1, F.array(first)).otherwise(F.array(F.concat(F.lit("x"), F.col("custkey").cast("string")), first))
+    rows = _rounds(spark, sf_dir).withColumn("new", curation.insert_upcoming(F.col("groups"), F.col("at"), released, F.col("size")))
+    return rows.select("custkey", _groups_text(F.col("new.groups")).alias("inserted"), _text(F.col("new.survivors")).alias("survivors"), _text(F.col("new.added")).alias("added"))
 
 
 @query(f"WITH {_LISTS} SELECT custkey, {_sql_text('''list_concat(ids, ['z'])''')} AS survivors FROM lists")

@@ -46,9 +46,13 @@ def test_rounds_and_lists(spark):
     rows = spark.createDataFrame([(f"{i}", "p", f"{i}", i, 0, False) for i in range(9)], RATED)
     found = {r["id"]: (r["group_index"], r["is_survivor"]) for r in curation.rounds(rows, 4).collect()}
     assert found["0"] == (0, False) and found["7"] == (1, False) and found["8"] == (2, True)
-    g = F.lit([["a", "b"], ["c", "d"], ["e"]])
-    assert one(spark, curation.insert_upcoming(g, F.lit(0), F.lit(["x", "c"]), 2)) == [["a", "b"], ["x", "c"], ["d", "e"]]
-    assert one(spark, curation.regroup(g, F.lit(1), 3)) == [["a", "b"], ["c", "d", "e"]]
+    g = F.lit([["a", "b"], ["c", "d"], ["e", "f"]])
+    assert tuple(one(spark, curation.insert_upcoming(g, F.lit(0), F.lit(["x", "c"]), 2))) == ([["a", "b"], ["x", "c"], ["d", "e"]], ["f"], ["x"])
+    assert tuple(one(spark, curation.insert_upcoming(g, F.lit(1), F.lit(["a", "c"]), 3))) == ([["a", "b"], ["c", "d"], ["e", "f"]], [], [])
+    assert tuple(one(spark, curation.insert_upcoming(g, F.lit(2), F.lit(["x"]), 3))) == ([["a", "b"], ["c", "d"], ["e", "f"]], ["x"], ["x"])
+    assert tuple(one(spark, curation.regroup(g, F.lit(1), 3))) == ([["a", "b"], ["c", "d", "e"]], ["f"])
+    assert tuple(one(spark, curation.regroup(g, F.lit(0), 4))) == ([["a", "b", "c", "d"], ["e", "f"]], [])
+    assert tuple(one(spark, curation.regroup(g, F.lit(3), 2))) == ([["a", "b"], ["c", "d"], ["e", "f"]], [])
     assert one(spark, curation.without_last(F.lit(["a", "b", "a", "c"]), F.lit("a"))) == ["a", "b", "c"]
     assert one(spark, curation.without_last(F.lit(["a"]), F.lit("z"))) == ["a"] and one(spark, curation.without_last(F.lit(["a"]), F.lit("a"))) == []
     assert one(spark, curation.replaced_representative(F.lit(["a", "b"]), F.lit("b"), F.lit("z"))) == ["a", "z"]
@@ -187,3 +191,11 @@ def test_places_over_many_partitions(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_spread(spark):
+    """A representative has its rating already, settled photos keep theirs, and a burst without a chosen one gets nothing."""
+    members = spark.createDataFrame([("p", r, i) for r, i in (("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "e"))], "project_id string, representative string, id string")
+    chosen = spark.createDataFrame([("p", "a", 4), ("q", "d", 5)], "project_id string, id string, rating int")
+    settled = spark.createDataFrame([("p", "c")], "project_id string, id string")
+    assert [tuple(r) for r in curation.spread(chosen, members, settled).collect()] == [("p", "b", 4)]

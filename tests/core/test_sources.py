@@ -122,6 +122,27 @@ def test_rating_in_jpeg(spark):
     assert b"<xmp:Rating>5<" in out["a"]["content"] and out["b"]["content"] is None and out["c"]["error"]
 
 
+def test_rating_needs_a_whole_file():
+    """Cut off in its pixels with a whole thumbnail inside, lengths of 0 and 1, a segment beyond the end, no start."""
+    thumb = b"\xff\xd8tiny\xff\xd9"
+    whole = jpeg(tiff() + thumb)
+    assert export.rated_jpeg(whole, 2).endswith(b"pixels\xff\xd9")
+    for bad in (whole[:-2], whole[:-5], whole + b"x", b"\xff\xd8\xff\xe0\0\0\xff\xd9", b"\xff\xd8\xff\xe0\0\1\xff\xd9", b"\xff\xd8\xff\xe0\xff\xff\xff\xd9", b"\xff\xd8", b"", whole[2:]):
+        with pytest.raises(ValueError, match="JPEG|cut off"):
+            export.rated_jpeg(bad, 2)
+
+
+def test_rating_stands_after_the_last_app1():
+    segment = lambda marker, body: bytes((0xFF, marker)) + (len(body) + 2).to_bytes(2, "big") + body
+    pixels = b"\xff\xda\0\2pixels\xff\xd9"
+    app1, app2, again = segment(0xE1, b"Exif\0\0one"), segment(0xE2, b"profile"), segment(0xE1, b"Exif\0\0two")
+    old = segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0old")
+    packet = export.rated_jpeg(b"\xff\xd8" + pixels, 4)[2 : -len(pixels)]
+    assert export.rated_jpeg(b"\xff\xd8" + app1 + app2 + again + old + pixels, 4) == b"\xff\xd8" + app1 + app2 + again + packet + pixels
+    assert export.rated_jpeg(b"\xff\xd8" + old + app1 + app2 + pixels, 4) == b"\xff\xd8" + app1 + packet + app2 + pixels
+    assert export.rated_jpeg(b"\xff\xd8" + app2 + pixels, 4) == b"\xff\xd8" + packet + app2 + pixels
+
+
 def test_layout_and_archives(spark):
     names = [("1", "a.jpg"), ("2", "a.jpg"), ("3", "a (2).jpg"), ("4", "a.jpg"), ("5", "noext"), ("6", "noext"), ("7", "a (2).jpg")]
     files = spark.createDataFrame([("p", 5, n, i, i, b"x" * 10, 0) for i, n in names] + [("p", 4, "a.jpg", "8", "8", b"y", 1_700_000_000_000)], "project_id string, rating int, name string, relative_path string, id string, content binary, modified_ms bigint")
