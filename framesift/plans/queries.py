@@ -199,4 +199,4 @@ def timestamp_source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.source_histogram(views.photos(spark, sf_dir))
 
 
-from framesift.plans import curated, steps  # noqa: E402, F401  they register further queries
+from framesift.plans import curated, steps, stored  # noqa: E402, F401  they register further queries

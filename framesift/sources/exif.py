@@ -21,7 +21,7 @@ _MOST_ENTRIES, _LONGEST_TEXT = 512, 64
 #: Markers that have no length.
 _ALONE = frozenset((0x01, *range(0xD0, 0xDA)))
 
-FIELDS = "original string, datetime string, offset_original string, offset string, orientation int, thumbnail_at int, thumbnail_length int"
+FIELDS = "original string, datetime string, offset_original string, offset string, orientation int, thumbnail_at int, thumbnail_length int, own_orientation int"
 _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
@@ -100,7 +100,7 @@ def fields(data: bytes | None) -> dict[str, int | str | None]:
     turned = thumb.get(_ORIENTATION) if held and isinstance(thumb.get(_ORIENTATION), int) else main.get(_ORIENTATION)
     values = (
         text(exif, _ORIGINAL), text(main, _DATETIME), text(exif, _OFFSET_ORIGINAL), text(exif, _OFFSET), turned if isinstance(turned, int) else None,
-        start + at if held else None, length if held else None,
+        start + at if held else None, length if held else None, main.get(_ORIENTATION) if isinstance(main.get(_ORIENTATION), int) else None,
     )
     return dict(zip(_NAMES, values))
 

@@ -12,12 +12,12 @@ from framesift.functions.scalars import fit_long_edge
 POINTS = 8
 
 
-def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    """path, width, height, channels, data (rows of pixels from the top, blue before red) and error of the pictures below a folder.
+def decoded(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
+    """path, width, height, channels, data (rows of pixels from the top, blue before red) and error of the pictures below a folder with names like ``names``.
 
     A file that can't be decoded has an error and no data; the others go on.
     """
-    read = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    read = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder).select("image.*")
     broken = (F.col("height") <= 0) | (F.col("width") <= 0) | (F.col("nChannels") <= 0)
     fine = lambda c: F.when(~broken, F.col(c))
     return read.select(
