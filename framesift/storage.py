@@ -19,9 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, *partition_by: str) -> str:
+    """``df`` written as Parquet to a new folder below the shared one: the folder's path."""
+    path = f"{shared_dir(df.sparkSession)}/framesift-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framesift-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, *partition_by))
