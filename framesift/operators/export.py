@@ -5,19 +5,19 @@ from __future__ import annotations
 import io
 import os
 import shutil
-import tempfile
 import time
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.capture import extension, stem
 from framesift.operators.curation import placed
 from framesift.operators.pages import visible
 from framesift.schema import ERRORS_SHOWN
+from framesift.sources import placing
 from framesift.storage import saved
 
 
@@ -76,43 +76,16 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def _placer(destination: str, move: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.select(["id", "path", "target"]).to_pylist():
-                target, status, error = os.path.join(destination, row["target"]), "processed", None
-                try:
-                    if os.path.exists(row["path"]):
-                        os.makedirs(os.path.dirname(target), exist_ok=True)
-                        fd, part = tempfile.mkstemp(dir=os.path.dirname(target))
-                        os.close(fd)
-                        shutil.copy2(row["path"], part)
-                        os.replace(part, target)  # a task that runs again gives the same file
-                        if move:
-                            os.remove(row["path"])
-                    elif os.path.exists(target) and move:
-                        pass  # moved by an earlier attempt of this task
-                    else:
-                        status = "skipped"
-                except OSError as e:
-                    status, error = "failed", str(e)
-                out.append((row["id"], status, error))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((), (), ()))], ["id", "status", "error"])
-
-    return run
-
-
 def place_files(files: DataFrame, destination: str, source_root: str, move: bool = False) -> DataFrame:
-    """Copy or move files (id, path, target) below ``destination``: id, status and error of each.
+    """Copy or move files (id, path, target) below ``destination``, all or none: id, status and error of each.
 
-    For media on a file system that all executors mount. A missing file is skipped; a failure is a row, not an
-    exception. A destination within the source folder raises.
+    For media on a file system that all executors mount. A missing file is skipped; a failure of one file is a row, not
+    an exception. A job that fails leaves the destination as it was. A destination within the source folder raises.
     """
     inside = os.path.commonpath([os.path.abspath(destination), os.path.abspath(source_root)]) == os.path.abspath(source_root)
     if inside:
         raise ValueError("the destination lies in the source folder")
-    return files.select("id", "path", "target").mapInArrow(_placer(destination, move), "id string, status string, error string")
+    return placing.placed(files.select("id", "path", "target"), placing.copied, destination, move)
 
 
 def report(outcomes: DataFrame) -> DataFrame:
@@ -205,39 +178,25 @@ def with_ratings(files: DataFrame) -> DataFrame:
     return files.select("id", "content", "rating").mapInArrow(run, "id string, content binary, error string")
 
 
+def rated_copy(row: Row, staged: str) -> None:
+    """A copy of the JPEG file at ``path`` with its rating, read back and compared."""
+    with open(row["path"], "rb") as f:
+        data = rated_jpeg(f.read(), row["rating"] or 0)
+    with open(staged, "wb") as f:
+        f.write(data)
+    with open(staged, "rb") as f:
+        if f.read() != data:
+            raise OSError("what was written differs")
+    shutil.copystat(row["path"], staged)
+
+
 def write_ratings(files: DataFrame) -> DataFrame:
     """Write the ratings of files (id, path, rating) into the JPEG files themselves: id, status and error of each.
 
-    For originals on a file system that all executors mount. The new bytes go to a file beside, are read back and
-    compared, and then take the original's name in one step; a repeat writes the same bytes.
+    For originals on a file system that all executors mount. New bytes are staged beside the originals and compared, and
+    take their names, each in one step, once all are staged; a job that fails changes nothing, a repeat writes the same bytes.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                part = None
-                try:
-                    with open(row["path"], "rb") as f:
-                        data = rated_jpeg(f.read(), row["rating"] or 0)
-                    fd, part = tempfile.mkstemp(dir=os.path.dirname(row["path"]))
-                    with os.fdopen(fd, "wb") as f:
-                        f.write(data)
-                    with open(part, "rb") as f:
-                        if f.read() != data:
-                            raise OSError("what was written differs")
-                    shutil.copystat(row["path"], part)
-                    os.replace(part, row["path"])
-                    out.append((row["id"], "processed", None))
-                except FileNotFoundError:
-                    out.append((row["id"], "skipped", None))
-                except (OSError, ValueError, TypeError) as e:
-                    if part and os.path.exists(part):
-                        os.remove(part)
-                    out.append((row["id"], "failed", str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else ((), (), ()))], ["id", "status", "error"])
-
-    return files.select("id", "path", "rating").mapInArrow(run, "id string, status string, error string")
+    return placing.placed(files.select("id", "path", "rating"), rated_copy)
 
 
 def writable(photos: DataFrame) -> DataFrame:
