@@ -17,21 +17,25 @@ from framesift.schema import MAX_RATING
 from framesift.storage import saved
 
 
+#: Bits of a row's number within its partition, by the definition of Spark's increasing ids.
+_AT_BITS = 33
+
+
 def placed(rows: DataFrame, order: Sequence = CAPTURE_ORDER, *by: str) -> DataFrame:
     """``rows`` with ``place``, from 1 in the given order, within each group of ``by``.
 
-    Rows are dealt out by a range of the order and written with the number of their range; each range counts its own
-    rows and adds what stands before it, so neither a large group nor the lack of one ends in a single task. They
+    Rows are dealt out by a range of the order, sorted in it and written with their number; each range adds what stands
+    before it, so neither a large group nor the lack of one ends in a single task, and no window runs over rows. They
     are written, as another run of the same plan may draw other ranges.
     """
     keys = [*(F.asc(c) for c in by), *ordering(order)]
-    dealt = saved(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*ordering(order)))
-    counts = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    dealt = saved(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", _AT_BITS)
+    counts = dealt.groupBy(part.alias("_part"), *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    joined = dealt.withColumn("_inside", inside).join(before, ["_part", *by])
-    return joined.withColumn("place", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+    joined = dealt.withColumn("_part", part).join(before, ["_part", *by])
+    return joined.withColumn("place", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")
 
 
 def save_results(photos: DataFrame, results: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from framesift.functions.capture import extension, stem
@@ -32,38 +32,44 @@ def candidates(photos: DataFrame, project: str, ratings: list[int] | None = None
     return of_ratings(photos, project, ratings).orderBy(F.desc("rating"), "relative_path", "id")
 
 
+#: The extension of a name with its dot.
+_DOT = r"(?<=.)(\.[^.]*)$"
+
+
 def _numbered(name: Column, n: Column) -> Column:
-    dot = F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
+    dot = F.regexp_extract(name, _DOT, 1)
     return F.when(n < 2, name).otherwise(F.concat(stem(name), F.lit(" ("), n, F.lit(")"), dot))
 
 
+def _taken(names: DataFrame) -> DataFrame:
+    """(project_id, rating, name, _t): the numbers that files' own names take from other names, as "a (2).jpg" takes 2 from "a.jpg"."""
+    parts = r"^(.+) \(([1-9][0-9]{0,8})\)$"
+    own = names.withColumn("_stem", stem(F.col("name"))).where(F.col("_stem").rlike(parts))
+    dot = F.regexp_extract("name", _DOT, 1)
+    of = own.withColumn("_t", F.regexp_extract("_stem", parts, 2).cast("bigint")).withColumn("_base", F.concat(F.regexp_extract("_stem", parts, 1), dot))
+    whole = of.where((F.col("_t") > 1) & (_numbered(F.col("_base"), F.col("_t")) == F.col("name")))
+    return whole.select("project_id", "rating", F.col("_base").alias("name"), "_t")
+
+
 def layout(files: DataFrame) -> DataFrame:
     """``target``: star-N/name for every row (project_id, rating, name, relative_path, id), no two alike.
 
-    The first of rows with one name keeps it, the next are name (2), name (3), ... If such a name is also a
-    file's own, the number grows until it is free. Repeats are numbered by ranges, so that one name for all files is no
-    task of its own. Only rows whose name is taken go on to a further round, and are written by it; the number of
-    rounds is that of such chains.
+    The first of rows with one name keeps it, the next are name (2), name (3), ... with the numbers left out that are
+    in files' own names. The k-th number that is free follows from one count: a number t that is taken, the j-th of its
+    name, stands before the rows from the (t - j)-th on, so a row's number is its place among both. Places come by ranges,
+    so that one name for all files is no task of its own, whatever the numbers taken.
     """
-    folder, own = ["project_id", "rating"], ["project_id", "rating", "name"]
-    numbered = placed(files, [(F.asc, "relative_path"), (F.asc, "id")], *own).withColumnRenamed("place", "_n")
-    most = numbered.groupBy(*own).agg(F.max("_n").alias("_most"))
-    left, done = saved(numbered.join(most, own).withColumn("_name", _numbered(F.col("name"), F.col("_n")))), None
-    while True:
-        holders = Window.partitionBy(*folder, "_name").orderBy("_n", "relative_path", "id")
-        turns = left.withColumn("_turn", F.row_number().over(holders))
-        if done is not None:
-            taken = done.select(*folder, "_name").withColumn("_taken", F.lit(True))
-            turns = turns.join(taken, [*folder, "_name"], "left").withColumn("_turn", F.when(F.col("_taken"), F.col("_turn") + 1).otherwise(F.col("_turn"))).drop("_taken")
-        turns = saved(turns)
-        placed_now = turns.where("_turn = 1").drop("_turn")
-        done = placed_now if done is None else done.unionByName(placed_now)
-        again = turns.where("_turn > 1")
-        if again.isEmpty():
-            return done.withColumn("target", F.concat(F.lit("star-"), F.col("rating"), F.lit("/"), F.col("_name"))).drop("_n", "_name", "_most")
-        place = F.row_number().over(Window.partitionBy(*own).orderBy("relative_path", "id"))
-        moved = again.withColumn("_n", F.col("_most") + place).withColumn("_most", F.max("_n").over(Window.partitionBy(*own)))
-        left = saved(moved.withColumn("_name", _numbered(F.col("name"), F.col("_n"))).drop("_turn"))
+    own = ["project_id", "rating", "name"]
+    rows = placed(files, [(F.asc, "relative_path"), (F.asc, "id")], *own).withColumnRenamed("place", "_n")
+    taken = _taken(files.select(*own).distinct())
+    if not taken.isEmpty():
+        rows = saved(rows)
+        more = rows.where("_n > 1").select(*own, (F.col("_n") - 1).alias("_k"), F.lit(1).alias("_row"), "id")
+        used = placed(taken.join(more.select(*own).distinct(), own, "left_semi"), [(F.asc, "_t")], *own)
+        marks = used.select(*own, (F.col("_t") - F.col("place")).alias("_k"), F.lit(0).alias("_row"), F.lit(None).cast(more.schema["id"].dataType).alias("id"))
+        free = placed(more.union(marks), [(F.asc, "_k"), (F.asc, "_row")], *own).where("_row = 1").select(*own, (F.col("_k") + 1).alias("_n"), (F.col("place") + 1).alias("_free"))
+        rows = rows.join(free, [*own, "_n"], "left").withColumn("_n", F.coalesce("_free", "_n")).drop("_free")
+    return rows.withColumn("target", F.concat(F.lit("star-"), F.col("rating"), F.lit("/"), _numbered(F.col("name"), F.col("_n")))).drop("_n")
 
 
 def write_table(files: DataFrame, path: str) -> None:

@@ -1,8 +1,8 @@
 """Photos in order of capture: neighbours, pairs, candidates, bursts and neighbourhoods.
 
-A project can hold any number of photos, so no window runs over a whole project. Rows are windowed within
-stretches of time, and what passes from one stretch to the next (its last row, its last break) comes from a
-summary with one row a stretch.
+A project can hold any number of photos, and so can a millisecond, so no window runs over a whole project or time. Rows
+are windowed within stretches of time, cut further by ranges of rows where they are crowded, and what passes from one
+stretch to the next (its last row, its last break) comes from a summary with one row a stretch.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from framesift.storage import saved
 
 #: Length of a stretch. Any length gives the same result.
 STRETCH_MS = 3_600_000
+#: Photos of a stretch of time that are one task; of more, ranges of rows are. Any number gives the same result.
+STRETCH_ROWS = 1 << 20
+STRETCH = ("stretch", "sub")
 ORDER = ("captured_at", "relative_path", "id")
 
 
@@ -30,29 +33,44 @@ def timed(photos: DataFrame) -> DataFrame:
     return photos.where(~F.col("is_missing") & F.col("captured_at").isNotNull())
 
 
-def _stretched(photos: DataFrame, stretch_ms: int) -> DataFrame:
-    return photos.withColumn("stretch", F.floor(F.col("captured_at") / stretch_ms))
+def _stretched(photos: DataFrame, stretch_ms: int, most: int) -> DataFrame:
+    """``photos`` with ``stretch`` and ``sub``: a stretch of time, and a range of its rows where it has more than ``most``.
 
-
-def with_neighbours(photos: DataFrame, stretch_ms: int = STRETCH_MS, sides: tuple[str, ...] = ("previous", "following")) -> DataFrame:
+    Times may be equal by the million, so time alone bounds nothing. Rows of crowded stretches are dealt out by
+    ranges of their order, drawn from a sample, and written, as another run may draw others.
+    """
+    if "sub" in photos.columns:
+        return photos
+    rows = photos.withColumn("stretch", F.floor(F.col("captured_at") / stretch_ms))
+    crowded = rows.groupBy("project_id", "stretch").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    total = crowded.agg(F.sum("n")).first()[0]
+    if not total:
+        return rows.withColumn("sub", F.lit(0))
+    crowded = F.broadcast(saved(crowded.select("project_id", "stretch")))  # a row for ``most`` photos, at most
+    calm = rows.join(crowded, ["project_id", "stretch"], "left_anti").withColumn("sub", F.lit(0))
+    dealt = rows.join(crowded, ["project_id", "stretch"]).repartitionByRange(-(-total // most), "project_id", *ORDER).withColumn("sub", F.spark_partition_id())
+    return calm.unionByName(saved(dealt))
+
+
+def with_neighbours(photos: DataFrame, stretch_ms: int = STRETCH_MS, sides: tuple[str, ...] = ("previous", "following"), most: int = STRETCH_ROWS) -> DataFrame:
     """``photos`` with ``previous`` and ``following``: the structs of the photos beside each in its project; null at the ends.
 
-    Ties in time are ordered by path, then id. Rows need a time.
+    Ties in time are ordered by path, then id. Rows need a time. The stretch of each photo stays with it, as ``stretch`` and ``sub``.
     """
     here = F.struct(*ORDER, "d_hash", "timestamp_source")
-    rows = _stretched(photos, stretch_ms)
-    within, across = Window.partitionBy("project_id", "stretch").orderBy(*ORDER), Window.partitionBy("project_id").orderBy("stretch")
+    rows = _stretched(photos, stretch_ms, most)
+    within, across = Window.partitionBy("project_id", *STRETCH).orderBy(*ORDER), Window.partitionBy("project_id").orderBy(*STRETCH)
     ends = {"previous": (F.lag, F.max_by), "following": (F.lead, F.min_by)}
     inside = rows.select("*", *(ends[s][0](here).over(within).alias(f"in_{s}") for s in sides))
-    edges = rows.groupBy("project_id", "stretch").agg(*(ends[s][1](here, F.struct(*ORDER)).alias(f"edge_{s}") for s in sides))
-    beside = edges.select("project_id", "stretch", *(ends[s][0](f"edge_{s}").over(across).alias(f"out_{s}") for s in sides))
-    joined = inside.join(beside, ["project_id", "stretch"], "left")
-    return joined.select(*photos.columns, *(F.coalesce(f"in_{s}", f"out_{s}").alias(s) for s in sides))
+    edges = rows.groupBy("project_id", *STRETCH).agg(*(ends[s][1](here, F.struct(*ORDER)).alias(f"edge_{s}") for s in sides))
+    beside = edges.select("project_id", *STRETCH, *(ends[s][0](f"edge_{s}").over(across).alias(f"out_{s}") for s in sides))
+    joined = inside.join(beside, ["project_id", *STRETCH], "left")
+    return joined.select(*photos.columns, *STRETCH, *(F.coalesce(f"in_{s}", f"out_{s}").alias(s) for s in sides))
 
 
-def with_previous(photos: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
+def with_previous(photos: DataFrame, stretch_ms: int = STRETCH_MS, most: int = STRETCH_ROWS) -> DataFrame:
     """``photos`` with ``previous`` only."""
-    return with_neighbours(photos, stretch_ms, ("previous",))
+    return with_neighbours(photos, stretch_ms, ("previous",), most)
 
 
 def eligibility(left_at: Column, right_at: Column, left_source: Column, right_source: Column, window_ms: Column | int = WINDOW_MS) -> Column:
@@ -67,9 +85,9 @@ def joins_by_threshold(gap_ms: Column, bits: Column, threshold: Column) -> Colum
     return (gap_ms <= WINDOW_MS) & (bits <= threshold)
 
 
-def adjacent(photos: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
+def adjacent(photos: DataFrame, stretch_ms: int = STRETCH_MS, most: int = STRETCH_ROWS) -> DataFrame:
     """Usable photos with ``previous``, the gap to it and the distance from it."""
-    rows = with_previous(usable(photos), stretch_ms)
+    rows = with_previous(usable(photos), stretch_ms, most)
     return rows.withColumn("gap_ms", F.col("captured_at") - F.col("previous.captured_at")).withColumn(
         "distance", F.when(F.col("previous").isNotNull(), distance(F.col("previous.d_hash"), F.col("d_hash")))
     )
@@ -90,15 +108,15 @@ def _islands(rows: DataFrame, threshold: Column, overrides: DataFrame | None, st
         said = overrides.select("project_id", F.col("left_id").alias("o_left"), F.col("right_id").alias("id"), F.col("joined").alias("said"))
         rows = rows.withColumn("o_left", F.col("previous.id")).join(said, ["project_id", "o_left", "id"], "left")
         raw = F.coalesce("said", raw)
-    rows = _stretched(rows.withColumn("starts", F.col("previous").isNull() | ~raw), stretch_ms)
+    rows = _stretched(rows, stretch_ms, STRETCH_ROWS).withColumn("starts", F.col("previous").isNull() | ~raw)
     first = F.when(F.col("starts"), F.struct(*ORDER, "d_hash"))
-    inside = Window.partitionBy("project_id", "stretch").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("project_id", *STRETCH).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.last(first, ignorenulls=True).over(inside))
-    lasts = rows.groupBy("project_id", "stretch").agg(F.max(first).alias("last"))
-    earlier = Window.partitionBy("project_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = lasts.select("project_id", "stretch", F.last("last", ignorenulls=True).over(earlier).alias("outside"))
-    joined = rows.join(before, ["project_id", "stretch"], "left")
-    return joined.withColumn("island", F.coalesce("inside", "outside")).drop("inside", "outside", "stretch")
+    lasts = rows.groupBy("project_id", *STRETCH).agg(F.max(first).alias("last"))
+    earlier = Window.partitionBy("project_id").orderBy(*STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select("project_id", *STRETCH, F.last("last", ignorenulls=True).over(earlier).alias("outside"))
+    joined = rows.join(before, ["project_id", *STRETCH], "left")
+    return joined.withColumn("island", F.coalesce("inside", "outside")).drop("inside", "outside", *STRETCH)
 
 
 def burst_members(photos: DataFrame, threshold: Column | int = DEFAULT_THRESHOLD, overrides: DataFrame | None = None, stretch_ms: int = STRETCH_MS) -> DataFrame:

@@ -4,6 +4,9 @@ import random
 
 import pytest
 from framesift.operators import sequence
+from framesift.storage import saved
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 SCHEMA = "project_id string, id string, relative_path string, captured_at bigint, d_hash string, timestamp_source string, is_missing boolean, rating int"
 
@@ -80,3 +83,20 @@ def test_neighbourhood(spark):
     ids = spark.createDataFrame([("p", "b"), ("p", "c"), ("p", "no")], "project_id string, id string")
     assert sorted(r["id"] for r in sequence.neighbourhood(rows, ids).collect()) == ["a", "b", "c"]
     assert sequence.neighbourhood(rows, ids.limit(0)).count() == 0
+
+
+def test_equal_times_are_many_tasks(spark):
+    """A hundred thousand photos of one millisecond: neighbours and runs as in one window, in ranges of rows."""
+    n = 100_000
+    many = spark.range(n).select(
+        F.lit("p").alias("project_id"), F.format_string("%06d.jpg", (F.col("id") * 7919) % n).alias("relative_path"), F.col("id").cast("string").alias("id"), F.lit(5_000_000).cast("bigint").alias("captured_at"),
+        F.lpad(F.hex(F.when((F.col("id") * 7919) % n % 1000 < 500, 0).otherwise(-1)), 16, "0").alias("d_hash"), F.lit("exif_original").alias("timestamp_source"), F.lit(False).alias("is_missing"), F.lit(0).alias("rating"),
+    )
+    near = saved(sequence.adjacent(many, most=12_500))
+    parts = near.groupBy("stretch", "sub").count().collect()
+    assert len(parts) >= 6 and max(r["count"] for r in parts) < 30_000
+    places = Window.partitionBy("project_id").orderBy("relative_path")
+    expected = many.select("id", F.lag("id").over(places).alias("before"))
+    assert near.select("id", F.col("previous.id").alias("before")).exceptAll(expected).isEmpty() and near.count() == n
+    groups = sequence.burst_groups(near, 10).collect()
+    assert len(groups) == 200 and {r["n_photos"] for r in groups} == {500}

@@ -18,19 +18,62 @@ def rows():
     return out
 
 
-def test_stream_bursts(spark, tmp_path):
+@pytest.fixture
+def stores(spark):
+    for key, value in bursts.STATE_STORE.items():
+        spark.conf.set(key, value)
+    yield
+    for key in bursts.STATE_STORE:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("stretch_ms", [4000, 30_000, 10_000_000])
+def test_stream_bursts(spark, tmp_path, stores, stretch_ms):
     data = rows()
-    last = [(p, f"{p}zzz", "z", 10_000_000, "0" * 16, "unknown", False, 0) for p in ("p", "q")]
+    last = [(p, f"{p}zzz", "z", 50_000_000, "0" * 16, "unknown", False, 0) for p in ("p", "q")]
     for k, part in enumerate((data[1::2], data[::2], last)):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = enrichment.arrivals(spark, str(tmp_path / "in"), SCHEMA, 1)
-    query = bursts.stream_bursts(stream, 1, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query = bursts.stream_bursts(stream, 1, "10 minutes", stretch_ms).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    found = {(r["project_id"], r["island"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    parts = spark.read.parquet(str(tmp_path / "out"))
+    assert parts.count() == parts.select("id").distinct().count()
+    found = {(r["project_id"], r["island"], r["id"]) for r in bursts.linked(parts).collect()}
     expected = {(r["project_id"], r["island"], r["id"]) for r in sequence.burst_members(spark.createDataFrame(data, SCHEMA), 1).collect()}
     assert found == expected
 
 
+def test_a_project_with_most_photos_is_many_keys(spark, tmp_path, stores):
+    """Nine in ten photos are one project's, in any order: runs as in batch, and no stretch holds more than a few."""
+    import random
+
+    rng, at, data = random.Random(6), 0, []
+    for i in range(3000):
+        at += rng.choice((100, 700, 3900, 4001, 6000))
+        project = "small" if i % 10 == 0 else "big"
+        data.append((project, f"{i:05}", f"{i:05}.jpg", at, f"{rng.choice((0, 1, 3)):016x}", "unknown", False, 0))
+    rng.shuffle(data)
+    last = [(p, f"{p}zzz", "z", at + 10**8, "0" * 16, "unknown", False, 0) for p in ("big", "small")]
+    for part in (data[:1500], data[1500:], last):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = enrichment.arrivals(spark, str(tmp_path / "in"), SCHEMA, 1)
+    query = bursts.stream_bursts(stream, 1, "1000 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert not spark.read.schema(parts_schema()).parquet(str(tmp_path / "out")).count()  # all may still come late
+    query = bursts.stream_bursts(enrichment.arrivals(spark, str(tmp_path / "in"), SCHEMA), 1, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    parts = spark.read.parquet(str(tmp_path / "out2"))
+    found = {(r["project_id"], r["island"], r["id"]) for r in bursts.linked(parts).collect()}
+    expected = {(r["project_id"], r["island"], r["id"]) for r in sequence.burst_members(spark.createDataFrame(data, SCHEMA), 1).collect()}
+    assert found == expected
+    sizes = [r["count"] for r in parts.where("project_id = 'big'").groupBy("stretch").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def parts_schema():
+    return bursts._OUT
+
+
 def test_time_bursts(spark, tmp_path):
     data = [("p", str(i), "", at, None, None, False, 0) for i, at in enumerate((0, 4000, 8001, 99_000))]
     spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "in"))
