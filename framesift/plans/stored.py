@@ -1,13 +1,19 @@
-"""Registered queries: stored pictures, their hashes and sizes. The pictures are made of the embeddings, a square for each entry."""
+"""Registered queries: stored pictures and catalogues. The pictures are made of the embeddings, a square for each entry."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions.hashing import difference_hash, hash_text
 from framesift.operators import pictures
+from framesift.operators import stored as tables
+from framesift.plans import views
 from framesift.plans.queries import query
+from framesift.plans.views import PHOTOS
+from framesift.storage import shared_dir
 
 _SIDE = 8
 # Entries as even steps of brightness, four apart, so that a picture of the best quality keeps them apart.
@@ -41,3 +47,34 @@ def display_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = first.drop("origin", "error").withColumn("display", F.when(key % 4 > 0, F.col("display")))
     built = pictures.display(kept, F.col("edge"), ("vec_id",))
     return pictures.sizes_of(built, ("vec_id", "display_edge", "origin"), "display").select("vec_id", F.col("display_edge").alias("edge"), "origin", F.greatest("width", "height").alias("side"))
+
+
+_RESCANNED = f"""{PHOTOS}, files AS (SELECT id, project_id, '/m/' || relative_path AS path, captured_at, d_hash, rating, fingerprint_mtime, fingerprint_size FROM photos WHERE CAST(id AS BIGINT) % 10 <> 0),
+listing AS (SELECT project_id, '/m/' || relative_path AS path, fingerprint_mtime AS mtime, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN fingerprint_size + 1 ELSE fingerprint_size END AS size FROM photos WHERE project_id = 'error' AND CAST(id AS BIGINT) % 13 <> 0)"""
+
+
+@query(f"""WITH {_RESCANNED}
+SELECT project_id, path, CASE WHEN project_id <> 'error' OR l.path IS NULL OR (f.path IS NOT NULL AND f.fingerprint_mtime IS NOT DISTINCT FROM l.mtime AND f.fingerprint_size IS NOT DISTINCT FROM l.size) THEN f.d_hash END AS d_hash,
+  coalesce(f.rating, 0) AS rating, CASE WHEN l.path IS NULL THEN f.fingerprint_size ELSE l.size END AS fingerprint_size, CASE WHEN project_id = 'error' THEN l.path IS NULL ELSE false END AS is_missing
+FROM files f FULL JOIN listing l USING (project_id, path)""")
+def rescan_of_one_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored catalogue after a rescan of one of its projects."""
+    number, path = F.col("id").cast("bigint"), f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    photos = views.photos(spark, sf_dir).withColumn("path", F.concat(F.lit("/m/"), "relative_path")).withColumn("name", F.col("relative_path"))
+    size = F.when(number % 7 == 0, F.col("fingerprint_size") + 1).otherwise(F.col("fingerprint_size"))
+    listing = photos.where((F.col("project_id") == "error") & (number % 13 != 0)).select("project_id", "path", "relative_path", "name", F.col("fingerprint_mtime").alias("mtime"), size.alias("size"))
+    known = photos.where(number % 10 != 0).withColumn("is_missing", F.lit(False))
+    tables.write_catalogue(known, path)
+    tables.rescan(spark, path, known.schema, listing)
+    return tables.read_catalogue(spark, path, known.schema).select("project_id", "path", "d_hash", "rating", "fingerprint_size", "is_missing")
+
+
+@query(f"""WITH {PHOTOS} SELECT project_id, id, rating, CASE WHEN CAST(id AS BIGINT) % 3 > 0 THEN 'thumbnail ' || id END AS thumbnail, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'display ' || id END AS display,
+CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN id || '.raw' END AS original FROM photos""")
+def photos_with_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos and what is stored of them in tables of their own, joined bucket by bucket."""
+    number = F.col("id").cast("bigint")
+    photos = views.photos(spark, sf_dir).select("project_id", "id", "rating")
+    wide = photos.withColumn("thumbnail", F.when(number % 3 > 0, F.concat(F.lit("thumbnail "), "id"))).withColumn("display", F.when(number % 5 == 0, F.concat(F.lit("display "), "id")))
+    parts = tables.write_parts(wide.withColumn("original", F.when(number % 7 == 0, F.concat("id", F.lit(".raw")))), {"thumbnails": ["thumbnail"], "displays": ["display"], "originals": ["original"]})
+    return tables.together(spark, parts, "thumbnails", "displays", "originals")
