@@ -7,9 +7,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import tiktoken
-from framesift.llm import byte_bpe, decontaminate, secrets
+from framesift.llm import byte_bpe
 from test_near_copies import kept_of
 from test_quality import plain as measured
+from test_secrets import plain_candidates, plain_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,25 +19,43 @@ def plain(docs, items):
     kept = [d for d in docs if judged(d["text"] or "")]
     groups = kept_of([(d["doc_id"], d["text"]) for d in kept])
     kept = [kept[min(g, key=lambda i: kept[i]["doc_id"])] for g in groups]
-    windows = lambda t: set((w := decontaminate.Windows([t])).hashes[w.whole].tolist())
     wanted = [windows(i["text"] or "") for i in items]
     leaky = lambda t: any(w and len(w & t) >= 0.8 * len(w) for w in wanted)
     kept = [d for d in kept if not leaky(windows(d["text"]))]
     owners = {}
     for d in kept:
-        for *_, h in secrets.candidates(d["text"], secrets.base_spans(d["text"])):
-            owners.setdefault(h, set()).add(d["source"])
+        for m in plain_candidates(d["text"], plain_spans(d["text"])):
+            owners.setdefault(m[0], set()).add(d["source"])
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = []
     for d in kept:
-        base = secrets.base_spans(d["text"])
-        live = [(a, b) for a, b, h in secrets.candidates(d["text"], base) if len(owners[h]) == 1]
-        ids = library.encode_ordinary(secrets.redacted(d["text"], [(a, b) for a, _, b in base] + live))
+        base = plain_spans(d["text"])
+        live = [m.span() for m in plain_candidates(d["text"], base) if len(owners[m[0]]) == 1]
+        ids = library.encode_ordinary(without(d["text"], [(a, b) for a, _, b in base] + live))
         out.append((d["doc_id"], len(ids), np.array(ids, "<u4").tobytes()))
     return sorted(out)
 
 
+def windows(text):
+    """Runs of five words without marks and in lower case; a shorter text is one."""
+    words = [w for w in (x.strip(" .,;:!?\"'()[]").lower() for x in text.split()) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def without(text, spans):
+    """The text with each character that is in a span gone, and a placeholder for each run of overlapping spans."""
+    runs = []
+    for a, b in sorted(spans):
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    for a, b in reversed(runs):
+        text = text[:a] + "[SECRET]" + text[b:]
+    return text
+
+
 def judged(text):
     n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letter_words, n_capital_words, base_failed = measured(text)
     return not (

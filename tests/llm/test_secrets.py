@@ -1,6 +1,7 @@
 """Secret scans against plain regular expressions and a count in Python."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -22,19 +23,36 @@ DOCS = [
 SCHEMA = "doc_id long, text string, source string, lang string"
 
 
+def random_looking(token):
+    """Letters and digits, three bits a character or more, and less than half of it words and short numbers."""
+    if not re.search("[0-9]", token) or not re.search("[A-Za-z]", token):
+        return False
+    parts = [p for p in re.split(r"[^A-Za-z0-9]+", token) if p]
+    told = [p for p in parts if re.fullmatch("([A-Z]?[a-z]+)+|[A-Z][A-Z]+|[0-9][0-9]?[0-9]?[0-9]?", p)]
+    if len(re.findall(r"[^A-Za-z0-9]+", token)) and sum(map(len, told)) >= sum(map(len, parts)) / 2:
+        return False
+    return math.log2(len(token)) - sum(token.count(c) * math.log2(token.count(c)) for c in set(token)) / len(token) > 3 - 1e-12
+
+
+def plain_spans(text):
+    """(start, kind, end) by the patterns as they are given."""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def plain_candidates(text, spans):
+    return [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if random_looking(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+
+
 def plain(docs):
     owners = defaultdict(set)
     found = []
     for doc_id, text, source, _ in docs:
         text = text or ""
-        spans = []
-        for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
-            if len(m[2]) >= 6:
-                spans.append((m.start(), 0, m.end()))
-        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-        spans.sort()
-        more = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if secrets.looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        spans = plain_spans(text)
+        more = plain_candidates(text, spans)
         for m in more:
             owners[m[0]].add(source)
         found.append((doc_id, spans, more))
