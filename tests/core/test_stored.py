@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from framesift import storage
 from framesift.operators import catalogue, stored
 from pyspark.sql import functions as F
 
@@ -67,3 +68,22 @@ def test_parts_meet_without_a_shuffle(spark, photos):
     found = rows.select(*wide.columns)
     assert found.exceptAll(wide).isEmpty() and wide.exceptAll(found).isEmpty()
     assert "thumbnail" not in spark.table(tables["photos"]).columns and spark.table(tables["displays"]).count() == photos.where("rating = 0").count()
+
+
+def test_scopes(spark):
+    """Tables go at the end of the scope they were written in, but for what is taken out of it; those of no scope stay."""
+    there = lambda path: os.path.isdir(path.removeprefix("file://"))
+    outside = storage.written(spark.range(3))
+    with storage.scope(spark) as passing:
+        first = storage.written(spark.range(3))
+        with storage.scope(spark):
+            inner = storage.written(spark.range(2))
+            assert there(inner)
+        kept = storage.written(spark.range(5))
+        passing.remove(kept)
+        assert there(first) and not there(inner)
+    assert there(outside) and there(kept) and not there(first) and spark.read.parquet(kept).count() == 5
+    with pytest.raises(RuntimeError), storage.scope(spark):
+        failed = storage.written(spark.range(1))
+        raise RuntimeError
+    assert not there(failed) and not storage._scopes
