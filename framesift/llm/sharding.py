@@ -25,6 +25,8 @@ OVERHEAD = 8
 DIMENSIONS = ("source", "lang", "size")
 #: Columns that are added; a column of the rows with such a name is kept as own_<name>.
 ADDED = ("size", "text_crc32", "law", "shard", "slot")
+#: Bits of a cell's number up to which the places of all cells are a table, of 65,536 rows at most.
+LOOKED_UP = 16
 #: Rows of a numbered table that are summed in one task.
 STRETCH = 1 << 16
 
@@ -92,6 +94,17 @@ def hilbert(cells: Sequence[Column], bits: int = BITS) -> Column:
     return F.get(digits, F.lit(0))
 
 
+def _on_curve(rows: DataFrame, cells: Sequence[Column], bits: int) -> DataFrame:
+    """``rows`` with ``curve``, the place of their cell. Places of a cube of few cells are worked out once and looked up."""
+    n = len(cells)
+    if n * bits > LOOKED_UP:
+        return rows.withColumn("curve", hilbert(cells, bits))
+    code = sum((c.cast("long") * F.lit(1 << bits * i) for i, c in enumerate(cells)), F.lit(0))
+    axes = [F.shiftright("_code", bits * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(n)]
+    table = rows.sparkSession.range(1 << n * bits, numPartitions=1).toDF("_code").select("_code", hilbert(axes, bits).alias("curve"))
+    return rows.withColumn("_code", code).join(F.broadcast(table), "_code").drop("_code")
+
+
 def arranged(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with size, text_crc32 and ``place``, from 0 along the curve.
 
@@ -101,8 +114,7 @@ def arranged(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int
     renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in (*ADDED, "place", "curve")})
     rows = renamed.withColumn("size", (F.octet_length(text_of(text)) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text_of(text).cast("binary")))
     cells = [cell(F.col(c), cuts(rows, c, bits)) for c in dimensions]
-    curve = rows.withColumn("curve", hilbert(cells, bits))
-    return numbered(curve, F.asc("curve"), F.asc("text_crc32"), F.asc("size"), F.asc(doc_id)).drop("curve")
+    return numbered(_on_curve(rows, cells, bits), F.asc("curve"), F.asc("text_crc32"), F.asc("size"), F.asc(doc_id)).drop("curve")
 
 
 def cut(placed: DataFrame, shards: int = SHARDS, law: str = "rows") -> DataFrame:
