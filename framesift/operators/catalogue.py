@@ -139,6 +139,13 @@ def without_project(rows: DataFrame, project: str, column: str = "project_id") -
     return rows.where(~F.col(column).eqNullSafe(F.lit(project)))
 
 
+def delete_project(projects: DataFrame, project: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """``projects`` without one, and each of ``tables`` (by project_id) without its rows; raises if there is no such project."""
+    if projects.where(F.col("id") == project).isEmpty():
+        raise ValueError(f"there is no project {project}")
+    return without_project(projects, project, "id"), *(without_project(t, project) for t in tables)
+
+
 def list_projects(projects: DataFrame) -> DataFrame:
     """Projects, the last updated first."""
     return projects.orderBy(F.desc("updated_at"), "id")

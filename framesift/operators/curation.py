@@ -161,6 +161,11 @@ def without_last(ids: Column, item: Column) -> Column:
     return F.when(back == 0, ids).otherwise(F.concat(F.slice(ids, F.lit(1), (at - 1).cast("int")), F.slice(ids, (at + 1).cast("int"), F.size(ids))))
 
 
+def next_candidates(survivors: Column) -> Column:
+    """The candidates of the next round: survivors in order, each once."""
+    return F.array_distinct(survivors)
+
+
 def insert_upcoming(groups: Column, index: Column, added: Column, size: int | Column) -> Column:
     """struct<groups,survivors,added>: groups with new ids at the head of those still to come; the current one and earlier ones stay.
 

@@ -9,6 +9,7 @@ from framesift.functions.hashing import distance
 from framesift.operators import sequence, shape
 from framesift.operators.pages import visible
 from framesift.schema import HASH_BITS
+from framesift.storage import is_folder
 
 
 def pair_facts(pairs: DataFrame) -> DataFrame:
@@ -89,7 +90,9 @@ def upcoming(order: DataFrame, current: DataFrame, added: DataFrame) -> DataFram
 
 
 def create_project(projects: DataFrame, project_id: str, name: str, folder: str, at: int) -> DataFrame:
-    """``projects`` with a new one; raises if the id is taken."""
+    """``projects`` with a new one; raises if the id is taken, or if there is no such folder on its file system."""
+    if not is_folder(projects.sparkSession, folder):
+        raise ValueError(f"there is no folder {folder}")
     if not projects.where(F.col("id") == project_id).isEmpty():
         raise ValueError(f"there is a project {project_id}")
     known = {"id": F.lit(project_id), "name": F.lit(name), "folder_path": F.lit(folder), "photo_count": F.lit(0), "status": F.lit("new"), "created_at": F.lit(at), "updated_at": F.lit(at)}

@@ -84,6 +84,13 @@ def next_question(ranked: DataFrame, asked: DataFrame, low: Column, high: Column
     return open_.orderBy(F.abs(F.col("i") - middle), "i").limit(1)
 
 
+def next_questions(ranked: DataFrame, asked: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The pair to ask about in each project: project_id, id, distance, i. ``ranges`` has project_id, low and high; a project without a pair left has none."""
+    rows = ranked.join(asked.select("project_id", "id"), ["project_id", "id"], "left_anti").join(ranges, "project_id").where(F.col("i").between(F.col("low"), F.col("high")))
+    far = F.abs(F.col("i") - F.floor((F.col("low") + F.col("high")) / 2))
+    return rows.groupBy("project_id").agg(F.min(F.struct(far.alias("far"), "i", "id", "distance")).alias("q")).select("project_id", "q.id", "q.distance", "q.i")
+
+
 def answered(answers: Column, low: Column, high: Column) -> Column:
     """struct<low,high>: the open range after an ordered array of answers struct<i,grouped>; a null i only counts."""
     start = F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))

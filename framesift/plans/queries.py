@@ -158,10 +158,9 @@ def photo_page_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page(views.photos(spark, sf_dir), "view", -5, 5000, 0, pages.RATING_ORDER).select(*_PAGE)
 
 
-@query(f"WITH {PHOTOS} SELECT id, rating, row_number() OVER (ORDER BY captured_at NULLS LAST, relative_path, id) AS place FROM photos WHERE NOT is_missing AND project_id = 'error'")
+@query(f"WITH {PHOTOS} SELECT project_id, id, rating, row_number() OVER (PARTITION BY project_id ORDER BY captured_at NULLS LAST, relative_path, id) AS place FROM photos WHERE NOT is_missing")
 def selection_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages.visible(views.photos(spark, sf_dir), "error")
-    return curation.placed(rows, pages.CAPTURE_ORDER).select("id", "rating", "place")
+    return curation.placed(pages.visible(views.photos(spark, sf_dir)), pages.CAPTURE_ORDER, "project_id").select("project_id", "id", "rating", "place")
 
 
 @query(f"WITH {PHOTOS} SELECT id, rating FROM photos WHERE NOT is_missing AND project_id = 'error' AND rating = 3")

@@ -88,15 +88,25 @@ def insert_released(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("custkey", _groups_text(F.col("new.groups")).alias("inserted"), _text(F.col("new.survivors")).alias("survivors"), _text(F.col("new.added")).alias("added"))
 
 
-@query(f"WITH {_LISTS} SELECT custkey, {_sql_text('''list_concat(ids, ['z'])''')} AS survivors FROM lists")
+# Survivors that hold some photos twice; the photo that is meant differs by customer.
+_MEANT = f"""{_LISTS}, meant AS (SELECT *, ids[custkey % len(ids) + 1] AS item, list_contains(evens, ids[custkey % len(ids) + 1]) AS twice FROM even)"""
+
+
+def _meant() -> Column:
+    return F.element_at("ids", (F.col("custkey") % F.size("ids") + 1).cast("int"))
+
+
+@query(f"""WITH {_MEANT} SELECT custkey, {_sql_text("CASE WHEN twice THEN list_concat(ids, list_filter(evens, lambda x: x <> item)) ELSE list_concat(list_filter(ids, lambda x: x <> item), evens) END")} AS survivors,
+{_sql_text("CASE WHEN twice THEN ids ELSE list_filter(ids, lambda x: x <> item) END")} AS candidates FROM meant""")
 def undo_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = F.concat("ids", F.array(F.element_at("ids", 1), F.lit("z")))
-    return _lists(spark, sf_dir).select("custkey", _text(curation.without_last(again, F.element_at("ids", 1))).alias("survivors"))
+    after = curation.without_last(F.concat("ids", "evens"), _meant())
+    return _lists(spark, sf_dir).select("custkey", _text(after).alias("survivors"), _text(curation.next_candidates(after)).alias("candidates"))
 
 
-@query(f"WITH {_LISTS} SELECT custkey, {_sql_text('''list_concat(['new'], ids[2:])''')} AS ids FROM lists")
+@query(f"""WITH {_MEANT} SELECT custkey, {_sql_text("list_transform(ids, lambda x: CASE WHEN x = item THEN 'new' || custkey ELSE x END)")} AS ids FROM meant""")
 def replaced_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir).select("custkey", _text(curation.replaced_representative(F.col("ids"), F.element_at("ids", 1), F.lit("new"))).alias("ids"))
+    new = F.concat(F.lit("new"), F.col("custkey").cast("string"))
+    return _lists(spark, sf_dir).select("custkey", _text(curation.replaced_representative(F.col("ids"), _meant(), new)).alias("ids"))
 
 
 @query(f"WITH {_LISTS} SELECT custkey, {_sql_text('list_concat(evens, list_filter(odds, lambda x: CAST(x AS BIGINT) % 7 >= 5))')} AS chosen FROM even")
@@ -141,9 +151,14 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.counts(catalogue.decode_session(states))
 
 
-@query(f"WITH {PHOTOS} SELECT project_id, id, rating FROM photos WHERE NOT is_missing")
+@query(f"""WITH {PHOTOS}, seeds AS (SELECT project_id, id, rating, row_number() OVER (PARTITION BY project_id ORDER BY captured_at NULLS LAST, relative_path, id) - 1 AS place, count(*) OVER (PARTITION BY project_id) AS n FROM photos WHERE NOT is_missing AND rating = 2)
+SELECT project_id, id, CAST(CASE WHEN place // 4 % 2 = 0 AND place % 4 = 1 THEN 3 ELSE 2 END AS INTEGER) AS rating FROM seeds WHERE NOT (n % 4 = 1 AND place = n - 1)""")
 def skipped_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.confirm(pages.visible(views.photos(spark, sf_dir)).withColumn("chosen", F.lit(False))).select("project_id", "id", "rating")
+    """Of a round in groups of four every other group is skipped; of the rest the second photo is chosen."""
+    photos = pages.visible(views.photos(spark, sf_dir), rating=2)
+    dealt = curation.rounds(photos, 4).where("not is_survivor").join(photos.select("project_id", "id", "rating"), ["project_id", "id"])
+    chosen = (F.col("group_index") % 2 == 0) & (F.col("place") % 4 == 2)
+    return curation.confirm(dealt.withColumn("chosen", chosen)).select("project_id", "id", "rating")
 
 
 # Settings and thresholds.
@@ -200,15 +215,17 @@ def stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("custkey", threshold.question_progress(F.col("n"))["asked"].alias("asked"), stops.alias("stops"))
 
 
-_RANKED = f"""{USABLE}, ranked AS (SELECT left_id || ':' || id AS id, distance, row_number() OVER (ORDER BY distance, left_id || ':' || id) - 1 AS i FROM adjacent
-WHERE project_id = 'click' AND left_id IS NOT NULL AND gap_ms <= 4000 AND NOT (timestamp_source IN ('filesystem_mtime', 'unknown') AND left_source IN ('filesystem_mtime', 'unknown')))"""
+_RANKED = f"""{USABLE}, ranked AS (SELECT project_id, left_id || ':' || id AS id, distance, row_number() OVER (PARTITION BY project_id ORDER BY distance, left_id || ':' || id) - 1 AS i FROM adjacent
+WHERE left_id IS NOT NULL AND gap_ms <= 4000 AND NOT (timestamp_source IN ('filesystem_mtime', 'unknown') AND left_source IN ('filesystem_mtime', 'unknown')))"""
 
 
-@query(f"WITH {_RANKED} SELECT id, distance, i FROM ranked WHERE i % 3 <> 1 AND i BETWEEN 5 AND 40 ORDER BY abs(i - 22), i LIMIT 1")
+@query(f"""WITH {_RANKED}, open AS (SELECT *, n // 4 AS low, n * 3 // 4 AS high FROM (SELECT *, count(*) OVER (PARTITION BY project_id) AS n FROM ranked))
+SELECT project_id, id, distance, i FROM open WHERE i % 3 <> 1 AND i BETWEEN low AND high QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY abs(i - (low + high) // 2), i) = 1""")
 def next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = sequence.burst_pairs(views.photos(spark, sf_dir).where("project_id = 'click'")).select("id", "distance")
-    ranked = threshold.ranked_pairs(pairs)
-    return threshold.next_question(ranked, ranked.where("i % 3 = 1").select("id"), F.lit(5), F.lit(40)).select("id", "distance", "i")
+    """The next question of each project, in a range of half of its pairs, a third of which has been asked."""
+    ranked = threshold.ranked_pairs(sequence.burst_pairs(views.photos(spark, sf_dir)).select("project_id", "id", "distance"), "project_id")
+    ranges = ranked.groupBy("project_id").agg(F.count("*").alias("n")).select("project_id", F.floor(F.col("n") / 4).alias("low"), F.floor(F.col("n") * 3 / 4).alias("high"))
+    return threshold.next_questions(ranked, ranked.where("i % 3 = 1").select("project_id", "id"), ranges)
 
 
 # Small calculations.
@@ -307,9 +324,11 @@ def reset_display_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.reset_display(views.photos(spark, sf_dir), "click").select("id", "display_path", "display_edge")
 
 
-@query(f"WITH {PHOTOS} SELECT project_id, count(*) AS n FROM photos WHERE project_id <> 'view' GROUP BY 1")
+@query(f"WITH {PHOTOS} SELECT project_id, count(*) AS n FROM photos WHERE project_id <> (SELECT min(event_type) FROM events) GROUP BY 1")
 def deleted_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.without_project(views.photos(spark, sf_dir), "view").groupBy("project_id").agg(F.count("*").alias("n"))
+    projects, photos = _projects(spark, sf_dir), views.photos(spark, sf_dir)
+    left, rows = catalogue.delete_project(projects, projects.agg(F.min("id")).first()[0], photos)
+    return rows.join(left.select(F.col("id").alias("project_id")), "project_id").groupBy("project_id").agg(F.count("*").alias("n"))
 
 
 def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +346,7 @@ def listed_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PROJECT_ROWS} SELECT * FROM projects UNION ALL SELECT 'new' AS id, 7 AS updated_at, 7 AS created_at, 'New' AS name")
 def created_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.create_project(_projects(spark, sf_dir), "new", "New", "/m/new", 7)
+    return session.create_project(_projects(spark, sf_dir), "new", "New", sf_dir, 7)
 
 
 @query(f"WITH {PHOTOS} SELECT id, CAST(NULL AS INTEGER) AS added, rating FROM photos")

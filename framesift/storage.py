@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[set[str]] = []
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder, on whatever file system it would be."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder, by whatever file system it is on."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

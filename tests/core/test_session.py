@@ -1,6 +1,7 @@
 """Sessions, made-up pictures and writing in place on literal rows."""
 
-from framesift.operators import analysis, export, session, shape
+import pytest
+from framesift.operators import analysis, catalogue, export, session, shape
 from framesift.sources import synthetic
 from pyspark.sql import functions as F
 
@@ -31,15 +32,21 @@ def test_released_come_next(spark):
     assert listed(session.upcoming(order(spark, "axby"), current, order(spark, ""))) == "axby"
 
 
-def test_create_project(spark):
+def test_create_and_delete_project(spark, tmp_path):
     projects = spark.createDataFrame([("a", "A", 3)], "id string, name string, photo_count bigint")
-    after = session.create_project(projects, "b", "B", "/b", 5)
+    after = session.create_project(projects, "b", "B", str(tmp_path), 5)
     assert {tuple(r) for r in after.collect()} == {("a", "A", 3), ("b", "B", 0)}
-    try:
-        session.create_project(after, "b", "B", "/b", 5)
-        raise AssertionError
-    except ValueError as e:
-        assert "project b" in str(e)
+    with pytest.raises(ValueError, match="project b"):
+        session.create_project(after, "b", "B", str(tmp_path), 5)
+    (tmp_path / "file").write_bytes(b"")
+    for gone in (f"{tmp_path}/gone", f"{tmp_path}/file"):
+        with pytest.raises(ValueError, match="no folder"):
+            session.create_project(projects, "c", "C", gone, 5)
+    photos = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "project_id string, n int")
+    left, rows = catalogue.delete_project(after, "a", photos)
+    assert [r["id"] for r in left.collect()] == ["b"] and sorted(r["n"] for r in rows.collect()) == [2, 3]
+    with pytest.raises(ValueError, match="no project a"):
+        catalogue.delete_project(left, "a", photos)
 
 
 def test_pictures(spark):
