@@ -259,9 +259,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: Iterable[str] = ("do
 
     A null text counts as empty and gives no ids; so does an empty one. Texts of any length are encoded whole.
     Repeated rows are encoded each by itself, an empty table gives an empty result, and columns outside
-    ``keep`` are ignored. Name clashes can't arise: ``keep`` may hold any column but one named ``ids``.
+    ``keep`` are ignored. A kept column named ``ids`` raises, as it would be ambiguous; any other name is fine.
     """
     keep = list(keep)
+    if "ids" in keep:
+        raise ValueError("a kept column can't be named ids")
     source = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), text_of(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
