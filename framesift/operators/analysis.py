@@ -14,15 +14,16 @@ from pyspark.sql import types as T
 from framesift.functions.hashing import difference_hash, hash_text, luma
 from framesift.operators.catalogue import cache_state
 
-#: Seconds that one file may take.
-TIMEOUT_S = 15.0
+#: Seconds that one file may take, and files of one task that may be stuck before the task is given up.
+TIMEOUT_S, MOST_STUCK = 15.0, 16
 
 
-def each(rows: DataFrame, work: Callable[[dict], object], result: T.DataType, keep: tuple[str, ...], timeout_s: float = TIMEOUT_S) -> DataFrame:
+def each(rows: DataFrame, work: Callable[[dict], object], result: T.DataType, keep: tuple[str, ...], timeout_s: float = TIMEOUT_S, most_stuck: int = MOST_STUCK) -> DataFrame:
     """``keep``, ``value`` and ``error``: what ``work`` makes of each row.
 
     A row that raises, or takes longer than ``timeout_s``, has a null value and says why; the others go on. Spark
-    runs as many at once as it has task slots. A late result is thrown away with the thread that made it.
+    runs as many at once as it has task slots. A late result is thrown away with the thread that made it; as a thread
+    that is stuck can't be ended, a task with more than ``MOST_STUCK`` of them fails.
     """
     schema = rows.select(*keep).schema.add("value", result).add("error", "string")
     kind = T.StructType([T.StructField("value", result)])
@@ -30,7 +31,7 @@ def each(rows: DataFrame, work: Callable[[dict], object], result: T.DataType, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        pool, arrow = ThreadPoolExecutor(1), to_arrow_schema(kind).field("value").type
+        pool, arrow, stuck = ThreadPoolExecutor(1), to_arrow_schema(kind).field("value").type, 0
         for batch in batches:
             values, errors = [], []
             for row in batch.to_pylist():
@@ -38,6 +39,9 @@ def each(rows: DataFrame, work: Callable[[dict], object], result: T.DataType, ke
                     values.append(pool.submit(work, row).result(timeout_s))
                     errors.append(None)
                 except TookTooLong:
+                    stuck += 1
+                    if stuck > most_stuck:
+                        raise RuntimeError(f"{stuck} files of one task took more than {timeout_s:g} s") from None
                     pool.shutdown(wait=False)
                     pool = ThreadPoolExecutor(1)
                     values.append(None)

@@ -92,6 +92,14 @@ def test_each_keeps_errors(spark):
     assert found[2][0] is None and "ZeroDivision" in found[2][1]
 
 
+def test_a_task_that_hangs_is_given_up(spark):
+    rows = spark.range(6).select(F.col("id").alias("x")).coalesce(1)
+    work = lambda row: time.sleep(2)
+    assert analysis.each(rows.limit(2), work, T.LongType(), ("x",), 0.05, 2).where("error is not null").count() == 2
+    with pytest.raises(Exception, match="took more than 0.05 s"):
+        analysis.each(rows, work, T.LongType(), ("x",), 0.05, 2).collect()
+
+
 def test_without_done(spark):
     schema = "id string, fingerprint_mtime bigint, fingerprint_size bigint"
     rows = spark.createDataFrame([("a", 1, 2), ("b", 1, 2), ("c", None, None), ("d", None, None)], schema)
