@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from framesift.functions.hashing import difference_hash, hash_text, luma
 from framesift.functions.capture import extension
+from framesift.operators.pages import to_display
 from framesift.schema import EXTENSIONS
 from framesift.sources import exif, heads, images, jpeg
 from framesift.storage import saved
@@ -226,6 +227,34 @@ def display(rows: DataFrame, edge: Column | int, keep: tuple[str, ...] = ("path"
     return made.drop("_stored", "_edge", "_turn")
 
 
+def build_displays(photos: DataFrame, edge: int, stored: DataFrame) -> DataFrame:
+    """project_id, id, display, display_edge, origin and error of all photos without a display picture of this edge.
+
+    ``stored`` has project_id, id and display, the pictures there are. Those that are large enough are made smaller, and
+    their originals are not read; of all others, and of those that can't be read, the originals (``path``) are. Written,
+    as each picture is made once.
+    """
+    keys = ["project_id", "id"]
+    wanted = saved(to_display(photos, edge).select(*keys, "path", "display_edge"))
+    nothing = F.lit(None).cast("binary")
+    near = wanted.where(F.col("display_edge") >= edge).join(stored.select(*keys, "display"), keys).withColumn("original", nothing).withColumn("orientation", F.lit(1))
+    reused = saved(display(near, edge, tuple(keys))).where("error is null")
+    left = wanted.join(reused.select(*keys), keys, "left_anti")
+    read = exif.read(heads.heads(left, -1, (*keys, "path")), keep=(*keys, "head")).select(*keys, F.col("head").alias("original"), F.col("own_orientation").alias("orientation"))
+    made = display(read.withColumn("display", nothing).withColumn("display_edge", F.lit(None).cast("int")), edge, tuple(keys))
+    return reused.unionByName(saved(made))
+
+
+def write_displays(photos: DataFrame, built: DataFrame, folder: str) -> DataFrame:
+    """``photos`` with the path and edge of the display pictures of ``built``; where one failed, the reason instead."""
+    new = built.select("project_id", "id", F.col("display_edge").alias("_edge"), F.col("error").alias("_error"), F.lit(True).alias("_built"))
+    rows = photos.join(new, ["project_id", "id"], "left")
+    fine = F.col("_built") & F.col("_error").isNull()
+    rows = rows.withColumn("display_path", F.when(fine, F.concat(F.lit(f"{folder}/"), "id", F.lit(".jpg"))).otherwise(F.col("display_path")))
+    rows = rows.withColumn("display_edge", F.when(fine, F.col("_edge")).otherwise(F.col("display_edge")))
+    return rows.withColumn("analysis_error", F.when(F.col("_built") & F.col("_error").isNotNull(), F.col("_error")).otherwise(F.col("analysis_error"))).select(*photos.columns)
+
+
 def mosaics(rows: DataFrame, cells: str, side: int, keep: tuple[str, ...], quality: int = 100) -> DataFrame:
     """``keep`` and ``content``: a JPEG file of ``side`` x ``side`` even squares of 8 x 8 pixels, of the given brightness in row order."""
     texts = rows.withColumn("_cells", F.array_join(F.transform(cells, lambda c: c.cast("string")), ","))

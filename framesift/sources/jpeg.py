@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Bytes of a lane at least, lanes of a batch at most (if streams are long), and rounds of handing states on.
+#: Bytes of a lane at least, and lanes of a batch at most, if its streams are long.
 LANE_BYTES, LANES = 512, 4096
 #: Pictures whose code tables are in memory at once.
 GROUP = 64

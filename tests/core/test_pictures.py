@@ -203,3 +203,26 @@ def test_display(spark):
 def test_display_size_in_bytes():
     """A picture of usual detail at 1024 pixels takes tens to some hundreds of kilobytes at quality 82, as published (87 KB)."""
     assert 30_000 < len(jpeg.encoded(made(768, 1024, 2), 82)) < 350_000
+
+
+def test_display_job(spark, tmp_path):
+    """From the backlog to the catalogue: stored pictures are reused, others made from the originals; a second run has nothing to do."""
+    from framesift.operators import pages
+
+    original = with_exif(jpeg.encoded(made(300, 400, 5), 90), tiff(orientation=6))
+    for name in ("new", "up", "broken"):
+        (tmp_path / f"{name}.jpg").write_bytes(original)
+    (tmp_path / "bad.jpg").write_bytes(b"no picture")
+    small = jpeg.encoded(pictures.fitted(made(300, 400, 6), 200), 82)
+    rows = [("p", n, str(tmp_path / f"{n}.jpg"), path, edge, None, n == "missing") for n, path, edge in (("down", "d", 200), ("new", None, None), ("up", "d", 64), ("broken", "d", 200), ("bad", None, None), ("gone", None, None), ("done", "d", 128), ("missing", None, None))]
+    photos = spark.createDataFrame(rows, "project_id string, id string, path string, display_path string, display_edge int, analysis_error string, is_missing boolean")
+    stored = spark.createDataFrame([("p", "down", small), ("p", "broken", small[:99]), ("p", "up", small), ("p", "done", small)], "project_id string, id string, display binary")
+    built = pictures.build_displays(photos, 128, stored)
+    found = {r["id"]: r for r in built.collect()}
+    assert {n: r["origin"] for n, r in found.items()} == {"down": "stored", "new": "original", "up": "original", "broken": "original", "bad": None, "gone": None}
+    shape = jpeg.header(found["new"]["display"])
+    assert (shape.width, shape.height) == (96, 128)  # upright
+    after = pictures.write_displays(photos, built, "displays")
+    state = {r["id"]: (r["display_path"], r["display_edge"], r["analysis_error"] is not None) for r in after.collect()}
+    assert state["new"] == ("displays/new.jpg", 128, False) and state["bad"] == (None, None, True) and state["gone"][2] and state["done"] == ("d", 128, False)
+    assert {r["id"] for r in pages.to_display(after, 128).collect()} == {"bad", "gone"}
