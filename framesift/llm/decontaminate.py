@@ -34,6 +34,8 @@ CONTAINMENT = CONSISTENCY = 0.8
 IN_LINES = 3
 #: Bits of the filter of windows for each window of an item, and at most: 64 to a window make one in a thousand other windows pass; in 128 MB, 16 million windows have as many.
 FILTER_BITS, MOST_FILTER_BITS = 64, 1 << 30
+#: Words of the filter that come to the driver at once: 16 MB with their places.
+FILTER_WORDS = 1 << 20
 
 #: Characters of text that are windowed at once, words whose kinds a Python worker keeps, and bytes of the longest.
 PORTION, KNOWN_WORDS, KNOWN_LENGTH = 2 << 20, 200_000, 64
@@ -200,14 +202,16 @@ class Filter:
 
 
 def filter_of(hashes: DataFrame) -> Filter:
-    """The filter of a column of different hashes. Its words are put together by Spark; no more than the table comes to the driver."""
+    """The filter of a column of different hashes. Its words are put together by Spark, and come to the driver ``FILTER_WORDS`` at once."""
     size = 64
     while size < min(FILTER_BITS * hashes.count(), MOST_FILTER_BITS):
         size *= 2
     places = hashes.select(F.explode(F.array(*(F.shiftrightunsigned("window", by).bitwiseAND(F.lit(size - 1)) for by in (0, 32)))).alias("place"))
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
+    words = saved(places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")))
     bits = np.zeros(size // 64, np.uint64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    for first in range(0, len(bits), FILTER_WORDS):
+        some = words.where(F.col("word").between(first, first + FILTER_WORDS - 1)).toArrow()
+        bits[some.column("word").to_numpy()] = some.column("bits").to_numpy().view(np.uint64)
     return Filter(bits)
 
 
@@ -290,7 +294,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(filter_of(items.select("window").distinct()))  # of bounded size
     key = F.concat_ws(":", id_of(), F.xxhash64(text_of())).alias("key")
     found = saved(template_windows(docs.select(key, text_of().alias("t")), known, views))
-    # pairs that can be leaks, then pairs that hold enough, then their slots
+    known.destroy()
+    # pairs that can be leaks, then pairs that hold enough, then their slots; written step by step, as the driver holds what each task says of each operator
     may = found.select("key", "view", "window").join(_keys(items), ["view", "window"]).select("key", "view", "item_id").distinct()
     joined = saved(found.join(may, ["key", "view"]).join(items, ["item_id", "view", "window"]))
     pair = ["key", "item_id", "view"]
@@ -301,12 +306,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     most = by_shift.groupBy(*pair).agg(F.max("n").alias("most"))
     enough = CONTAINMENT * F.col("n_windows")
     shifts = by_shift.join(most, pair).where((F.col("n") >= enough) | (F.col("most") < enough))
-    copies = shifts.select(*pair, "shift", F.when(F.col("n") >= enough, F.col("shift")).otherwise(SCATTERED).alias("copy"))
+    copies = saved(shifts.select(*pair, "shift", F.when(F.col("n") >= enough, F.col("shift")).otherwise(SCATTERED).alias("copy")))
     slots = aligned.join(copies, [*pair, "shift"]).select(*pair, "copy", F.inline(F.arrays_zip("item_places", "item_values", "values")))
     counted = slots.groupBy(*pair, "copy", "item_places", "item_values", "values").agg(F.count("*").alias("n"))
     usual = counted.groupBy(*pair, "copy", "item_places", "item_values").agg(F.max_by("values", F.struct("n", "values")).alias("value"))
     by_value = usual.groupBy(*pair, "copy", "item_values").agg(F.count("*").alias("places"), F.count_distinct("value").alias("kinds"))
-    agreed = by_value.where("places > 1").groupBy(*pair, "copy").agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency"))
+    agreed = saved(by_value.where("places > 1").groupBy(*pair, "copy").agg(F.avg((F.col("kinds") == 1).cast("int")).alias("consistency")))
     of_copies = copies.select(*pair, "copy").distinct().join(agreed, [*pair, "copy"], "left")
     both = held.join(of_copies.groupBy(*pair).agg(F.max(F.coalesce("consistency", F.lit(1.0))).alias("consistency")), pair)
     measures = both.groupBy("key", "item_id").agg(F.sort_array(F.collect_list(F.struct("view", "n_windows", "n_found", "consistency"))).alias("seen"))  # seven at most
@@ -327,6 +332,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     doc_id, text = (f"k{names.index(c)}" for c in ("doc_id", "text"))
     rows = docs.toDF(*(f"k{i}" for i in range(len(names)))).withColumn("key", F.concat_ws(":", id_of(doc_id, text), F.xxhash64(text_of(text))))
-    dirty = leaks(docs.select("doc_id", "text"), benchmark).select("key").distinct()
+    dirty = saved(leaks(docs.select("doc_id", "text"), benchmark).select("key").distinct())
     # a merge join at any size: what leaks grows with the corpus
     return rows.join(dirty.hint("merge"), "key", "left_anti").drop("key").toDF(*names)

@@ -168,3 +168,25 @@ def test_filter(spark):
     passes = de.filter_of(spark.createDataFrame([(h,) for h in hashes], "window long"))
     assert len(passes(np.array(hashes, np.int64).view(np.uint64))) == 3000
     assert len(passes(np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64))) < 100
+
+
+def test_the_filter_comes_to_the_driver_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(de, "FILTER_WORDS", 8)
+    rng = random.Random(5)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(500)]
+    passes = de.filter_of(spark.createDataFrame([(h,) for h in hashes], "window long"))
+    assert len(passes.bits) > 8
+    known = de.np.array(hashes, "<i8").view("<u8")
+    assert len(passes(known)) == len(hashes)
+    expected = de.np.zeros(len(passes.bits), de.np.uint64)
+    for h in known.tolist():
+        for place in (h & int(passes.low), h >> 32 & int(passes.low)):
+            expected[place >> 6] |= de.np.uint64(1 << (place & 63))
+    assert passes.bits.tolist() == expected.tolist()
+
+
+def test_what_leaks_is_written_before_it_is_joined(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    clean = de.keep_clean(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    plan = clean._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
