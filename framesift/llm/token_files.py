@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -36,9 +38,9 @@ WRITER = {
 }
 #: Words and stems that a Python worker keeps at most: short ones, about 200 bytes each; and characters of text that it splits at once.
 KNOWN_WORDS, KNOWN_STEMS, PORTION = 900_000, 300_000, 2 << 20
-#: Letters whose lower case Python and the library may see differently, and lower-case letters with marks behind them.
+#: Letters whose lower case Python and the library may see differently, lower-case letters, and marks that may stand behind them.
 SPECIAL_CASE = re.compile("[^\0-\u017f]|[\u0130\u017f]")
-LETTERS_AND_MARKS = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff\u0153]*)([!-/:-@\\[-`{-~]*)\n")
+LETTERS, MARKS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]*"), string.punctuation
 #: The normaliser and the pattern of words of the kind of file whose words can be looked up one by one.
 WORDWISE = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -86,6 +88,8 @@ class WordEncoder:
         self.of_letters = Tokenizer.from_file(path)
         self.of_letters.normalizer = None
         self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: For words of a-z, whose bytes stand for themselves: what the library does with a word once it is cut out.
+        self.model = self.tokenizer.model
         #: Strings that the library takes as one token, before it lowers the case.
         self.specials = [(t.content, t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
@@ -98,6 +102,11 @@ class WordEncoder:
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 yield word, np.array(found.ids, "<i4").tobytes()
 
+    def _look_up_ascii(self, stems: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """The same for words of a-z only."""
+        tokens = self.model.tokenize
+        return ((stem, array("i", [t.id for t in tokens(stem)]).tobytes()) for stem in stems)
+
     def _look_up_stems(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
         """The same for words of letters only, many in one text, where each is one word of the library's."""
         for k in range(0, len(stems), 1000):
@@ -117,12 +126,20 @@ class WordEncoder:
         if len(stems) > KNOWN_STEMS:
             stems.clear()
         stems[""] = b""
-        pairs = LETTERS_AND_MARKS.findall("\n".join(new) + "\n")  # one a word, as each ends at a line end
-        cut = [(word, *pair) for word, pair in zip(new, pairs) if len(pair[0]) + len(pair[1]) == len(word)]
-        self.words.update(self._look_up(list(set(new).difference(word for word, *_ in cut))))
-        stems.update(self._look_up_stems(list({stem for _, stem, _ in cut}.difference(stems, ("",)))))
-        stems.update(self._look_up(list({marks for *_, marks in cut}.difference(stems))))
-        self.words.update([(word, stems[stem] + stems[marks]) for word, stem, marks in cut])
+        cut, whole = [], []
+        for word in new:
+            stem = word.rstrip(MARKS)
+            if stem.isascii() and stem.isalpha() and stem.islower() or LETTERS.fullmatch(stem):
+                cut.append((word, stem))
+            else:
+                whole.append(word)
+        self.words.update(self._look_up(whole))
+        unknown = {stem for _, stem in cut}.difference(stems)
+        beyond = list(unknown) if any(s.isalpha() for s, _ in self.specials) else [stem for stem in unknown if not stem.isascii()]
+        stems.update(self._look_up_ascii(unknown.difference(beyond)))
+        stems.update(self._look_up_stems(beyond))
+        stems.update(self._look_up(list({word[len(stem) :] for word, stem in cut}.difference(stems))))
+        self.words.update([(word, stems[stem] + stems[word[len(stem) :]]) for word, stem in cut])
 
     def _lowered(self, text: str) -> str:
         """The text in lower case, so that fewer words are new; as it is where that could change its ids."""

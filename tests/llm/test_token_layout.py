@@ -51,3 +51,12 @@ def test_selective_read(spark, written):
             total += 1
             held += s.min <= 3030 and s.max >= 3000
     assert held <= 2 < total / 5
+
+
+def test_words_of_plain_letters_are_looked_up_in_the_model():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["plain words, of (letters) only... and plain's \u00e9t\u00e9! \u017fo \u0130t", "Words.\n\nwords... x1abc, ,,, don't-do <|endoftext|> \u00df\u00ff; \u00aa\u00ba", "", " a  b ", "zqxjk" * 30 + " " + "zqxjk" * 10 + "!!"]
+    words = token_files.WordEncoder(path)
+    assert words.encode_batch(texts) == token_files.TextEncoder(path).encode_batch(texts)
+    words.of_letters = None
+    assert words.encode_batch(["made-up qwzzy, words! (qwzzx) vrrt"]) == token_files.TextEncoder(path).encode_batch(["made-up qwzzy, words! (qwzzx) vrrt"])
