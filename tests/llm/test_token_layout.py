@@ -60,3 +60,30 @@ def test_words_of_plain_letters_are_looked_up_in_the_model():
     assert words.encode_batch(texts) == token_files.TextEncoder(path).encode_batch(texts)
     words.of_letters = None
     assert words.encode_batch(["made-up qwzzy, words! (qwzzx) vrrt"]) == token_files.TextEncoder(path).encode_batch(["made-up qwzzy, words! (qwzzx) vrrt"])
+
+
+def test_the_cache_is_asked_once_for_each_word_of_a_portion():
+    class Cache(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+        def __contains__(self, word):
+            self.asked += 1
+            return super().__contains__(word)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, library = token_files.WordEncoder(path), token_files.TextEncoder(path)
+    words.words = Cache()
+    long = "\u00e9t\u00e9" * 40
+    texts = ["the same, same words of (one) portion\n" * 500, "", f"{long} same {long}! x\0y " * 3, " ", "portion\tof same, " * 500 + "\u017fame"]
+    for _ in range(2):  # what is cached must not matter
+        assert words.encode_batch(texts) == library.encode_batch(texts)
+    assert words.words.asked < 100
+    assert words.encode_batch([]) == [] and words.encode_batch([""]) == [b""]
